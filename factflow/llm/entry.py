@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from factflow.llm import url_filters
+from factflow.llm import simhash, url_filters
 
 
 def queries() -> dict:
-    return {"op8_url_filters": url_filters.op8_url_filters}
+    return {
+        "op7_simhash": simhash.op7_simhash,
+        "op8_url_filters": url_filters.op8_url_filters,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
