@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from factflow.llm import simhash, url_filters
+from factflow.llm import decontaminate, simhash, url_filters
 
 
 def queries() -> dict:
     return {
         "op7_simhash": simhash.op7_simhash,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op8_url_filters": url_filters.op8_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": url_filters.oracle_sql()}
+    return {
+        "op8_url_filters": url_filters.oracle_sql(),
+        "op9_decontaminate": decontaminate.oracle_sql(),
+    }
