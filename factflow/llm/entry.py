@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from factflow.llm import decontaminate, simhash, url_filters
+from factflow.llm import decontaminate, packing, simhash, url_filters
 
 
 def queries() -> dict:
     return {
+        "op5_packing": packing.op5_packing,
         "op7_simhash": simhash.op7_simhash,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op8_url_filters": url_filters.op8_url_filters,
