@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factflow.llm import decontaminate, packing, simhash, url_filters
+from factflow.llm import decontaminate, langid, packing, simhash, url_filters
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op7_simhash": simhash.op7_simhash,
         "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_langid": langid.op10_langid,
         "op8_url_filters": url_filters.op8_url_filters,
     }
 
