@@ -5,11 +5,11 @@ f is set if a bin with f free places is open. A piece goes into the bin whose
 free space is the smallest that holds it; if none does, a new bin opens, and if
 that is one too many, the fullest closes first.
 
-Pieces are dealt evenly to shards by their count of tokens, each packed by one
-task in a fixed pseudo-random order. The bins still open at a shard's end
-(a bounded number, however large the shard) are not shipped half empty: their
-pieces are packed again in a further round over 1/32 of the shards, until one
-shard is left. Only lengths and checksums are shuffled, never texts.
+Pieces are dealt evenly to shards of a fixed count of tokens, each the stream of
+one task, the longest first (so late short pieces fill what is left). At a
+shard's end the fullest bins close until ``carried`` are left; these are not
+shipped half empty: their pieces are packed again in a further round of 1/32 of
+the shards, until one shard is left. Only lengths and checksums are shuffled, never texts.
 
 Defined cases: a null or empty text is the single closing id; a document longer
 than ``capacity`` is cut into pieces of ``capacity``, the last may be shorter;
@@ -19,6 +19,7 @@ an empty result.
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 
@@ -32,9 +33,11 @@ from pyspark.sql import types as T
 from factflow.llm.common import settle, table, texts
 
 CAPACITY = 4096
-OPEN_BINS = 256
-#: Tokens of one packing task.
-SHARD_TOKENS = 1 << 25
+OPEN_BINS = 4096
+#: Tokens of one packing task: about as many sequences as bins stay open.
+SHARD_TOKENS = 1 << 24
+#: Bins that may still be open when a shard ends; beyond, the fullest close.
+CARRIED_BINS = 128
 #: Words whose ids a Python worker keeps.
 CACHED_WORDS = 300_000
 
@@ -45,6 +48,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte value -> the character that stands for it in a byte-level vocabulary:
+    printable bytes themselves, the others in order from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in set(own)]
+    return {x: chr(x) for x in own} | {x: chr(256 + k) for k, x in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _plain_word(unit: bytes) -> str | None:
+    """A unit of letters below U+0250, as the byte-level vocabulary writes its
+    lower case; None for others. There, no normal form changes a letter and
+    lower case is one letter for one, but for U+0130."""
+    if unit.isalpha():
+        return unit.decode("ascii").lower()
+    if unit.isascii():
+        return None
+    text = unit.decode()
+    if not text.isalpha() or max(text) >= "\u0250" or "\u0130" in text:
+        return None
+    return text.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
@@ -59,12 +87,43 @@ class WordEncoder:
         self.cached = cached
         self.known: dict[bytes, bytes] = {}
         # the full stop and the comma by themselves
-        self.marks = dict(zip(b".,", self._encode([b".", b","]), strict=True))
+        self.marks = dict(zip(b".,", self._encode_each([b".", b","]), strict=True))
+        self.merges = self._bare_merges(json.loads(self.tokenizer.to_str()))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
+
+    @staticmethod
+    def _bare_merges(spec: dict):
+        """The model over words parted by spaces, if the tokenizer is of the
+        known kind: lower case, byte letters, and ids that end a word."""
+        from tokenizers import Tokenizer
 
-    def _encode(self, units: list[bytes]) -> list[bytes]:
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if steps != ["NFC", "Replace", "Lowercase"] or split != ["Split", "ByteLevel"] or spec["model"].get("end_of_word_suffix") != "</w>":
+            return None
+        return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+
+    def _encode_each(self, units: list[bytes]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
 
+    def _encode(self, units: list[bytes]) -> dict[bytes, bytes]:
+        """Plain words skip normalising and splitting: they are encoded as one
+        text by the same merges and cut at the ids that end a word."""
+        written = {u: _plain_word(u) for u in units} if self.merges else {}
+        plain = [u for u, w in written.items() if w is not None]
+        rest = [u for u in units if written.get(u) is None]
+        out = dict(zip(rest, self._encode_each(rest), strict=True))
+        if plain:
+            [made] = self.merges.encode_batch_fast([" ".join(written[u] for u in plain)], add_special_tokens=False)
+            ids = np.array(made.ids, dtype="<u4")
+            cuts = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+            data = ids.tobytes()
+            out.update((u, data[s:e]) for u, s, e in zip(plain, [0, *cuts[:-1]], cuts, strict=True))
+        return out
+
     def __call__(self, batch: list[bytes]) -> list[bytes]:
         if len(self.known) > self.cached:
             self.known.clear()
@@ -75,7 +134,7 @@ class WordEncoder:
         # an ASCII letter and a mark after it are always parted
         ends = {u: u[-1] for u in missing if u[-1] in b".," and len(u) > 1 and 97 <= u[-2] <= 122}
         new = list({u[:-1] if u in ends else u for u in missing}.difference(known))
-        known.update(zip(new, self._encode(new), strict=True))
+        known.update(self._encode(new))
         for u, mark in ends.items():
             known[u] = known[u[:-1]] + self.marks[mark]
         return [b"".join(map(known.__getitem__, u)) for u in units]
@@ -163,11 +222,12 @@ class BestFit:
         self.open -= 1
         return which
 
-    def still_open(self) -> set[int]:
-        return {x for bins in self.at.values() for x in bins}
+    def still_open(self, most: int) -> list[int]:
+        """The ``most`` open bins with the most free space; the others close."""
+        return [x for free in sorted(self.at, reverse=True) for x in self.at[free]][:most]
 
 
-def _pack_round(rows: DataFrame, shards: int, turn: int, capacity: int, open_bins: int, final: bool, base: list[str]) -> DataFrame:
+def _pack_round(rows: DataFrame, shards: int, turn: int, capacity: int, open_bins: int, carried: int, final: bool, base: list[str]) -> DataFrame:
     """``rows`` with sequence_id, offset and closed; each shard is one task."""
     at = base.index("length")
 
@@ -179,7 +239,7 @@ def _pack_round(rows: DataFrame, shards: int, turn: int, capacity: int, open_bin
         if not held:
             return
         placed = np.array([packer.place(n) for n in lengths], dtype=np.int64).reshape(-1, 2)
-        opened = np.array(sorted(packer.still_open()), dtype=np.int64)
+        opened = np.array(packer.still_open(carried), dtype=np.int64)
         closed = np.ones(len(placed), bool) if final else ~np.isin(placed[:, 0], opened)
         ids = placed[:, 0] + (TaskContext.get().partitionId() << 26) + (turn << 58)
         done = 0
@@ -193,11 +253,12 @@ def _pack_round(rows: DataFrame, shards: int, turn: int, capacity: int, open_bin
         *rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
         T.StructField("closed", T.BooleanType()),
     ])
-    order = F.xxhash64(*(c for c in base if c != "ids"))
-    return rows.repartition(shards).sortWithinPartitions(order, *(c for c in base if c != "ids")).mapInArrow(run, schema)
+    order = [F.desc("length"), *(c for c in base if c not in ("ids", "length"))]
+    return rows.repartition(shards).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_tokens: int = SHARD_TOKENS,
+         carried: int = CARRIED_BINS) -> DataFrame:
     """``rows`` (with a column length of at most ``capacity``) and sequence_id,
     offset. A shard holds its rows' numbers in memory: ``shard_tokens`` bounds
     them, as a row is one token at least."""
@@ -207,13 +268,13 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     shards, turn, done = max(1, math.ceil(total / shard_tokens)), 0, None
     while True:
         final = shards == 1
-        packed = settle(_pack_round(rows, shards, turn, capacity, open_bins, final, base))
+        packed = settle(_pack_round(rows, shards, turn, capacity, open_bins, carried, final, base))
         closed = packed.where("closed").drop("closed")
         done = closed if done is None else done.unionByName(closed)
         if final:
             return done
         rows = packed.where("not closed").select(*base)
-        shards, turn = max(1, math.ceil(shards * open_bins * capacity / shard_tokens)) if open_bins * capacity < shard_tokens else 1, turn + 1
+        shards, turn = math.ceil(shards / max(2, shard_tokens // (carried * capacity))), turn + 1
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
