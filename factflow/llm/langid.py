@@ -62,7 +62,7 @@ def document_frequencies(rows: DataFrame, text_col: str) -> tuple[np.ndarray, in
         counts, n = np.zeros(1 << BUCKET_BITS, np.int64), 0
         for b in batches:
             n += b.num_rows
-            for which, parts in groups(_strings(b.column(0))):
+            for which, parts, _ in groups(_strings(b.column(0))):
                 _present(parts, which, counts)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -82,7 +82,7 @@ def _sample_features(rows: DataFrame, text_col: str, lang_col: str):
     def run(batches):
         for b in batches:
             labels, out = b.column(1).to_pylist(), {}
-            for which, parts in groups(_strings(b.column(0))):
+            for which, parts, _ in groups(_strings(b.column(0))):
                 stream = Stream(parts)
                 every = [stream.hashed(n, BUCKET_BITS) for n in ORDERS]
                 cuts = np.searchsorted(stream.part, np.arange(len(parts) + 1))
@@ -191,7 +191,7 @@ def predict(texts: list[str], model: LanguageModel | None) -> tuple[list[str], n
         return out, score
     sums = np.zeros((len(texts), len(model.languages)))
     counts, letters = np.zeros(len(texts)), np.zeros(len(texts), bool)
-    for rows, parts in groups(texts):
+    for rows, parts, _ in groups(texts):
         stream = Stream(parts)
         np.logical_or.at(letters, rows, np.bincount(stream.part[stream.codes > 0], minlength=len(parts)) > 0)
         cuts = np.searchsorted(stream.part, np.arange(len(parts)))

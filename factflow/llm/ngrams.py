@@ -28,9 +28,11 @@ def _letters() -> np.ndarray:
     return table
 
 
-def groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """(rows, parts): parts of texts and the row that each is from, in order."""
+def groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[tuple[np.ndarray, list[str], list[int]]]:
+    """(rows, parts, offsets): parts of texts, the row that each is from, in
+    order, and its place in the row's text."""
     rows: list[int] = []
+    offsets: list[int] = []
     parts: list[str] = []
     size = 0
     for row, text in enumerate(texts):
@@ -42,16 +44,17 @@ def groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[tuple[np.ndarr
                 end = cut if cut >= 0 else end
             part = text[start:end]
             if parts and size + len(part) > most:
-                yield np.array(rows), parts
-                rows, parts, size = [], [], 0
+                yield np.array(rows), parts, offsets
+                rows, parts, offsets, size = [], [], [], 0
             rows.append(row)
+            offsets.append(start)
             parts.append(part)
             size += len(part)
             start = end
             if start >= len(text):
                 break
     if parts:
-        yield np.array(rows), parts
+        yield np.array(rows), parts, offsets
 
 
 class Stream:
