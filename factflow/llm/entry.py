@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from factflow.llm import decontaminate, langid, packing, simhash, url_filters
+from factflow.llm import decontaminate, langid, packing, simhash, toxicity, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op5_packing": packing.op5_packing,
         "op7_simhash": simhash.op7_simhash,
         "op9_decontaminate": decontaminate.op9_decontaminate,

@@ -152,9 +152,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit_noisy_or(y: np.ndarray, count: np.ndarray, sentence: list, feature: list, features: int,
-                 steps: int = 400, rate: float = 0.1, l1: float = 2e-5, bias: float = -6.0) -> tuple[np.ndarray, float]:
+                 steps: int = 400, rate: float = 0.1, l1: float | None = None, bias: float = -6.0) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the mean negative log-likelihood of the
-    noisy-or, with an L1 penalty on the weights."""
+    noisy-or, with an L1 penalty on the weights (by default as the root of the
+    sample's size asks for)."""
+    l1 = 0.03 / np.sqrt(len(y)) if l1 is None else l1
     doc = np.repeat(np.arange(len(y)), [len(s) for s in sentence])
     pair = np.stack([doc, np.concatenate([np.asarray(s, np.int64) for s in sentence] or [np.zeros(0, np.int64)])], axis=1)
     f = np.concatenate([np.asarray(x, np.int64) for x in feature] or [np.zeros(0, np.int64)])
