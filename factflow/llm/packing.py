@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 
 import numpy as np
@@ -59,18 +60,10 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 
 
-def _plain_word(unit: bytes) -> str | None:
-    """A unit of letters below U+0250, as the byte-level vocabulary writes its
-    lower case; None for others. There, no normal form changes a letter and
-    lower case is one letter for one, but for U+0130."""
-    if unit.isalpha():
-        return unit.decode("ascii").lower()
-    if unit.isascii():
-        return None
-    text = unit.decode()
-    if not text.isalpha() or max(text) >= "\u0250" or "\u0130" in text:
-        return None
-    return text.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+_BYTE_TABLE = "".join(" " if x == 32 else _BYTE_LETTERS[x] for x in range(256))
+#: Letters below U+0250 but U+0130: there, no normal form changes a letter and
+#: lower case is one letter for one.
+_PLAIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
 
 
 class WordEncoder:
@@ -112,16 +105,26 @@ class WordEncoder:
     def _encode(self, units: list[bytes]) -> dict[bytes, bytes]:
         """Plain words skip normalising and splitting: they are encoded as one
         text by the same merges and cut at the ids that end a word."""
-        written = {u: _plain_word(u) for u in units} if self.merges else {}
-        plain = [u for u, w in written.items() if w is not None]
-        rest = [u for u in units if written.get(u) is None]
-        out = dict(zip(rest, self._encode_each(rest), strict=True))
+        if self.merges is None:
+            return dict(zip(units, self._encode_each(units), strict=True))
+        plain = [u for u in units if u.isalpha()]  # of bytes: ASCII letters
+        other = [u for u in units if not u.isalpha()]
+        text = b" ".join(plain).decode("ascii").lower()
+        read = b" ".join(other).decode().split(" ") if other else []
+        wide = [k for k, w in enumerate(read) if _PLAIN(w)]
+        if wide:
+            written = " ".join([read[k] for k in wide]).lower().encode().decode("latin-1").translate(_BYTE_TABLE)
+            text = f"{text} {written}"
+            taken = set(wide)
+            plain += [other[k] for k in wide]
+            other = [u for k, u in enumerate(other) if k not in taken]
+        out = dict(zip(other, self._encode_each(other), strict=True))
         if plain:
-            [made] = self.merges.encode_batch_fast([" ".join(written[u] for u in plain)], add_special_tokens=False)
+            [made] = self.merges.encode_batch_fast([text], add_special_tokens=False)
             ids = np.array(made.ids, dtype="<u4")
             cuts = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
             data = ids.tobytes()
-            out.update((u, data[s:e]) for u, s, e in zip(plain, [0, *cuts[:-1]], cuts, strict=True))
+            out.update(zip(plain, [data[s:e] for s, e in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
         return out
 
     def __call__(self, batch: list[bytes]) -> list[bytes]:
