@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from factflow.llm import decontaminate, langid, packing, pii, simhash, toxicity, url_filters
+from factflow.llm import decontaminate, html_text, langid, packing, pii, simhash, toxicity, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_html_text": html_text.op2_html_text,
         "op4_pii": pii.op4_pii,
         "op5_packing": packing.op5_packing,
         "op7_simhash": simhash.op7_simhash,
