@@ -23,15 +23,18 @@ import json
 import math
 import re
 import zlib
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factflow.llm.common import settle, table, texts
+from factflow.llm.common import settle, table
 
 CAPACITY = 4096
 OPEN_BINS = 4096
@@ -41,6 +44,8 @@ SHARD_TOKENS = 1 << 24
 CARRIED_BINS = 128
 #: Words whose ids a Python worker keeps.
 CACHED_WORDS = 300_000
+#: Text that is encoded at once.
+GROUP_BYTES = 4_000_000
 
 
 def default_tokenizer() -> str:
@@ -127,20 +132,47 @@ class WordEncoder:
             out.update(zip(plain, [data[s:e] for s, e in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
         return out
 
-    def __call__(self, batch: list[bytes]) -> list[bytes]:
-        if len(self.known) > self.cached:
-            self.known.clear()
-        known = self.known
+    def __call__(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text; null is empty."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(column).to_numpy())
+        cuts = [0, *(np.flatnonzero(np.diff(ends // GROUP_BYTES)) + 1).tolist(), len(column)]
+        for s, e in pairwise(cuts):
+            yield from self._group(column.slice(s, e - s))
+
+    def _group(self, column: pa.Array) -> Iterator[bytes]:
+        """Equal units of a group are looked up once."""
+        # a copy of its own: lower-casing a slice that does not begin its buffer gives wrong offsets
+        column = column.take(pa.array(np.arange(len(column))))
         # lower case is the same for a text that is ASCII throughout; special tokens are case-sensitive
-        units = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in batch]
-        missing = set().union(*units).difference(known)
+        plain = pc.and_(pc.string_is_ascii(column), pc.invert(pc.match_substring(column, "<|")))
+        units = pc.ascii_split_whitespace(pc.if_else(plain, pc.ascii_lower(column), column))
+        own = units.flatten().dictionary_encode()
+        data = self._look_up(own.dictionary.cast(pa.large_binary()).to_pylist())
+        ids = np.frombuffer(b"".join(data), "<u4")
+        length = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        start = np.cumsum(length) - length
+        code = own.indices.to_numpy()
+        n = length[code]
+        end = np.cumsum(n)
+        made = ids[np.repeat(start[code] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        at = np.concatenate([[0], end])[np.cumsum(np.concatenate([[0], pc.list_value_length(units).to_numpy()]))].tolist()
+        for s, e in pairwise(at):
+            yield made[s:e].tobytes()
+
+    def _look_up(self, units: list[bytes]) -> list[bytes]:
+        known = self.known
+        if len(known) > self.cached:
+            known.clear()
+        known[b""] = b""
+        missing = [u for u in units if u not in known]
         # an ASCII letter and a mark after it are always parted
         ends = {u: u[-1] for u in missing if u[-1] in b".," and len(u) > 1 and 97 <= u[-2] <= 122}
         new = list({u[:-1] if u in ends else u for u in missing}.difference(known))
         known.update(self._encode(new))
         for u, mark in ends.items():
             known[u] = known[u[:-1]] + self.marks[mark]
-        return [b"".join(map(known.__getitem__, u)) for u in units]
+        return list(map(known.__getitem__, units))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -164,7 +196,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         encode = _encoder(path)
         for b in batches:
             who, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, made in enumerate(encode(texts(b.column(1)))):
+            for row, made in enumerate(encode(b.column(1))):
                 made += end
                 for k, s in enumerate(range(0, len(made), 4 * capacity)):
                     part = made[s : s + 4 * capacity]
