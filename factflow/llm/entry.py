@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factflow.llm import decontaminate, html_text, langid, packing, pii, simhash, toxicity, url_filters
+from factflow.llm import ann, decontaminate, html_text, langid, packing, pii, simhash, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_html_text": html_text.op2_html_text,
         "op4_pii": pii.op4_pii,
         "op5_packing": packing.op5_packing,
+        "op6_ann": ann.op6_ann,
         "op7_simhash": simhash.op7_simhash,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_langid": langid.op10_langid,
