@@ -24,7 +24,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import batched, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +43,10 @@ SHARD_TOKENS = 1 << 24
 #: Bins that may still be open when a shard ends; beyond, the fullest close.
 CARRIED_BINS = 128
 #: Words whose ids a Python worker keeps.
-CACHED_WORDS = 300_000
-#: Text that is encoded at once.
-GROUP_BYTES = 4_000_000
+CACHED_WORDS = 200_000
+#: Text that is looked up at once, and words of one call of the tokenizer.
+GROUP_BYTES = 2_000_000
+CALL_WORDS = 4_000
 
 
 def default_tokenizer() -> str:
@@ -104,8 +105,11 @@ class WordEncoder:
         return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
 
     def _encode_each(self, units: list[bytes]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
+        out = []
+        for part in batched(units, CALL_WORDS):
+            made = self.tokenizer.encode_batch_fast([u.decode() for u in part], add_special_tokens=False)
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in made]
+        return out
 
     def _encode(self, units: list[bytes]) -> dict[bytes, bytes]:
         """Plain words skip normalising and splitting: they are encoded as one
@@ -114,22 +118,21 @@ class WordEncoder:
             return dict(zip(units, self._encode_each(units), strict=True))
         plain = [u for u in units if u.isalpha()]  # of bytes: ASCII letters
         other = [u for u in units if not u.isalpha()]
-        text = b" ".join(plain).decode("ascii").lower()
+        written = b" ".join(plain).decode("ascii").lower().split(" ") if plain else []
         read = b" ".join(other).decode().split(" ") if other else []
         wide = [k for k, w in enumerate(read) if _PLAIN(w)]
         if wide:
-            written = " ".join([read[k] for k in wide]).lower().encode().decode("latin-1").translate(_BYTE_TABLE)
-            text = f"{text} {written}"
             taken = set(wide)
+            written += " ".join([read[k] for k in wide]).lower().encode().decode("latin-1").translate(_BYTE_TABLE).split(" ")
             plain += [other[k] for k in wide]
             other = [u for k, u in enumerate(other) if k not in taken]
         out = dict(zip(other, self._encode_each(other), strict=True))
-        if plain:
-            [made] = self.merges.encode_batch_fast([text], add_special_tokens=False)
+        for part, words in zip(batched(plain, CALL_WORDS), batched(written, CALL_WORDS), strict=True):
+            [made] = self.merges.encode_batch_fast([" ".join(words)], add_special_tokens=False)
             ids = np.array(made.ids, dtype="<u4")
             cuts = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
             data = ids.tobytes()
-            out.update(zip(plain, [data[s:e] for s, e in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+            out.update(zip(part, [data[s:e] for s, e in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
         return out
 
     def __call__(self, column: pa.Array) -> Iterator[bytes]:
