@@ -42,8 +42,8 @@ OPEN_BINS = 4096
 SHARD_TOKENS = 1 << 24
 #: Bins that may still be open when a shard ends; beyond, the fullest close.
 CARRIED_BINS = 128
-#: Words whose ids a Python worker keeps.
-CACHED_WORDS = 200_000
+#: Words whose ids a Python worker keeps, and as many that were not used lately.
+CACHED_WORDS = 150_000
 #: Text that is looked up at once, and words of one call of the tokenizer.
 GROUP_BYTES = 2_000_000
 CALL_WORDS = 4_000
@@ -85,6 +85,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cached = cached
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         # the full stop and the comma by themselves
         self.marks = dict(zip(b".,", self._encode_each([b".", b","]), strict=True))
         self.merges = self._bare_merges(json.loads(self.tokenizer.to_str()))
@@ -164,11 +165,14 @@ class WordEncoder:
             yield made[s:e].tobytes()
 
     def _look_up(self, units: list[bytes]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.cached:
-            known.clear()
+        if len(self.known) > self.cached:
+            # what is used again comes back from there
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
         known[b""] = b""
         missing = [u for u in units if u not in known]
+        known.update((u, old[u]) for u in missing if u in old)
+        missing = [u for u in missing if u not in known]
         # an ASCII letter and a mark after it are always parted
         ends = {u: u[-1] for u in missing if u[-1] in b".," and len(u) > 1 and 97 <= u[-2] <= 122}
         new = list({u[:-1] if u in ends else u for u in missing}.difference(known))
