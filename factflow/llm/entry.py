@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from factflow.llm import ann, decontaminate, html_text, langid, packing, pii, simhash, toxicity, url_filters
+from factflow.llm import (
+    ann,
+    decontaminate,
+    html_text,
+    langid,
+    packing,
+    pii,
+    repeats,
+    simhash,
+    toxicity,
+    url_filters,
+)
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_html_text": html_text.op2_html_text,
+        "op3_repeats": repeats.op3_repeats,
         "op4_pii": pii.op4_pii,
         "op5_packing": packing.op5_packing,
         "op6_ann": ann.op6_ann,
