@@ -16,9 +16,9 @@ unique or certainly repeated is found first, and suffixes decide the rest:
    suffix array of the right sides, built by linear grouping of Lyndon prefixes
    (see ``suffixes``), puts windows with a common continuation side by side; at
    each start, neighbours that share it and the bytes to the left are repeats.
-4. A core with more than ``GROUP`` pieces is never gathered: its pieces are
-   halved and meet again by their longer cores, down to single windows, which
-   are only counted.
+4. A core with more than ``GROUP`` pieces is never gathered: pieces that are
+   alike are folded, the rest is halved and meets again by the longer cores, down
+   to single windows, which are only counted.
 
 Digests have 128 bits and stand for the bytes. Matches never cross documents, as
 windows do not. Equal texts are one text with a count, until the result.
@@ -275,23 +275,41 @@ def _compare(batches, e: int):
 def _edge_repeats(pieces: DataFrame) -> DataFrame:
     """(tk, first, last) of the repeated starts among the pieces."""
     names = ["core", "left", "right", "lo", "hi", "tk", "base"]
+    alike = names[:5]
     spark = pieces.sparkSession
-    found, e, rows = None, PIECE - 1, pieces
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found: list[DataFrame] = []
+    e, rows = PIECE - 1, pieces
     while True:
-        sizes = rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
-        rows = settle(rows.join(sizes, "core"))
+        rows = _sized(rows)
         if e == 0:
-            part = rows.where("lo <= 0 and hi >= 0").select("tk", F.col("base").alias("first"), F.col("base").alias("last"))
-            found = part if found is None else found.union(part)
-            return found
-        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        small = rows.where(F.col("n") <= GROUP).select(names).repartition(parts, "core").sortWithinPartitions("core", "tk", "base")
-        part = settle(small.mapInArrow(lambda it, e=e: _compare(it, e), "tk binary, first long, last long"))
-        found = part if found is None else found.union(part)
+            return _union([*found, rows.where("lo <= 0 and hi >= 0").select("tk", F.col("base").alias("first"), F.col("base").alias("last"))])
+        # in large groups, pieces that are alike repeat each other; one of them goes on
         large = rows.where(F.col("n") > GROUP)
-        if large.isEmpty():
-            return found
-        rows, e = settle(_halves(large)), (e + 1) // 2 - 1
+        folds = settle(large.groupBy(*alike).agg(F.count("*").alias("c"), F.min(F.struct("tk", "base")).alias("one")))
+        again = large.join(folds.where("c > 1").select(alike), alike)
+        found.append(again.select("tk", (F.col("base") + F.col("lo")).alias("first"), (F.col("base") + F.col("hi")).alias("last")))
+        left = _sized(folds.select(*alike, "one.tk", "one.base"))
+        small = rows.where(F.col("n") <= GROUP).select(names).union(left.where(F.col("n") <= GROUP).select(names))
+        small = small.repartition(parts, "core").sortWithinPartitions("core", "tk", "base")
+        found.append(settle(small.mapInArrow(lambda it, e=e: _compare(it, e), "tk binary, first long, last long")))
+        left = left.where(F.col("n") > GROUP).withColumn("e", F.lit(e))
+        if left.isEmpty():
+            return _union(found)
+        rows, e = settle(_halves(left)).drop("e"), (e + 1) // 2 - 1
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """Pieces whose core others have too, with their number."""
+    sizes = settle(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
+    return settle(rows.join(sizes, "core"))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
 
 
 def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -300,7 +318,8 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     text = F.col(text_col).cast("string")
     source = docs.where(F.octet_length(text) >= length).select(F.unhex(F.md5(text.cast("binary"))).alias("tk"), text.alias("text"))
     anchors = settle(_anchor_rows(source, length))
-    twice = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # counts are written out before they are joined: a frequent gram's rows then need not meet in one task
+    twice = settle(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     again = settle(anchors.join(twice, "gram"))
     # a run of one text and its copies count alike: what counts is where the bytes stand
     classes = settle(
