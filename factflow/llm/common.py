@@ -74,3 +74,10 @@ def fresh(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def kept(df, keep: list[str] | None, *made: str) -> list[str]:
+    """The columns to pass on: ``keep``, or all; columns that are called like
+    one that is made (in any case) are replaced by it."""
+    gone = {m.lower() for m in made}
+    return [c for c in (df.columns if keep is None else keep) if c.lower() not in gone]

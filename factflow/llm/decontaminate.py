@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factflow.llm.common import fresh, settle, table
+from factflow.llm.common import fresh, kept, settle, table
 
 WINDOW = 13
 #: Words of the items in one automaton (at most twice as many states).
@@ -231,7 +231,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     """The columns ``keep`` (all, if None) and ``out``: struct of n_words, n_hit,
     spans (merged [start, end) word ranges), chars (the same in characters of
     the text) and items (ids as text, sorted)."""
-    keep = docs.columns if keep is None else keep
+    keep = kept(docs, keep, out)
     text = fresh([*keep, out], "text_")
     result = docs.select(*keep, F.col(text_col).cast("string").alias(text))
     shards = item_shards(benchmark, item_col, item_text_col, shard_words)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factflow.llm.common import fresh, table
+from factflow.llm.common import fresh, kept, table
 
 _TAG = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>"
@@ -226,7 +226,7 @@ def main_text(page: str | None) -> str:
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None, out: str = "text") -> DataFrame:
     """The columns ``keep`` (all but the html, if None) and the main text."""
-    keep = [c for c in pages.columns if c != html_col and c != out] if keep is None else keep
+    keep = [c for c in kept(pages, keep, out) if keep is not None or c != html_col]
     source = pages.select(*keep, F.col(html_col).cast("string").alias(fresh(keep, "html_")))
     n = len(keep)
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factflow.llm.common import fold, fresh, table
+from factflow.llm.common import fold, fresh, kept, table
 from factflow.llm.ngrams import Stream, groups
 
 BUCKET_BITS = 16
@@ -215,7 +215,7 @@ def predict(texts: list[str], model: LanguageModel | None) -> tuple[list[str], n
 def with_language(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: list[str] | None = None,
                   lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """The columns ``keep`` (all, if None), the predicted language and its score."""
-    keep = docs.columns if keep is None else keep
+    keep = kept(docs, keep, lang_out, score_out)
     source = docs.select(*keep, F.col(text_col).cast("string").alias(fresh(keep, "text_")))
     n = len(keep)
     held = docs.sparkSession.sparkContext.broadcast(model)

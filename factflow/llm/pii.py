@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factflow.llm.common import fresh, settle, table
+from factflow.llm.common import fresh, kept, settle, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: From this probability a candidate is added.
@@ -261,7 +261,7 @@ _SPANS_SCHEMA = T.ArrayType(T.StructType([T.StructField(x, T.IntegerType()) for
 def find_candidates(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, base_out: str = "base", extra_out: str = "extra") -> DataFrame:
     """The columns ``keep`` (all, if None), base spans and further candidates:
     arrays of struct(start, kind, end, pattern)."""
-    keep = docs.columns if keep is None else keep
+    keep = kept(docs, keep, base_out, extra_out)
     source = docs.select(*keep, F.col(text_col).cast("string").alias(fresh(keep, "text_")))
     n = len(keep)
     names = ("start", "kind", "end", "pattern")

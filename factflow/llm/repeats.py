@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factflow.llm.common import fresh, settle, table, texts
+from factflow.llm.common import fresh, kept, settle, table, texts
 from factflow.llm.suffixes import suffix_array
 
 LENGTH = 400
@@ -350,7 +350,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", keep: list[str] | No
     """The columns ``keep`` (all, if None) and ``out``: struct of n_bytes,
     n_removed, spans (maximal removed runs, in bytes, ends exclusive) and kept
     (the remaining bytes, which may part a character)."""
-    keep = docs.columns if keep is None else keep
+    keep = kept(docs, keep, out)
     tk, text, ranges = (fresh([*keep, out], x) for x in ("tk", "text_", "ranges"))
     found = settle(repeated_ranges(docs, text_col, length))
     t = F.col(text_col).cast("string")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factflow.llm.common import fresh, settle, table, texts
+from factflow.llm.common import fresh, kept, settle, table, texts
 from factflow.llm.components import connected_components
 
 BITS = 64
@@ -74,7 +74,7 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 def with_fingerprints(docs: DataFrame, text_col: str, out: str, words: int = 3, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all, if None) of each row, and ``out``: its
     fingerprint as a signed 64-bit number."""
-    keep = docs.columns if keep is None else keep
+    keep = kept(docs, keep, out)
     source = docs.select(*keep, F.col(text_col).cast("string").alias(fresh(keep, "text_")))
     n = len(keep)
 
@@ -252,15 +252,16 @@ def hamming_links(fps: DataFrame, budget: int = 3, chunk: int = CHUNK) -> DataFr
 
 
 def fingerprint_components(prints: DataFrame, id_col: str, budget: int = 3) -> DataFrame:
-    """(fp, component) of every distinct fingerprint of ``prints`` (columns
-    ``id_col`` and fp): the smallest id reachable."""
+    """(fp, root, component) of every distinct fingerprint of ``prints``
+    (columns ``id_col`` and fp): a fingerprint that names the component, and the
+    smallest id reachable."""
     classes = settle(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     # the smallest value as unsigned or signed does not matter: a root only names its component
     roots = settle(connected_components(hamming_links(classes.select("fp"), budget)))
     named = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     named = named.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component"))
-    return named.join(ids, "root").select("fp", "component")
+    return named.join(ids, "root").select("fp", "root", "component")
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3, words: int = 3) -> DataFrame:
@@ -279,8 +280,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     counts = prints.groupBy("fp", id_col).agg(F.count("*").alias("copies"))
     # the one fingerprint and id that stays of each component
     best = counts.join(classes, "fp").where(F.col(id_col).eqNullSafe(F.col("component")))
-    best = best.groupBy("component").agg(F.min_by(F.struct("fp", "copies"), "fp").alias("b"))
-    best = settle(best.select(F.col("b.fp").alias(fp), F.col("component").alias(component), F.col("b.copies").alias(copies)))
+    best = best.groupBy("root").agg(F.min_by(F.struct("fp", "component", "copies"), "fp").alias("b"))
+    best = settle(best.select(F.col("b.fp").alias(fp), F.col("b.component").alias(component), F.col("b.copies").alias(copies)))
     marked = with_fingerprints(docs, text_col, fp, words).join(best, fp)
     marked = marked.where(F.col(id_col).eqNullSafe(F.col(component)))
     single = marked.where(F.col(copies) == 1)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factflow.llm.common import fold, fresh, settle, table
+from factflow.llm.common import fold, fresh, kept, settle, table
 from factflow.llm.ngrams import Stream, groups
 
 ORDER = 5
@@ -221,7 +221,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel | None, text_col: str =
                   score_out: str = "score", spans_out: str = "sentences", threshold: float = THRESHOLD) -> DataFrame:
     """The columns ``keep`` (all, if None), the score, and the offending
     sentences: array of struct(start, end, score), in characters."""
-    keep = docs.columns if keep is None else keep
+    keep = kept(docs, keep, score_out, spans_out)
     source = docs.select(*keep, F.col(text_col).cast("string").alias(fresh(keep, "text_")))
     n = len(keep)
     held = docs.sparkSession.sparkContext.broadcast(model)
