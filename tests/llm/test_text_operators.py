@@ -288,10 +288,10 @@ def test_toxic_sentences_are_found(spark, tmp_path):
         bad = rng.random() < 0.3
         if bad:
             at = rng.randrange(len(sentences))
-            sentences[at] = f"you are a {rng.choice(['slimeball', 'dirtbag'])} and more."
+            sentences[at] = f"{prose('en', rng, 3)[:-1]} {rng.choice(['slimeball', 'dirtbag'])} {prose('en', rng, 3)}"
         rows.append((k, " ".join(sentences)))
         labels.append((k, int(bad)))
-    df = docs(spark, [*rows, *((1000 + (i or 0), t) for i, t in ODD), (None, "you are a dirtbag and more.")])
+    df = docs(spark, [*rows, *((1000 + (i or 0), t) for i, t in ODD), (None, "under the dirtbag house.")])
     label = spark.createDataFrame([*labels, (1004, None), (None, 1)], "doc_id long, toxic int")
     out = {r["doc_id"]: r for r in toxicity.op1_toxicity(spark, folder(tmp_path, documents=df, labels=label)).collect()}
     assert len(out) == len({r["doc_id"] for r in df.collect()})
@@ -299,9 +299,9 @@ def test_toxic_sentences_are_found(spark, tmp_path):
     assert held and np.mean([out[i]["predicted"] == y for i, y in held]) > 0.97
     assert out[1001]["score"] == out[1002]["score"] == 0 and out[None]["predicted"] == 1 and not out[None]["held_out"]
     model = toxicity.train(df, label)
-    text = "All is well here. You are such a dirtbag! And so on. A slimeball, too"
+    text = "All is well here. Under such a dirtbag! And so on. A slimeball, too"
     _, [spans] = toxicity.score_texts([text], model)
-    assert [text[s:e].strip() for s, e, _ in spans] == ["You are such a dirtbag!", "A slimeball, too"]
+    assert [text[s:e].strip() for s, e, _ in spans] == ["Under such a dirtbag!", "A slimeball, too"]
 
 
 def test_toxicity_without_teaching(spark):
