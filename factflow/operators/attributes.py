@@ -11,6 +11,7 @@ kept as a log of changes ``(e, v, _time, _w)`` under input semantics:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -67,17 +68,34 @@ class AttributeConfig:
         return AttributeConfig(trace_slack=slack, **known)
 
 
+class WideTable:
+    """A table that is opened when it is first needed."""
+
+    def __init__(self, source: DataFrame | Callable[[], DataFrame]):
+        self._source = source
+
+    @property
+    def df(self) -> DataFrame:
+        if callable(self._source):
+            self._source = self._source()
+        return self._source
+
+
 @dataclass(frozen=True)
 class TableAttribute:
     """A column of a wide table. ``unique``: the key is unique and not null, so
     that several attributes of the table can be read in one scan."""
 
-    table: DataFrame
+    wide: WideTable
     table_id: str
     key: str
     value: Column
     unique: bool = True
 
+    @property
+    def table(self) -> DataFrame:
+        return self.wide.df
+
     def pairs(self) -> DataFrame:
         return self.table.select(F.col(self.key).alias("e"), self.value.alias("v")).where("e IS NOT NULL AND v IS NOT NULL")
 

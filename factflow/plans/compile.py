@@ -66,6 +66,7 @@ class Compiler:
         # of the recursion that is being evaluated: everything known, and the last round's news
         self._known: dict[str, Relation | None] = {}
         self._news: dict[str, Relation | None] = {}
+        self._held: dict[str, tuple[DataFrame, bool]] = {}
         self._focus: int | None = None
         self._seen = 0
 
@@ -100,6 +101,7 @@ class Compiler:
         uses = {n: _count(plans[n], component) for n in component}
         self._known = dict.fromkeys(component)
         self._news = dict.fromkeys(component)
+        self._hold(component)
         for turn in range(MAX_ROUNDS):
             found: dict[str, Relation | None] = {}
             for n in component:
@@ -123,6 +125,18 @@ class Compiler:
                 raise IncorrectError(f"rule {n!r} has no case to begin with, so its columns have no type")
             self.made[n] = self._known[n]
         self._known, self._news, self._focus = {}, {}, None
+        for df, _ in self._held.values():
+            df.unpersist()  # the results are written out and need it no more
+        self._held = {}
+
+    def _hold(self, component: list[str]) -> None:
+        """Facts that every round reads are made once, unless they are plain
+        columns of a table, which a scan gives as well."""
+        for n in component:
+            for a in analyze.dependencies(self.rules[n].plan).attributes:
+                if self.source.table(a) is None and a not in self._held:
+                    df, weighted = self.source.pairs(a)
+                    self._held[a] = (df.persist(), weighted)
 
     def _evaluate(self, plan: Plan, focus: int | None) -> Relation | None:
         self._focus, self._seen = focus, 0
@@ -153,7 +167,7 @@ class Compiler:
 
     def _attribute(self, name: str, e: int, v: int, as_set: bool = False) -> Relation:
         try:
-            df, weighted = self.source.pairs(name)
+            df, weighted = self._held.get(name) or self.source.pairs(name)
         except KeyError:
             raise NotFoundError(f"no attribute {name!r}") from None
         t = self.source.table(name)

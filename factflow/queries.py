@@ -53,8 +53,8 @@ def tables(spark: SparkSession, sf_dir: str) -> Domain:
     """The tables as attributes; money in cents, times in milliseconds."""
     d = Domain(spark)
 
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def read(name: str) -> Callable[[], DataFrame]:
+        return lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     def cents(c: str):
         return F.round(F.col(c) * 100).cast("long")
@@ -80,8 +80,12 @@ def tables(spark: SparkSession, sf_dir: str) -> Domain:
     d.add_table("events", read("events"), "event_id", {
         "event_user": "user_id", "event_type": "event_type", "event_cents": cents("value"), "event_time": ms("ts")})
     d.add_table("documents", read("documents"), "doc_id", {"doc_lang": "lang", "doc_source": "source", "doc_chars": "n_chars"})
-    lines = read("lineitem").where("l_quantity = 50 AND l_linenumber = 1")
-    d.add_derived("edge", lines.select(F.col("l_suppkey").alias("e"), (F.col("l_partkey") % 100).alias("v")).distinct())
+
+    def edge() -> DataFrame:
+        lines = read("lineitem")().where("l_quantity = 50 AND l_linenumber = 1")
+        return lines.select(F.col("l_suppkey").alias("e"), (F.col("l_partkey") % 100).alias("v")).distinct()
+
+    d.add_derived("edge", edge)
     return d
 
 

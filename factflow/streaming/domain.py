@@ -7,7 +7,7 @@ refused; data dated ahead is kept and shows when its epoch is reached.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Any
 
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from factflow.errors import ConflictError, IncorrectError, NotFoundError
 from factflow.functions.values import SPARK_TYPE, decode
-from factflow.operators.attributes import SNAPSHOTS, TIME, AttributeConfig, TableAttribute, last_write_diffs, snapshot_raw
+from factflow.operators.attributes import SNAPSHOTS, TIME, AttributeConfig, TableAttribute, WideTable, last_write_diffs, snapshot_raw
 from factflow.operators.relation import WEIGHT, Relation
 from factflow.plans.ast import Plan, Rule
 from factflow.plans.compile import Compiler, Source
@@ -132,7 +132,7 @@ class Domain:
         self.epoch = 0
         self.logs: dict[str, ChangeLog] = {}
         self.tables: dict[str, TableAttribute] = {}
-        self.derived: dict[str, tuple[DataFrame, bool]] = {}
+        self.derived: dict[str, tuple[WideTable, bool]] = {}
         self.rules: dict[str, Rule] = {}
 
     # -- attributes ------------------------------------------------------------
@@ -144,16 +144,18 @@ class Domain:
         self._check_new(name)
         self.logs[name] = ChangeLog(self.spark, config or AttributeConfig())
 
-    def add_table(self, table_id: str, df: DataFrame, key: str, attributes: dict[str, Column | str], unique: bool = True) -> None:
-        """Columns of a wide table as attributes of its key's entities."""
+    def add_table(self, table_id: str, df: DataFrame | Callable[[], DataFrame], key: str, attributes: dict[str, Column | str], unique: bool = True) -> None:
+        """Columns of a wide table as attributes of its key's entities; the table
+        may be given as a function that opens it."""
+        wide = WideTable(df)
         for name, value in attributes.items():
             self._check_new(name)
             column = F.col(value) if isinstance(value, str) else value
-            self.tables[name] = TableAttribute(df, table_id, key, column, unique)
+            self.tables[name] = TableAttribute(wide, table_id, key, column, unique)
 
-    def add_derived(self, name: str, pairs: DataFrame, weighted: bool = False) -> None:
+    def add_derived(self, name: str, pairs: DataFrame | Callable[[], DataFrame], weighted: bool = False) -> None:
         self._check_new(name)
-        self.derived[name] = (pairs, weighted)
+        self.derived[name] = (WideTable(pairs), weighted)
 
     def has(self, name: str) -> bool:
         return name in self.logs or name in self.tables or name in self.derived
@@ -240,7 +242,8 @@ class Domain:
                     df = log.snapshot(epoch)
                     held[name] = (df if raw else df.select("e", "v"), raw)
                 else:
-                    held[name] = self.derived[name]
+                    pairs_of, weighted = self.derived[name]
+                    held[name] = (pairs_of.df, weighted)
             return held[name]
 
         return Source(pairs, self.tables.get)
