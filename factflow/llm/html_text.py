@@ -23,6 +23,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,18 @@ _MASTHEAD = frozenset("header masthead topbar banner".split())
 _WHOLE = ("article", "main")
 
 
+def _name_words(attributes: str) -> set[str]:
+    """Words of class, id and role; a layout "with-sidebar" is no sidebar."""
+    words = set()
+    for m in _NAMES.finditer(attributes):
+        last = ""
+        for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()):
+            if last not in ("with", "without", "has", "no"):
+                words.add(w)
+            last = w
+    return words
+
+
 class _Page:
     """The element tree as parallel lists; a parent stands before its children."""
 
@@ -65,6 +78,7 @@ class _Page:
         self.tag, self.parent = ["body"], [-1]
         self.blocks: list[list] = []  # [node, pieces, characters, characters in links]
         self._stack: list[tuple[str, int]] = [("body", 0)]  # dropped elements have node -1
+        self._open: Counter = Counter()  # how many elements of each name the stack has
         self._block: list | None = None
         self._read(page)
 
@@ -107,6 +121,12 @@ class _Page:
             return
         dropped = above < 0 or self._drops(name, attributes)
         self._stack.append((name, -1 if dropped else self._add(name, above)))
+        self._open[name] += 1
+
+    def _cut(self, k: int) -> None:
+        for name, _ in self._stack[k:]:
+            self._open[name] -= 1
+        del self._stack[k:]
 
     def _add(self, name: str, above: int) -> int:
         self.tag.append(name)
@@ -116,24 +136,23 @@ class _Page:
     def _drops(self, name: str, attributes: str) -> bool:
         if name in _DROPPED:
             return True
-        inside = any(n in _WHOLE for n, _ in self._stack)
+        inside = any(self._open[n] for n in _WHOLE)
         if name == "header" and not inside:
             return True
         if not attributes or attributes.isspace():
             return False
         if _HIDDEN.search(attributes):
             return True
-        if name in _WHOLE and not inside:
-            words = set()
-        else:
-            words = {w for m in _NAMES.finditer(attributes) for w in _WORDS.findall(next(x for x in (m[1], m[2], m[3], "") if x is not None).lower())}
+        words = set() if name in _WHOLE and not inside else _name_words(attributes)
         return bool(words & _MARKS) or (not inside and bool(words & _MASTHEAD))
 
     def _close(self, which, upto) -> None:
+        if not any(self._open[n] for n in which):
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             name = self._stack[k][0]
             if name in which:
-                del self._stack[k:]
+                self._cut(k)
                 self._block = None
                 return
             if name in upto:
@@ -142,9 +161,11 @@ class _Page:
     def _end(self, name: str) -> None:
         if name in _BLOCKS:
             self._block = None
+        if not self._open[name]:
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k][0] == name:
-                del self._stack[k:]
+                self._cut(k)
                 return
             # an inline end tag does not close a block around it
             if name not in _BLOCKS and self._stack[k][0] in _BLOCKS:
@@ -163,7 +184,7 @@ class _Page:
             self.blocks.append(self._block)
         self._block[0].append(text)
         if n:
-            self._block[1].append((node, n, any(name == "a" for name, _ in self._stack)))
+            self._block[1].append((node, n, self._open["a"] > 0))
 
     def main_text(self) -> str:
         n = len(self.tag)

@@ -6,7 +6,8 @@ A feature is the share of a bucket among the text's n-grams times its inverse
 document frequency. Document frequencies are counted over all rows to learn
 from; the counts have one number per bucket, at any size. The weights are fitted
 on a sample of at most ``train_rows`` rows in expectation, chosen by a hash of
-the whole row's text; a fifth of it is kept from the fit for the temperature.
+the whole text, copies once; a fifth of it is kept from the fit for the
+temperature.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as
 is every text if there is nothing to learn from; with one language to learn, it
@@ -162,7 +163,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train
     # a row is in by its hash: the share, not a count, is fixed before the rows are seen
     share = min(1.0, train_rows / n)
     inside = F.pmod(F.xxhash64(F.col(text_col), F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)
-    got = _sample_features(rows.where(inside), text_col, lang_col)
+    # copies fall on one hash: they teach once, or a large group would be the sample
+    own = rows.where(inside).groupBy(F.xxhash64(text_col).alias("h_"), F.col(lang_col).alias("lang_")).agg(F.first(text_col).alias("text_"))
+    got = _sample_features(own, "text_", "lang_")
     got = got[got.n.map(sum) > len(ORDERS)].sort_values(["lang"], kind="stable") if len(got) else got
     if not len(got):
         return None

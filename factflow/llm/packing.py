@@ -8,8 +8,8 @@ that is one too many, the fullest closes first.
 Pieces are dealt evenly to shards of a fixed count of tokens, each the stream of
 one task, the longest first (so late short pieces fill what is left). At a
 shard's end the fullest bins close until ``carried`` are left; these are not
-shipped half empty: their pieces are packed again in a further round of 1/32 of
-the shards, until one shard is left. Only lengths and checksums are shuffled, never texts.
+shipped half empty: their pieces are packed again in a further round of about
+1/32 of the shards, until one shard is left. Only lengths and checksums are shuffled, never texts.
 
 Defined cases: a null or empty text is the single closing id; a document longer
 than ``capacity`` is cut into pieces of ``capacity``, the last may be shorter;
@@ -40,6 +40,7 @@ CAPACITY = 4096
 OPEN_BINS = 4096
 #: Tokens of one packing task: about as many sequences as bins stay open.
 SHARD_TOKENS = 1 << 24
+SHARD_ROWS = 1 << 20
 #: Bins that may still be open when a shard ends; beyond, the fullest close.
 CARRIED_BINS = 128
 #: Words whose ids a Python worker keeps, and as many that were not used lately.
@@ -302,21 +303,22 @@ def _pack_round(rows: DataFrame, shards: int, turn: int, capacity: int, open_bin
 def pack(rows: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_tokens: int = SHARD_TOKENS,
          carried: int = CARRIED_BINS) -> DataFrame:
     """``rows`` (with a column length of at most ``capacity``) and sequence_id,
-    offset. A shard holds its rows' numbers in memory: ``shard_tokens`` bounds
-    them, as a row is one token at least."""
+    offset. A shard holds its rows' numbers in memory; ``shard_tokens`` and
+    ``SHARD_ROWS`` bound them."""
     base = rows.columns
-    rows = settle(rows)
-    total = rows.agg(F.sum("length")).first()[0] or 0
-    shards, turn, done = max(1, math.ceil(total / shard_tokens)), 0, None
+    rows, turn, done, shards = settle(rows), 0, None, None
     while True:
+        size = rows.agg(F.sum("length").alias("tokens"), F.count("*").alias("rows")).first()
+        need = max(1, math.ceil((size["tokens"] or 0) / shard_tokens), math.ceil(size["rows"] / SHARD_ROWS))
+        # fewer each round, so that it ends
+        shards = need if shards is None else min(need, max(1, shards // 2))
         final = shards == 1
         packed = settle(_pack_round(rows, shards, turn, capacity, open_bins, carried, final, base))
         closed = packed.where("closed").drop("closed")
         done = closed if done is None else done.unionByName(closed)
         if final:
             return done
-        rows = packed.where("not closed").select(*base)
-        shards, turn = math.ceil(shards / max(2, shard_tokens // (carried * capacity))), turn + 1
+        rows, turn = packed.where("not closed").select(*base), turn + 1
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,

@@ -41,6 +41,8 @@ CHUNK = 1024
 SLAB = 1 << 14
 #: Expected members of a group, from which more blocks are used.
 GROUP = 4096
+#: Hashes of a text whose bits are counted at once.
+PART = 1 << 16
 
 # byte value -> its 8 bits spread over the 8 bytes of a word, lowest bit first
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view("<u8")[:, 0]
@@ -64,10 +66,13 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     hashes = shingle_hashes(text, words)
     if not hashes:
         return 0
-    spread = _SPREAD[np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)]
-    # a byte lane holds 255 at most
-    lanes = np.add.reduceat(spread, np.arange(0, len(hashes), 255), axis=0)
-    counts = lanes.view(np.uint8).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), PART):
+        own = hashes[at : at + PART]
+        spread = _SPREAD[np.array(own, dtype="<u8").view(np.uint8).reshape(-1, 8)]
+        # a byte lane holds 255 at most
+        lanes = np.add.reduceat(spread, np.arange(0, len(own), 255), axis=0)
+        counts += lanes.view(np.uint8).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 

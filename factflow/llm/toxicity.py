@@ -13,7 +13,7 @@ Every text is scored whole.
 
 Defined cases: a null, empty or letterless text has no sentence and score 0; no
 labels to learn from give score 0 to all; a document with several labels counts
-as toxic if one says so; null labels and ids do not teach; repeated rows are
+as toxic if one says so; of rows with one id, one teaches; null labels and ids do not teach; repeated rows are
 scored alike; an empty table gives an empty result.
 """
 
@@ -77,7 +77,9 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     inside = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)
     own = known.where(inside).select(F.col(id_col).alias("id_"), "toxic_")
     chosen = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"))
-    return settle(chosen.join(F.broadcast(own), "id_").select("text_", "toxic_"))
+    taken = chosen.join(F.broadcast(own), "id_").groupBy("id_")
+    taken = taken.agg(F.min_by("text_", F.xxhash64("text_")).alias("text_"), F.first("toxic_").alias("toxic_"))
+    return settle(taken.select("text_", "toxic_"))
 
 
 def select_features(sample: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, int]:

@@ -223,6 +223,11 @@ def test_odd_pages(spark, tmp_path):
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_layout_classes_are_no_marks():
+    page = '<div class="has-sidebar wide"><p>Some text of the story, long enough.</p><p class="share-box">Share</p></div>'
+    assert html_text.main_text(page) == "Some text of the story, long enough."
+
+
 def test_low_density_is_left_out():
     links = "".join(f'<li><a href="/{k}">Some link {k}</a></li>' for k in range(40))
     page = f"<body><div><ul>{links}</ul></div><div><p>{'Long text of the story. ' * 20}</p><p>{'More of it follows here. ' * 20}</p></div></body>"
