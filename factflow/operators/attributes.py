@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factflow.errors import IncorrectError
+from factflow.functions.time import visible_at
 from factflow.operators.relation import WEIGHT, Relation
 
 TIME = "_time"
@@ -135,6 +136,18 @@ def last_write_diffs(changes: DataFrame) -> DataFrame:
     return out.where(F.col(WEIGHT) != 0)
 
 
+def snapshot_bitemporal(changes: DataFrame, event: int, system: int, last_write: bool = True) -> DataFrame:
+    """Facts at ``event`` as known at ``system``, of changes with columns e, v,
+    _event, _system, _w: those whose both times have come. The order of writes
+    is by event time, then system time, then value."""
+    seen = changes.where(visible_at(F.col("_event"), F.col("_system"), (event, system)))
+    if not last_write:
+        return snapshot_raw(seen)
+    each = seen.groupBy("e", "v", "_event", "_system").agg(F.sum(WEIGHT).alias(WEIGHT)).where(F.col(WEIGHT) != 0)
+    last = each.groupBy("e").agg(F.max_by(F.struct("v", WEIGHT), F.struct("_event", "_system", "v")).alias("last"))
+    return last.where(F.col(f"last.{WEIGHT}") > 0).select("e", "last.v", F.lit(1).cast("long").alias(WEIGHT))
+
+
 SNAPSHOTS = {"Raw": snapshot_raw, "Distinct": snapshot_distinct, "LastWriteWins": snapshot_last}
 
 

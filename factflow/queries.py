@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factflow.functions.time import coarsen_column
 from factflow.functions.values import tagged
-from factflow.operators.attributes import TIME, AttributeConfig
+from factflow.operators.attributes import TIME, AttributeConfig, snapshot_bitemporal
 from factflow.operators.hector import triangles
 from factflow.plans.ast import (
     Aggregate,
@@ -349,6 +349,13 @@ def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epoch_diffs(d, _COUNTED, 2).drop(TIME).toDF("e", "v", "d")
 
 
+@_query("bitemporal_snapshot", f"SELECT user_id AS e, arg_max({_EV}, struct_pack(a := event_id % 10, b := event_id)) AS v FROM events WHERE event_id % 10 <= 6 AND event_id <= 5000 GROUP BY user_id")
+def _bitemporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    changes = events.select(F.col("user_id").alias("e"), F.expr(_EV).alias("v"), (F.col("event_id") % 10).alias("_event"), F.col("event_id").alias("_system"), F.lit(1).alias("_w"))
+    return snapshot_bitemporal(changes, 6, 5000).select("e", "v")
+
+
 @_query("tagged_lane", "SELECT v FROM (SELECT r_name AS v, 1 AS t, r_name AS s, 0 AS n FROM region UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 5, NULL, n_nationkey FROM nation) WHERE t > 1 OR s >= 'ASIA'")
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tables(spark, sf_dir)

@@ -133,11 +133,12 @@ class Domain:
         self.logs: dict[str, ChangeLog] = {}
         self.tables: dict[str, TableAttribute] = {}
         self.derived: dict[str, tuple[WideTable, bool]] = {}
+        self.views: dict[str, Callable[[Compiler], DataFrame]] = {}
         self.rules: dict[str, Rule] = {}
 
     # -- attributes ------------------------------------------------------------
     def _check_new(self, name: str) -> None:
-        if name in self.logs or name in self.tables or name in self.derived:
+        if self.has(name):
             raise ConflictError(f"attribute {name!r} exists")
 
     def create_attribute(self, name: str, config: AttributeConfig | None = None) -> None:
@@ -157,8 +158,13 @@ class Domain:
         self._check_new(name)
         self.derived[name] = (WideTable(pairs), weighted)
 
+    def add_view(self, name: str, pairs: Callable[[Compiler], DataFrame]) -> None:
+        """An attribute whose (e, v) follow from others at every epoch."""
+        self._check_new(name)
+        self.views[name] = pairs
+
     def has(self, name: str) -> bool:
-        return name in self.logs or name in self.tables or name in self.derived
+        return any(name in kind for kind in (self.logs, self.tables, self.derived, self.views))
 
     def log(self, name: str) -> ChangeLog:
         if name not in self.logs:
@@ -213,7 +219,7 @@ class Domain:
             raise IncorrectError("domains of different namespaces don't add up")
         out = Domain(self.spark, self.namespace, self.set_mode)
         out.epoch = min(self.epoch, other.epoch)
-        for kind in ("logs", "tables", "derived", "rules"):
+        for kind in ("logs", "tables", "derived", "views", "rules"):
             a, b = getattr(self, kind), getattr(other, kind)
             if set(a) & set(b):
                 raise ConflictError(f"both domains have {sorted(set(a) & set(b))}")
@@ -241,12 +247,15 @@ class Domain:
                     raw = log.config.input_semantics == "Raw"
                     df = log.snapshot(epoch)
                     held[name] = (df if raw else df.select("e", "v"), raw)
+                elif name in self.views:
+                    held[name] = (self.views[name](Compiler(made, self.rules, self.set_mode)), False)
                 else:
                     pairs_of, weighted = self.derived[name]
                     held[name] = (pairs_of.df, weighted)
             return held[name]
 
-        return Source(pairs, self.tables.get)
+        made = Source(pairs, self.tables.get)
+        return made
 
     def compiler(self, epoch: int | None = None) -> Compiler:
         return Compiler(self.source(epoch), self.rules, self.set_mode)

@@ -8,7 +8,8 @@ interested in is brought up to date once, shared by all its clients.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -20,10 +21,12 @@ from factflow.functions.time import coarsen, coarsen_column
 from factflow.operators.attributes import TIME, AttributeConfig
 from factflow.plans.analyze import closure
 from factflow.plans.ast import GraphQl, MatchA, PullLevel, Rule, plan_from_json
-from factflow.plans.compile import result_columns
+from factflow.plans.compile import Compiler, result_columns
 from factflow.plans.graphql import derived_attributes, parse, to_pull
 from factflow.sinks.core import AssocIn, FileSink, MemorySink, Sink, TheVoid
+from factflow.sources import introspection
 from factflow.sources.files import CsvFile, JsonFile, ParquetTable
+from factflow.sources.introspection import ProgressListener
 from factflow.streaming.domain import Datom, Domain
 from factflow.streaming.incremental import epoch_diffs
 
@@ -57,6 +60,20 @@ class Engine:
         self.outputs: list[Output] = []
         self.streams: list = []
         self.running = True
+        self.listener: ProgressListener | None = None
+
+    @staticmethod
+    def from_config(spark: SparkSession, config: dict) -> Engine:
+        """``tick`` (milliseconds), ``manual_advance``, ``enable_logging`` (the
+        engine's own attributes). The optimizer setting is ignored: rules are
+        rewritten only where their meaning stays."""
+        tick = config.get("tick")
+        if isinstance(tick, dict):
+            tick = tick.get("secs", 0) * 1000 + tick.get("nanos", 0) // 1_000_000
+        engine = Engine(spark, bool(config.get("manual_advance")), tick=tick)
+        if config.get("enable_logging"):
+            engine.register_introspection()
+        return engine
 
     # -- requests --------------------------------------------------------------
     def message(self, requests: list[Callable[[], Any]], client: str = "self") -> list[Output]:
@@ -105,6 +122,8 @@ class Engine:
                 return lambda: self.subscribe(body, client)
             case "Derive":
                 return lambda: self.derive(*body)
+            case "RegisterSource" if body in ("Introspection", {"Introspection": None}):
+                return self.register_introspection
             case "RegisterSource":
                 return lambda: self.register_source(source_from_json(body))
             case "AdvanceDomain":
@@ -144,6 +163,29 @@ class Engine:
             self.domain.create_attribute(n, config)
             self.domain.transact_frame(n, source.pairs(rows, n))
 
+    def register_introspection(self) -> ProgressListener:
+        """The engine's own activity as attributes, brought up to date at the end
+        of every epoch."""
+        if self.listener is None:
+            introspection.create(self.domain)
+            self.listener = ProgressListener()
+            self.spark.streams.addListener(self.listener)
+        return self.listener
+
+    def serve(self, messages: Iterator[str], client: str = "self") -> Iterator[Output]:
+        """Messages as they come; with ``tick``, an epoch ends at that many
+        milliseconds at the latest once a message arrives."""
+        last = time.monotonic()
+        for text in messages:
+            yield from self.json_message(text, client)
+            if self.tick and (time.monotonic() - last) * 1000 >= self.tick:
+                before = len(self.outputs)
+                self.advance_tick()
+                yield from self.outputs[before:]
+                last = time.monotonic()
+            if not self.running:
+                return
+
     def subscribe(self, attribute: str, client: str = "self", sink: Sink | None = None) -> None:
         """Interest in a whole attribute."""
         if not self.domain.has(attribute):
@@ -181,24 +223,12 @@ class Engine:
             for a in derived_attributes(selection):
                 name = f"{namespace}/{a}"
                 levels = [x for x in to_pull(GraphQl(query)).paths if a in x.pull_attributes]
-                self.domain.add_derived(name, self._derived_pairs(a, levels))
+                if not self.domain.has(a):
+                    raise NotFoundError(f"no attribute {a!r}")
+                self.domain.add_view(name, lambda compiler, a=a, levels=levels: _derived_pairs(compiler, a, levels))
                 made.append(name)
         return made
 
-    def _derived_pairs(self, attribute: str, levels) -> DataFrame:
-        compiler = self.domain.compiler()
-        out = None
-        for level in levels:
-            df, weighted = compiler.source.pairs(attribute)
-            if weighted:
-                df = df.where(F.col("_w") > 0).select("e", "v")
-            if isinstance(level, PullLevel):
-                r = compiler.plan(level.plan)
-                df = df.join(r.df.select(F.col(r.column(level.pull_variable)).alias("e")).distinct(), "e", "left_semi")
-            df = df.select("e", "v")
-            out = df if out is None else out.union(df)
-        return out.distinct()
-
     # -- time ------------------------------------------------------------------
     def advance_domain(self, name: str | None, to: int) -> None:
         if name is not None:
@@ -214,6 +244,8 @@ class Engine:
     def flush(self) -> None:
         """Tell what the current epoch changed, then begin the next."""
         epoch = self.domain.epoch
+        if self.listener is not None:
+            self.domain.transact(self.listener.drain())
         for i in list(self.interests.values()):
             self._show(i, epoch)
         self.domain.advance_epoch(epoch + 1)
@@ -275,7 +307,7 @@ class Engine:
     # -- the rest --------------------------------------------------------------
     def status(self) -> dict[str, Any]:
         return {
-            "epoch": self.domain.epoch, "attributes": sorted([*self.domain.logs, *self.domain.tables, *self.domain.derived]),
+            "epoch": self.domain.epoch, "attributes": sorted([*self.domain.logs, *self.domain.tables, *self.domain.derived, *self.domain.views]),
             "rules": sorted(self.domain.rules), "interests": {n: sorted(i.clients) for n, i in self.interests.items()},
         }
 
@@ -285,10 +317,28 @@ class Engine:
     def shutdown(self) -> None:
         for s in self.streams:
             s.stop()
+        if self.listener is not None:
+            self.spark.streams.removeListener(self.listener)
+            self.listener = None
         self.interests.clear()
         self.running = False
 
 
+def _derived_pairs(compiler: Compiler, attribute: str, levels) -> DataFrame:
+    """The attribute's facts of the entities that a selection's levels reach."""
+    out = None
+    for level in levels:
+        df, weighted = compiler.source.pairs(attribute)
+        if weighted:
+            df = df.where(F.col("_w") > 0)
+        if isinstance(level, PullLevel):
+            r = compiler.plan(level.plan)
+            df = df.join(r.df.select(F.col(r.column(level.pull_variable)).alias("e")).distinct(), "e", "left_semi")
+        df = df.select("e", "v")
+        out = df if out is None else out.union(df)
+    return out.distinct()
+
+
 def sink_from_json(body: Any) -> Sink | None:
     if body is None:
         return None

@@ -57,11 +57,15 @@ class Incremental:
         self._pairs: dict[str, DataFrame] = {}
 
     def pair_delta(self, name: str) -> DataFrame:
-        """(e, v, _w) of an attribute's change. Only logs change; a log's facts
-        are compared for the entities that the epoch touched."""
+        """(e, v, _w) of an attribute's change. Tables do not change; a log's
+        facts are compared for the entities that the epoch touched, a view's whole."""
         if name not in self._pairs:
             log = self.domain.logs.get(name)
-            if log is None:
+            if name in self.domain.views:
+                new, old = (c.source.pairs(name)[0] for c in (self.new, self.old))
+                df = new.withColumn(WEIGHT, F.lit(1).cast("long")).union(old.withColumn(WEIGHT, F.lit(-1).cast("long")))
+                self._pairs[name] = df.groupBy("e", "v").agg(F.sum(WEIGHT).alias(WEIGHT)).where(F.col(WEIGHT) != 0)
+            elif log is None:
                 df, weighted = self.new.source.pairs(name)
                 self._pairs[name] = (df if weighted else df.withColumn(WEIGHT, F.lit(1).cast("long"))).where(F.lit(False))
             else:

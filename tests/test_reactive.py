@@ -282,6 +282,31 @@ def test_derive(spark):
     e.transact([*facts([(1, "A"), (2, "B")], "name"), Datom.add(9, "available", 1)])
     assert e.derive("shop", "{ available { name } }") == ["shop/name"]
     assert [tuple(r) for r in e.query(MatchA(0, "shop/name", 1)).collect()] == [(1, "A")]
+    e.register(Rule("r", MatchA(0, "shop/name", 1)))
+    e.interest("r")
+    assert [(o.body, o.diff) for o in e.transact([])] == [((1, "A"), 1)]
+    told = e.transact([Datom.retract(9, "available", 1), Datom.add(9, "available", 2)])
+    assert {(o.body, o.diff) for o in told} == {((1, "A"), -1), ((2, "B"), 1)}
+    with pytest.raises(NotFoundError):
+        e.derive("x", "{ zzz }")
+
+
+def test_configuration_and_introspection(spark):
+    e = Engine.from_config(spark, {"tick": {"secs": 0, "nanos": 1_000_000}, "manual_advance": True, "enable_logging": True, "enable_optimizer": False})
+    assert e.tick == 1 and e.domain.has("query/batch")
+    e.listener.waiting = [Datom.add("q", "query/batch", 3)]
+    assert list(e.serve(iter(['"Tick"']))) == []
+    assert [tuple(r) for r in e.query(MatchA(0, "query/batch", 1)).collect()] == [("q", 3)]
+    e.shutdown()
+
+
+def test_two_dimensions_of_time(spark):
+    from factflow.operators.attributes import snapshot_bitemporal
+
+    rows = [(1, 5, 0, 0, 1), (1, 7, 1, 2, 1), (1, 6, 0, 1, 1), (2, 9, 0, 0, 1), (2, 9, 1, 1, -1)]
+    df = spark.createDataFrame(rows, "e long, v long, _event long, _system long, _w long")
+    at = lambda *t: {(r["e"], r["v"]) for r in snapshot_bitemporal(df, *t).collect()}
+    assert at(0, 0) == {(1, 5), (2, 9)} and at(0, 1) == {(1, 6), (2, 9)} and at(1, 1) == {(1, 6)} and at(1, 2) == {(1, 7)}
 
 
 # -- sinks and sources ---------------------------------------------------------
