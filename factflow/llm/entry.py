@@ -33,6 +33,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_repeats": repeats.oracle_sql(),
         "op8_url_filters": url_filters.oracle_sql(),
         "op9_decontaminate": decontaminate.oracle_sql(),
     }

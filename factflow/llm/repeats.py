@@ -381,3 +381,22 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "repeats.n_bytes", "repeats.n_removed", F.size("repeats.spans").cast("long").alias("n_spans"),
         F.sha2(F.col("repeats.kept"), 256).alias("kept_sha256"),
     )
+
+
+def oracle_sql() -> str:
+    return f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, sha256(b[i:i + {LENGTH - 1}]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - {LENGTH - 2})) AS i FROM d WHERE octet_length(b) >= {LENGTH})),
+again AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM w SEMI JOIN again USING (h)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + {LENGTH} AS hi FROM g GROUP BY doc_id, k),
+gaps AS (
+  SELECT doc_id, hi AS lo, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS hi FROM spans
+  UNION ALL SELECT doc_id, 1, min(lo) FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(hex(b[lo:coalesce(hi, octet_length(b) + 1) - 1]), '' ORDER BY lo) AS x
+  FROM gaps JOIN d USING (doc_id) WHERE lo < coalesce(hi, octet_length(b) + 1) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(coalesce(x, '')) END) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
