@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,12 +71,28 @@ class ChangeLog:
         ])
         self.frames: list[DataFrame] = []
         self.rows: list[tuple] = []
+        self.retracted = False  # since the last check
         self.since = 0  # history before this epoch is folded into it
         self.closed = False
 
     def append(self, rows: Iterable[tuple]) -> None:
+        rows = list(rows)
+        self.retracted |= any(r[3] < 0 for r in rows)
         self.rows += rows
 
+    def check(self) -> None:
+        """Refuse retractions of last-write-wins entities that have no value."""
+        if self.retracted and self.config.input_semantics == "LastWriteWins":
+            changes = self.changes()
+            touched = changes.where(F.col(WEIGHT) < 0).select("e").distinct()
+            try:
+                last_write_diffs(changes.join(touched, "e", "left_semi")).write.format("noop").mode("overwrite").save()
+            except PySparkException as e:
+                if "without a value" in str(e):
+                    raise IncorrectError("retraction of an entity without a value") from None
+                raise
+        self.retracted = False
+
     def append_frame(self, df: DataFrame) -> None:
         self.frames.append(df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema)))
 
@@ -183,8 +200,21 @@ class Domain:
                 raise ConflictError(f"datom at {d.t} is late: the epoch is {self.epoch}")
             if d.v is None or d.e is None:
                 raise IncorrectError("a fact has an entity and a value")
+        kept = {d.a: (len(self.logs[d.a].rows), self.logs[d.a].retracted) for d in datoms}
         for d in datoms:
             self.logs[d.a].append([(d.e, d.v, self.epoch if d.t is None else d.t, d.diff)])
+        for a, (n, before) in kept.items():
+            log = self.logs[a]
+            frames = len(log.frames)
+            try:
+                log.check()
+            except IncorrectError:
+                for b, (m, was) in kept.items():
+                    other = self.logs[b]
+                    if b == a and len(other.frames) > frames:
+                        other.rows = [tuple(r) for r in other.frames.pop().collect()]
+                    other.rows, other.retracted = other.rows[:m], was
+                raise
 
     def transact_frame(self, name: str, changes: DataFrame) -> None:
         """Many changes of one attribute: columns e, v and optionally _time, _w."""

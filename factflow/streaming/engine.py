@@ -13,10 +13,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factflow.errors import FactflowError, IncorrectError, NotFoundError, UnsupportedError
+from factflow.errors import FactflowError, FaultError, IncorrectError, NotFoundError, UnsupportedError
 from factflow.functions.time import coarsen, coarsen_column
 from factflow.operators.attributes import TIME, AttributeConfig
 from factflow.plans.analyze import closure
@@ -86,6 +87,8 @@ class Engine:
                 self.flush()
         except FactflowError as e:
             self.outputs.append(Output("error", client, e.as_dict(), self.domain.epoch))
+        except PySparkException as e:
+            self.outputs.append(Output("error", client, FaultError(str(e)[:500]).as_dict(), self.domain.epoch))
         return self.outputs[before:]
 
     def json_message(self, text: str, client: str = "self") -> list[Output]:

@@ -77,11 +77,24 @@ def test_last_write_diffs_equal_the_snapshots(spark):
 def test_retracting_what_is_not_there(spark):
     d = Domain(spark)
     d.create_attribute("a", AttributeConfig("LastWriteWins", value_type="Number"))
-    d.transact([Datom.retract(1, "a", 5)])
+    with pytest.raises(IncorrectError, match="without a value"):
+        d.transact([Datom.retract(1, "a", 5)])
+    d.transact_frame("a", spark.createDataFrame([(1, 5, -1)], "e long, v long, _w long"))
     with pytest.raises(Exception, match="without a value"):
         d.logs["a"].diffs().collect()
 
 
+def test_a_wrong_retraction_ends_the_message(spark):
+    e = Engine(spark)
+    e.create_attribute("a", AttributeConfig("LastWriteWins", value_type="Number"))
+    e.create_attribute("b", AttributeConfig("Raw", value_type="Number"))
+    [out] = e.transact([Datom.add(1, "b", 1), Datom.retract(7, "a", 5)])
+    assert out.kind == "error" and out.body["category"] == "incorrect"
+    e.transact([Datom.add(7, "a", 5)])
+    e.transact([Datom.retract(7, "a", 1)])
+    assert e.query(MatchA(0, "a", 1)).count() == 0 and e.query(MatchA(0, "b", 1)).count() == 0
+
+
 def test_distinct_and_raw(spark):
     t = [[Datom.add(1, ":amount", 5), Datom.add(1, ":amount", 5)], [Datom.retract(1, ":amount", 5)], [Datom.retract(1, ":amount", 5)]]
     assert run(spark, AMOUNT, ALL, t, "Distinct") == [at(0, (1, 5)), set(), at(2, (1, 5), diff=-1)]
