@@ -165,25 +165,27 @@ class Compiler:
             raise FaultError("a plan outside of a recursion has no rows to begin with")
         return r
 
-    def _attribute(self, name: str, e: int, v: int, as_set: bool = False) -> Relation:
+    def attribute(self, name: str, e: int, v: int, as_set: bool = False) -> Relation:
+        """An attribute's facts as variables. Without weights they are a set, but
+        for a table whose key is not unique."""
         try:
             df, weighted = self._held.get(name) or self.source.pairs(name)
         except KeyError:
             raise NotFoundError(f"no attribute {name!r}") from None
         t = self.source.table(name)
-        r = relation_of(df, e, v, weighted, t is not None and t.unique)
+        r = relation_of(df, e, v, weighted, not weighted and (t is None or t.unique))
         return r.distinct() if as_set else r
 
     def _plan(self, plan: Plan) -> Relation | None:
         """None: known to be empty, in the first round of a recursion."""
         match plan:
             case MatchA(e, a, v):
-                return self._attribute(a, e, v)
+                return self.attribute(a, e, v)
             case MatchEA(e, a, v):
-                r = self._attribute(a, -1, v)
+                r = self.attribute(a, -1, v)
                 return Relation(r.df.where(F.col("`v-1`") == F.lit(e)).drop("v-1"), (v,), r.weighted, r.is_set)
             case MatchAV(e, a, value):
-                r = self._attribute(a, e, -1)
+                r = self.attribute(a, e, -1)
                 return Relation(r.df.where(F.col("`v-1`") == F.lit(value)).drop("v-1"), (e,), r.weighted, r.is_set)
             case Star(e, columns):
                 tables = [(v, self.source.table(a)) for v, a in columns]
@@ -235,7 +237,7 @@ class Compiler:
         raise IncorrectError(f"not a plan: {plan!r}")
 
     def _binding(self, k: int, b: AttributeBinding) -> Relation:
-        return self._attribute(b.attribute, b.e, b.v, as_set=True)
+        return self.attribute(b.attribute, b.e, b.v, as_set=True)
 
     def _named(self, name: str) -> Relation | None:
         if name not in self._known:

@@ -172,6 +172,7 @@ class Domain:
             self.tables[name] = TableAttribute(wide, table_id, key, column, unique)
 
     def add_derived(self, name: str, pairs: DataFrame | Callable[[], DataFrame], weighted: bool = False) -> None:
+        """Facts made elsewhere: (e, v), each once, or with weights ``_w``."""
         self._check_new(name)
         self.derived[name] = (WideTable(pairs), weighted)
 

@@ -150,8 +150,7 @@ class Incremental:
 
     @staticmethod
     def _set(c: Compiler, b: AttributeBinding) -> Relation:
-        df, weighted = c.source.pairs(b.attribute)
-        return relation_of(df, b.e, b.v, weighted, False).distinct()
+        return c.attribute(b.attribute, b.e, b.v, as_set=True)
 
     def _again(self, plan: Plan, touched: Relation, keys: tuple[int, ...], inputs) -> Relation:
         """The plan over the touched keys' rows of its inputs, new minus old."""
