@@ -2,8 +2,8 @@
 character n-grams, trained with follow-the-regularised-leader under an elastic
 net, then calibrated by one temperature.
 
-A feature is the share of a bucket among the text's n-grams times its inverse
-document frequency. Document frequencies are counted over all rows to learn
+A feature is a bucket's share of the text, by the logarithms of the counts,
+times its inverse document frequency. Document frequencies are counted over all rows to learn
 from; the counts have one number per bucket, at any size. The weights are fitted
 on a sample of at most ``train_rows`` rows in expectation, chosen by a hash of
 the whole text, copies once; a fifth of it is kept from the fit for the
@@ -18,6 +18,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,25 +36,45 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS = 4096
 UNKNOWN = "und"
 #: Below this score the pipeline takes a text for no known language.
-REJECT_BELOW = 0.4
+REJECT_BELOW = 0.3
 
 
 def _strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def _present(parts: list[str], rows: np.ndarray, counts: np.ndarray) -> None:
-    """Add each row's buckets, once per row; a row cut into parts counts by part."""
-    stream = Stream(parts)
-    hashed = [stream.hashed(n, BUCKET_BITS) for n in ORDERS]
-    seen = np.zeros(1 << BUCKET_BITS, bool)
-    cuts = np.searchsorted(stream.part, np.arange(len(parts) + 1))
-    for k in range(len(parts)):
-        seen[:] = False
-        for bucket, valid in hashed:
-            s = slice(cuts[k], min(cuts[k + 1], len(bucket)))
-            seen[bucket[s][valid[s]]] = True
-        counts += seen
+def _features(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(row, buckets, counts, has letters) of each text, in order."""
+    counts, row, letters = None, -1, False
+
+    def done():
+        used = np.flatnonzero(counts)
+        return row, used, counts[used], letters
+
+    for rows, parts, _ in groups(texts):
+        stream = Stream(parts)
+        every = [stream.hashed(n, BUCKET_BITS) for n in ORDERS]
+        cuts = np.searchsorted(stream.part, np.arange(len(parts) + 1))
+        for k, r in enumerate(rows.tolist()):
+            if r != row:
+                if counts is not None:
+                    yield done()
+                counts, row, letters = np.zeros(1 << BUCKET_BITS, np.int64), r, False
+            letters = letters or bool(stream.codes[cuts[k] : cuts[k + 1]].any())
+            own = []
+            for bucket, valid in every:
+                s = slice(cuts[k], min(cuts[k + 1], len(bucket)))
+                own.append(bucket[s][valid[s]])
+            counts += np.bincount(np.concatenate(own), minlength=1 << BUCKET_BITS)
+    if counts is not None:
+        yield done()
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Term frequencies grow with the logarithm of a count, so that a line that
+    is repeated a hundred times does not outvote the rest of a text."""
+    x = np.log1p(counts)
+    return x / max(x.sum(), 1e-12)
 
 
 def document_frequencies(rows: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
@@ -63,8 +84,8 @@ def document_frequencies(rows: DataFrame, text_col: str) -> tuple[np.ndarray, in
         counts, n = np.zeros(1 << BUCKET_BITS, np.int64), 0
         for b in batches:
             n += b.num_rows
-            for which, parts, _ in groups(_strings(b.column(0))):
-                _present(parts, which, counts)
+            for _, used, _, _ in _features(_strings(b.column(0))):
+                counts[used] += 1
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(used, -1), pa.int64()), pa.array(np.append(counts[used], n), pa.int64())], names=["bucket", "n"])
@@ -82,21 +103,9 @@ def _sample_features(rows: DataFrame, text_col: str, lang_col: str):
 
     def run(batches):
         for b in batches:
-            labels, out = b.column(1).to_pylist(), {}
-            for which, parts, _ in groups(_strings(b.column(0))):
-                stream = Stream(parts)
-                every = [stream.hashed(n, BUCKET_BITS) for n in ORDERS]
-                cuts = np.searchsorted(stream.part, np.arange(len(parts) + 1))
-                for k, row in enumerate(which.tolist()):
-                    got = [bucket[s][valid[s]] for bucket, valid in every for s in [slice(cuts[k], min(cuts[k + 1], len(bucket)))]]
-                    idx, n = np.unique(np.concatenate(got), return_counts=True)
-                    if row in out:
-                        idx, inverse = np.unique(np.concatenate([out[row][0], idx]), return_inverse=True)
-                        n = np.bincount(inverse, np.concatenate([out[row][1], n])).astype(np.int64)
-                    out[row] = (idx, n)
+            got = [(i.astype(np.int32), n.astype(np.int32)) for _, i, n, _ in _features(_strings(b.column(0)))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([labels[r] for r in out], pa.string()), pa.array([i.astype(np.int32) for i, _ in out.values()], pa.list_(pa.int32())),
-                 pa.array([n.astype(np.int32) for _, n in out.values()], pa.list_(pa.int32()))], names=["lang", "idx", "n"])
+                [b.column(1), *(pa.array([x[c] for x in got], pa.list_(pa.int32())) for c in (0, 1))], names=["lang", "idx", "n"])
 
     sent = rows.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
     return sent.mapInArrow(run, "lang string, idx array<int>, n array<int>").toPandas()
@@ -146,9 +155,6 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
 
-    def logits(self, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
-
 
 #: Shares of n-grams are small numbers; this brings features near one.
 SCALE = 30.0
@@ -176,7 +182,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train
     vectors = []
     for i, c in zip(got.idx, got.n, strict=True):
         i, c = np.asarray(i, np.int64), np.asarray(c, float)
-        vectors.append((np.append(i, size), np.append(c / c.sum() * idf[i] * SCALE, 1.0)))
+        vectors.append((np.append(i, size), np.append(_shares(c) * idf[i] * SCALE, 1.0)))
     order = np.random.default_rng(seed).permutation(len(y))
     held, fitted = order[::5], np.delete(order, np.s_[::5])
     model = Ftrl(size + 1, len(languages))
@@ -192,26 +198,11 @@ def predict(texts: list[str], model: LanguageModel | None) -> tuple[list[str], n
     out, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if model is None:
         return out, score
-    sums = np.zeros((len(texts), len(model.languages)))
-    counts, letters = np.zeros(len(texts)), np.zeros(len(texts), bool)
-    for rows, parts, _ in groups(texts):
-        stream = Stream(parts)
-        np.logical_or.at(letters, rows, np.bincount(stream.part[stream.codes > 0], minlength=len(parts)) > 0)
-        cuts = np.searchsorted(stream.part, np.arange(len(parts)))
-        for n in ORDERS:
-            bucket, valid = stream.hashed(n, BUCKET_BITS)
-            if not len(bucket):
-                continue
-            w = model.table[bucket]
-            w[~valid] = 0
-            # a part is two places long at least, so that only the last can be beyond the end
-            at = np.minimum(cuts, len(bucket) - 1)
-            np.add.at(sums, rows, np.add.reduceat(w, at, axis=0, dtype=np.float32))
-            np.add.at(counts, rows, np.add.reduceat(valid, at, dtype=np.int64))
-    p = softmax(model.logits(sums, counts))
-    best = p.argmax(axis=1)
-    for k in np.flatnonzero(letters):
-        out[k], score[k] = model.languages[best[k]], p[k, best[k]]
+    for row, used, counts, letters in _features(texts):
+        if letters:
+            p = softmax((_shares(counts) @ model.table[used] + model.bias) / model.temperature)
+            best = int(p.argmax())
+            out[row], score[row] = model.languages[best], p[best]
     return out, score
 
 
