@@ -42,12 +42,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_NUMBER = re.compile(r"(?<![0-9])(?:[0-9]{12,19}|(?:[0-9]{4}[ -]){3}[0-9]{1,7})(?![0-9])")
 _DIGIT = re.compile(r"[0-9]")
 
 _WRITTEN_EMAIL = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[ ]?[(\[{][ ]?at[ ]?[)\]}][ ]?[A-Za-z0-9-]{1,63}"
     r"(?:[ ]?(?:[(\[{][ ]?dot[ ]?[)\]}]|\.)[ ]?[A-Za-z0-9-]{1,63}){1,6}", re.IGNORECASE)
-_LOCAL_PHONE = re.compile(r"(?<![\w+.(-])(?:\([0-9]{2,4}\)[ ]?|[0-9]{2,4}[ .-])[0-9]{3}[ .-][0-9]{3,4}(?![\w-])")
+_LOCAL_PHONE = re.compile(r"(?<![\w+.(-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ ]?|[0-9]{2,4}[ .-])[0-9]{3}[ .-][0-9]{3,4}(?![\w-])")
 _IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
 
 # gazetteers and words of context
@@ -110,6 +111,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _wide_cards(m: re.Match) -> list[tuple[int, int, int]]:
+    """Of a run of digits that is no card: the numbers in it that are, where
+    another number runs into them, else the run itself if it is as long as one."""
+    n = len(d := _digits(m[0]))
+    if 12 <= n <= 19 and _luhn(d):
+        return []
+    inside = [t for t in _NUMBER.finditer(m[0]) if _luhn(t[0])]
+    if inside:
+        return [(m.start() + t.start(), 2, m.start() + t.end()) for t in inside]
+    return [(m.start(), 2, m.end())] if 13 <= n <= 19 else []
+
+
 def wide_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of candidates beyond the base."""
     out = []
@@ -118,10 +131,9 @@ def wide_spans(text: str) -> list[tuple[int, int, int]]:
     if ":" in text:
         out += [(m.start(), 1, m.end()) for m in _IPV6.finditer(text)]
     if _DIGIT.search(text):
-        out += [
-            (m.start(), 2, m.end()) for m in _CARD.finditer(text)
-            if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and not _luhn(d)
-        ]
+        for m in _CARD.finditer(text):
+            if m.end() - m.start() >= 13:
+                out += _wide_cards(m)
         out += [(m.start(), 3, m.end()) for m in _LOCAL_PHONE.finditer(text)]
     return sorted(out)
 

@@ -90,6 +90,16 @@ def test_pii_query_and_redaction(spark, tmp_path):
     assert pii.redact(df.limit(0)).count() == 0
 
 
+def test_a_number_that_runs_into_another_is_a_candidate():
+    text = "or +1 (884) 555-3918 63.51.224.77 to"
+    base, extra = pii.candidates(text)
+    assert [text[s:e] for s, _, e, _ in base] == ["63.51.224.77"]
+    assert [(text[s:e], pii.KINDS[k]) for s, k, e, _ in extra] == [("+1 (884) 555-3918", "phone")]
+    text = "or +1 (884) 555-3918 4539148803436467 to"
+    base, extra = pii.candidates(text)
+    assert not base and [(text[s:e], pii.KINDS[k]) for s, k, e, _ in extra] == [("+1 (884) 555-3918", "phone"), ("4539148803436467", "card")]
+
+
 def test_reliabilities_are_learned():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4
