@@ -67,7 +67,7 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 
 
-_BYTE_TABLE = "".join(" " if x == 32 else _BYTE_LETTERS[x] for x in range(256))
+_BYTE_TABLE = "".join(chr(x) if x in (10, 32) else _BYTE_LETTERS[x] for x in range(256))
 #: Letters below U+0250 but U+0130: there, no normal form changes a letter and
 #: lower case is one letter for one.
 _PLAIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
@@ -87,8 +87,6 @@ class WordEncoder:
         self.cached = cached
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        # the full stop and the comma by themselves
-        self.marks = dict(zip(b".,", self._encode_each([b".", b","]), strict=True))
         self.merges = self._bare_merges(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -113,30 +111,6 @@ class WordEncoder:
             out += [np.array(e.ids, dtype="<u4").tobytes() for e in made]
         return out
 
-    def _encode(self, units: list[bytes]) -> dict[bytes, bytes]:
-        """Plain words skip normalising and splitting: they are encoded as one
-        text by the same merges and cut at the ids that end a word."""
-        if self.merges is None:
-            return dict(zip(units, self._encode_each(units), strict=True))
-        plain = [u for u in units if u.isalpha()]  # of bytes: ASCII letters
-        other = [u for u in units if not u.isalpha()]
-        written = b" ".join(plain).decode("ascii").lower().split(" ") if plain else []
-        read = b" ".join(other).decode().split(" ") if other else []
-        wide = [k for k, w in enumerate(read) if _PLAIN(w)]
-        if wide:
-            taken = set(wide)
-            written += " ".join([read[k] for k in wide]).lower().encode().decode("latin-1").translate(_BYTE_TABLE).split(" ")
-            plain += [other[k] for k in wide]
-            other = [u for k, u in enumerate(other) if k not in taken]
-        out = dict(zip(other, self._encode_each(other), strict=True))
-        for part, words in zip(batched(plain, CALL_WORDS), batched(written, CALL_WORDS), strict=True):
-            [made] = self.merges.encode_batch_fast([" ".join(words)], add_special_tokens=False)
-            ids = np.array(made.ids, dtype="<u4")
-            cuts = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
-            data = ids.tobytes()
-            out.update(zip(part, [data[s:e] for s, e in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
-        return out
-
     def __call__(self, column: pa.Array) -> Iterator[bytes]:
         """The ids of each text; null is empty."""
         column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -153,11 +127,9 @@ class WordEncoder:
         plain = pc.and_(pc.string_is_ascii(column), pc.invert(pc.match_substring(column, "<|")))
         units = pc.ascii_split_whitespace(pc.if_else(plain, pc.ascii_lower(column), column))
         own = units.flatten().dictionary_encode()
-        data = self._look_up(own.dictionary.cast(pa.large_binary()).to_pylist())
-        ids = np.frombuffer(b"".join(data), "<u4")
-        length = np.fromiter(map(len, data), np.int64, len(data)) // 4
-        start = np.cumsum(length) - length
         code = own.indices.to_numpy()
+        words = own.dictionary.cast(pa.large_binary()).to_pylist()
+        ids, start, length = self._look_up(words, np.bincount(code, minlength=len(words)))
         n = length[code]
         end = np.cumsum(n)
         made = ids[np.repeat(start[code] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
@@ -165,22 +137,69 @@ class WordEncoder:
         for s, e in pairwise(at):
             yield made[s:e].tobytes()
 
-    def _look_up(self, units: list[bytes]) -> list[bytes]:
+    def _look_up(self, units: list[bytes], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all units together, and where each unit's begin and how many
+        they are. Of new units, those seen more than once are remembered."""
         if len(self.known) > self.cached:
             # what is used again comes back from there
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
         known[b""] = b""
-        missing = [u for u in units if u not in known]
-        known.update((u, old[u]) for u in missing if u in old)
-        missing = [u for u in missing if u not in known]
-        # an ASCII letter and a mark after it are always parted
-        ends = {u: u[-1] for u in missing if u[-1] in b".," and len(u) > 1 and 97 <= u[-2] <= 122}
-        new = list({u[:-1] if u in ends else u for u in missing}.difference(known))
-        known.update(self._encode(new))
-        for u, mark in ends.items():
-            known[u] = known[u[:-1]] + self.marks[mark]
-        return list(map(known.__getitem__, units))
+        data = list(map(known.get, units))
+        plain: list[int] = []
+        text: list[bytes] = []
+        rest: list[int] = []
+        for k in [k for k, x in enumerate(data) if x is None]:
+            u = units[k]
+            x = old.get(u)
+            if x is not None:
+                known[u] = data[k] = x
+            elif u.isalpha():  # of bytes: ASCII letters
+                plain.append(k)
+                text.append(u)
+            elif u[-1] in b".," and u[:-1].isalpha():  # letters and a mark after them are always parted
+                plain.append(k)
+                text.append(u[:-1] + b" " + u[-1:])
+            else:
+                rest.append(k)
+        written = b"\n".join(text).decode("ascii").lower().split("\n") if text else []
+        if rest and self.merges:
+            read = b" ".join([units[k] for k in rest]).decode().split(" ")
+            wide = [(k, w if _PLAIN(w) else f"{w[:-1]} {w[-1]}") for k, w in zip(rest, read, strict=True) if _PLAIN(w) or (w[-1] in ".," and _PLAIN(w[:-1]))]
+            plain += [k for k, _ in wide]
+            written += "\n".join([w for _, w in wide]).lower().encode().decode("latin-1").translate(_BYTE_TABLE).split("\n") if wide else []
+            rest = sorted(set(rest).difference(plain))
+        if not self.merges:
+            plain, written, rest = [], [], sorted([*plain, *rest])
+        for k, x in zip(rest, self._encode_each([units[k] for k in rest]), strict=True):
+            data[k] = x
+            if seen[k] > 1:
+                known[units[k]] = x
+        have = np.array([k for k, x in enumerate(data) if x is not None], np.int64)
+        start, length = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        length[have] = [len(data[k]) // 4 for k in have.tolist()]
+        start[have] = np.cumsum(length[have]) - length[have]
+        parts = [np.frombuffer(b"".join([data[k] for k in have.tolist()]), "<u4")]
+        size = len(parts[0])
+        for own, words in zip(batched(plain, CALL_WORDS), batched(written, CALL_WORDS), strict=True):
+            ids, ends = self._encode_plain(words)
+            which = np.array(own)
+            length[which] = np.diff(ends, prepend=0)
+            start[which] = size + ends - length[which]
+            parts.append(ids)
+            size += len(ids)
+            for k, e in zip(own, ends.tolist(), strict=True):
+                if seen[k] > 1:
+                    known[units[k]] = ids[e - length[k] : e].tobytes()
+        return np.concatenate(parts), start, length
+
+    def _encode_plain(self, words: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of byte letters, some with a mark apart: encoded as one text by
+        the bare merges. Returns the ids, and after how many each word ends."""
+        [made] = self.merges.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(made.ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        return ids, ends[np.cumsum([1 + (" " in w) for w in words]) - 1]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
