@@ -44,7 +44,7 @@ SHARD_ROWS = 1 << 20
 #: Bins that may still be open when a shard ends; beyond, the fullest close.
 CARRIED_BINS = 128
 #: Words whose ids a Python worker keeps, and as many that were not used lately.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 #: Text that is looked up at once, and words of one call of the tokenizer.
 GROUP_BYTES = 4_000_000
 CALL_WORDS = 4_000
@@ -87,6 +87,8 @@ class WordEncoder:
         self.cached = cached
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        # hashes of words met before: most words are met once and not worth keeping
+        self.met = bytearray(1 << 22)
         self.merges = self._bare_merges(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -139,10 +141,10 @@ class WordEncoder:
 
     def _look_up(self, units: list[bytes], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all units together, and where each unit's begin and how many
-        they are. Of new units, those seen more than once are remembered."""
+        they are. Of new units, those met for a second time are remembered."""
         if len(self.known) > self.cached:
             # what is used again comes back from there
-            self.known, self.old = {}, self.known
+            self.known, self.old, self.met = {}, self.known, bytearray(1 << 22)
         known, old = self.known, self.old
         known[b""] = b""
         data = list(map(known.get, units))
@@ -173,7 +175,7 @@ class WordEncoder:
             plain, written, rest = [], [], sorted([*plain, *rest])
         for k, x in zip(rest, self._encode_each([units[k] for k in rest]), strict=True):
             data[k] = x
-            if seen[k] > 1:
+            if self._again(units[k], seen[k]):
                 known[units[k]] = x
         have = np.array([k for k, x in enumerate(data) if x is not None], np.int64)
         start, length = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
@@ -189,10 +191,17 @@ class WordEncoder:
             parts.append(ids)
             size += len(ids)
             for k, e in zip(own, ends.tolist(), strict=True):
-                if seen[k] > 1:
+                if self._again(units[k], seen[k]):
                     known[units[k]] = ids[e - length[k] : e].tobytes()
         return np.concatenate(parts), start, length
 
+    def _again(self, unit: bytes, seen: int) -> bool:
+        at = hash(unit) & 0x3FFFFF
+        if seen > 1 or self.met[at]:
+            return True
+        self.met[at] = 1
+        return False
+
     def _encode_plain(self, words: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
         """Words of byte letters, some with a mark apart: encoded as one text by
         the bare merges. Returns the ids, and after how many each word ends."""
