@@ -40,8 +40,8 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of one Arrow batch; with texts of 100 kB a batch stays near 100 MB.
-BATCH_ROWS = 1000
+#: Rows of one Arrow batch; with texts of 100 kB a batch stays near 25 MB.
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

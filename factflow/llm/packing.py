@@ -220,6 +220,20 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about ``size`` bytes: equal words
+    are looked up once in each."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
            tokenizer: str | None = None, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every piece of every row;
@@ -230,7 +244,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
     def run(batches):
         encode = _encoder(path)
-        for b in batches:
+        for b in _gathered(batches, GROUP_BYTES):
             who, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, made in enumerate(encode(b.column(1))):
                 made += end
