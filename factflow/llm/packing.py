@@ -46,7 +46,7 @@ CARRIED_BINS = 128
 #: Words whose ids a Python worker keeps, and as many that were not used lately.
 CACHED_WORDS = 400_000
 #: Text that is looked up at once, and words of one call of the tokenizer.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 8_000_000
 CALL_WORDS = 4_000
 
 
@@ -244,7 +244,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
     def run(batches):
         encode = _encoder(path)
-        for b in _gathered(batches, GROUP_BYTES):
+        for b in _gathered(batches, GROUP_BYTES * 3 // 4):
             who, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, made in enumerate(encode(b.column(1))):
                 made += end
