@@ -44,6 +44,8 @@ from factflow.streaming.incremental import epoch_diffs
 CENTS = "CAST(round({} * 100) AS BIGINT)"
 #: A small cyclic graph: suppliers of large first lines to parts' numbers.
 EDGE_SQL = "SELECT DISTINCT l_suppkey AS e, l_partkey % 100 AS v FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1"
+#: All lines, uncut: suppliers to the parts they deliver; a number is one node, whether of a supplier or of a part.
+WHOLE_EDGE_SQL = "SELECT DISTINCT l_suppkey AS e, l_partkey AS v FROM lineitem"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,6 +88,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Domain:
         return lines.select(F.col("l_suppkey").alias("e"), (F.col("l_partkey") % 100).alias("v")).distinct()
 
     d.add_derived("edge", edge)
+    d.add_derived("whole_edge", lambda: read("lineitem")().select(F.col("l_suppkey").alias("e"), F.col("l_partkey").alias("v")).distinct())
     return d
 
 
@@ -231,6 +234,37 @@ _plan("rule_reference", Aggregate((0, 1), NameExpr((0, 1), "reach"), ("COUNT",),
       f"WITH RECURSIVE edge AS ({EDGE_SQL}), reach(a, b) AS (SELECT e, v FROM edge UNION SELECT a, v FROM reach JOIN edge ON b = e) SELECT a, count(*) AS n FROM reach GROUP BY a", (REACH,))
 
 
+# -- the same over every row of lineitem ------------------------------------------
+# (those over `edge` see the few lines of EDGE_SQL only)
+_WHOLE = f"edge AS ({WHOLE_EDGE_SQL})"
+_WHOLE_TRIANGLES = f"WITH {_WHOLE} SELECT x.e AS a, y.e AS b, y.v AS c FROM edge x JOIN edge y ON x.v = y.e JOIN edge z ON z.e = x.e AND z.v = y.v"
+_WHOLE_REACH = f"WITH RECURSIVE {_WHOLE}, reach(a, b) AS (SELECT e, v FROM edge UNION SELECT a, v FROM reach JOIN edge ON b = e)"
+_plan("hector_triangle_whole", q([0, 1, 2], [B(0, "whole_edge", 1), B(1, "whole_edge", 2), B(0, "whole_edge", 2)]), ["a", "b", "c"], _WHOLE_TRIANGLES)
+_plan("hector_not_whole", q([0, 1], [B(0, "whole_edge", 1), N(B(1, "whole_edge", 0))]), ["a", "b"],
+      f"WITH {_WHOLE} SELECT e AS a, v AS b FROM edge x WHERE NOT EXISTS (SELECT 1 FROM edge y WHERE y.e = x.v AND y.v = x.e)")
+
+
+@_query("triangle_intersection_whole", _WHOLE_TRIANGLES)
+def _triangles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triangles(tables(spark, sf_dir).source().pairs("whole_edge")[0])
+
+
+def _step(rule: str) -> Plan:
+    """Pairs of a rule, one whole edge further."""
+    return Project((0, 1), Join((2,), NameExpr((0, 2), rule), MatchA(2, "whole_edge", 1)))
+
+
+REACH_WHOLE = Rule("reach_whole", Union((0, 1), (MatchA(0, "whole_edge", 1), _step("reach_whole"))))
+_plan("recursive_reach_whole", "reach_whole", ["a", "b"], f"{_WHOLE_REACH} SELECT a, b FROM reach", (REACH_WHOLE,))
+_plan("recursive_nonlinear_whole", "path_whole", ["a", "b"], f"{_WHOLE_REACH} SELECT a, b FROM reach",
+      (Rule("path_whole", Union((0, 1), (MatchA(0, "whole_edge", 1), Project((0, 1), Join((2,), NameExpr((0, 2), "path_whole"), NameExpr((2, 1), "path_whole")))))),))
+_plan("recursive_mutual_whole", "even_whole", ["a", "b"],
+      f"WITH RECURSIVE {_WHOLE}, p(a, b, k) AS (SELECT e, v, 1 FROM edge UNION SELECT a, v, 1 - k FROM p JOIN edge ON b = e) SELECT a, b FROM p WHERE k = 0",
+      (Rule("odd_whole", Union((0, 1), (MatchA(0, "whole_edge", 1), _step("even_whole")))), Rule("even_whole", Union((0, 1), (_step("odd_whole"),)))))
+_plan("rule_reference_whole", Aggregate((0, 1), NameExpr((0, 1), "reach_whole"), ("COUNT",), (0,), (1,)), ["a", "n"],
+      f"{_WHOLE_REACH} SELECT a, count(*) AS n FROM reach GROUP BY a", (REACH_WHOLE,))
+
+
 # -- pulls ---------------------------------------------------------------------
 def _pulled(name: str, plan: Plan, sql: str) -> None:
     @_query(name, sql)
