@@ -34,8 +34,10 @@ ORDER = 5
 BUCKET_BITS = 18
 #: Labelled documents that the weights are fitted on (expected at most).
 TRAIN_ROWS = 16_384
-#: n-grams that may get a weight.
-FEATURES = 1024
+#: n-grams may get a weight from this z-score on, for either side; however many they are.
+LEAST_Z = 3.0
+#: Features that the fit looks at together, whole sentences at least.
+BLOCK = 1 << 17
 THRESHOLD = 0.3
 _BREAKS = np.array([ord(c) for c in ".!?\n\r…。！？"], np.uint32)
 
@@ -82,9 +84,10 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return settle(taken.select("text_", "toxic_"))
 
 
-def select_features(sample: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, int]:
-    """The buckets that are over-represented in toxic documents most, by the
-    z-score of the difference of document shares; and the sample's size."""
+def select_features(sample: DataFrame, least_z: float = LEAST_Z) -> tuple[np.ndarray, int]:
+    """The buckets that tell toxic documents from others, whichever they speak
+    for: all with a z-score of the difference of document shares from
+    ``least_z``; and the sample's size."""
 
     def run(batches):
         counts, docs = np.zeros((2, 1 << BUCKET_BITS), np.int64), np.zeros(2, np.int64)
@@ -113,14 +116,13 @@ def select_features(sample: DataFrame, features: int = FEATURES) -> tuple[np.nda
     a, c = total.clean.to_numpy() / n0, total.toxic.to_numpy() / n1
     share = (total.clean.to_numpy() + total.toxic.to_numpy() + 1) / (n0 + n1 + 2)
     z = (c - a) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
-    best = np.lexsort((total.bucket.to_numpy(), -z))[:features]
-    best = best[z[best] >= 4]
-    return np.sort(total.bucket.to_numpy()[best]), int(n0 + n1)
+    return np.sort(total.bucket.to_numpy()[np.abs(z) >= least_z]), int(n0 + n1)
 
 
-def _bags(sample: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, list]:
-    """Labels, counts of sentences without a chosen n-gram, and the (sentence,
-    feature) pairs of each document."""
+def _bags(sample: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels and counts of sentences of the documents; how many sentences of
+    each hold a chosen n-gram; how many features each of these has; and the
+    features, sentence by sentence. Flat, four bytes a feature."""
     held = sample.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches):
@@ -135,14 +137,16 @@ def _bags(sample: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 hit = f >= 0
                 got = np.unique(np.stack([own.part[hit], own.sentence[hit], f[hit]], axis=1), axis=0)
                 for k in np.unique(got[:, 0]):
-                    pairs.setdefault(int(rows[k]), []).append(got[got[:, 0] == k, 1:])
-            merged = [np.concatenate(pairs[r]) if r in pairs else np.zeros((0, 2), np.int64) for r in range(b.num_rows)]
+                    mine = got[got[:, 0] == k, 1:]
+                    pairs.setdefault(int(rows[k]), []).append((np.unique(mine[:, 0], return_counts=True)[1], mine[:, 1]))
+            merged = [[np.concatenate([x[c] for x in pairs[r]]).astype(np.int32) if r in pairs else np.zeros(0, np.int32) for r in range(b.num_rows)] for c in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(toxic), pa.array(count), *(pa.array([x[:, c].astype(np.int32) for x in merged], pa.list_(pa.int32())) for c in (0, 1))],
-                names=["toxic", "count", "sentence", "feature"])
+                [pa.array(toxic), pa.array(count), *(pa.array(x, pa.list_(pa.int32())) for x in merged)], names=["toxic", "count", "run", "feature"])
 
-    got = sample.mapInArrow(run, "toxic boolean, count long, sentence array<int>, feature array<int>").toPandas()
-    return got.toxic.to_numpy(bool), got["count"].to_numpy(), list(got.sentence), list(got.feature)
+    got = sample.mapInArrow(run, "toxic boolean, count long, run array<int>, feature array<int>").toArrow()
+    flat = [np.concatenate([c.flatten().to_numpy() for c in got.column(x).chunks] or [np.zeros(0, np.int32)]) for x in ("run", "feature")]
+    sentences = np.concatenate([c.value_lengths().to_numpy() for c in got.column("run").chunks] or [np.zeros(0, np.int32)])
+    return got.column("toxic").to_numpy().astype(bool), got.column("count").to_numpy(), sentences, *flat
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -153,27 +157,30 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(z / 2))
 
 
-def fit_noisy_or(y: np.ndarray, count: np.ndarray, sentence: list, feature: list, features: int,
+def fit_noisy_or(y: np.ndarray, count: np.ndarray, sentences: np.ndarray, run: np.ndarray, feature: np.ndarray, features: int,
                  steps: int = 400, rate: float = 0.1, l1: float | None = None, bias: float = -6.0) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the mean negative log-likelihood of the
     noisy-or, with an L1 penalty on the weights (by default as the root of the
-    sample's size asks for)."""
+    sample's size asks for). Features are gone through ``BLOCK`` at a time."""
     l1 = 0.03 / np.sqrt(len(y)) if l1 is None else l1
-    doc = np.repeat(np.arange(len(y)), [len(s) for s in sentence])
-    flat = lambda lists: np.concatenate([np.asarray(x, np.int64) for x in lists] or [np.zeros(0, np.int64)])
-    own, s = np.unique(doc << 32 | flat(sentence), return_inverse=True)
-    f, owner = flat(feature), own >> 32
+    owner, end = np.repeat(np.arange(len(y)), sentences), np.cumsum(run, dtype=np.int64)
+    first = end - run
+    cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(feature), BLOCK)), len(run))).tolist()
+    blocks = [(lo, hi, feature[first[lo] : end[hi - 1]]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    z = np.zeros(len(run))
     empty = np.maximum(count - np.bincount(owner, minlength=len(y)), 0)
     theta = np.zeros(features + 1)
     theta[-1] = bias
     m = v = np.zeros(features + 1)
     for t in range(1, steps + 1):
         b = theta[-1]
-        z = np.bincount(s, theta[f], minlength=len(owner)) + b
+        for lo, hi, f in blocks:
+            z[lo:hi] = np.add.reduceat(theta[f], first[lo:hi] - first[lo]) + b
         a = np.bincount(owner, _softplus(z), minlength=len(y)) + empty * _softplus(b)
         blame = np.where(y, -1 / np.expm1(np.clip(a, 1e-9, 500)), 1.0) / len(y)
         gz = _sigmoid(z) * blame[owner]
-        g = np.append(np.bincount(f, gz[s], minlength=features) + l1 * np.sign(theta[:-1]), gz.sum() + (blame * empty).sum() * _sigmoid(b))
+        gw = sum(np.bincount(f, np.repeat(gz[lo:hi], run[lo:hi]), minlength=features) for lo, hi, f in blocks)
+        g = np.append(gw + l1 * np.sign(theta[:-1]), gz.sum() + (blame * empty).sum() * _sigmoid(b))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     w = theta[:-1]
@@ -187,8 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen, _ = select_features(sample)
     if not len(chosen):
         return None
-    y, count, sentence, feature = _bags(sample, chosen)
-    w, bias = fit_noisy_or(y, count, sentence, feature, len(chosen))
+    w, bias = fit_noisy_or(*_bags(sample, chosen), len(chosen))
     weights = np.zeros(1 << BUCKET_BITS, np.float32)
     weights[chosen] = w
     return ToxicityModel(weights, bias)

@@ -326,3 +326,28 @@ def test_toxicity_without_teaching(spark):
     rows = toxicity.with_toxicity(df, None).collect()
     assert len(rows) == len(ODD) and all(r["score"] == 0 and r["sentences"] == [] for r in rows)
     assert df.where(F.col("score") != "w").count() == 0
+
+
+def test_every_telling_ngram_may_get_a_weight(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(1500)]
+    own = {True: words[:700], False: words[700:1400]}
+    rows = []
+    for k in range(60):
+        toxic = k % 3 == 0
+        rows.append((" ".join(rng.sample(own[toxic], 600) + rng.sample(words[1400:], 50)) + ".", toxic))
+    held = []
+    for text, _ in rows:
+        bucket, valid = toxicity.Stream([text]).hashed(toxicity.ORDER, toxicity.BUCKET_BITS)
+        held.append(set(bucket[valid].tolist()))
+    n = [sum(not t for _, t in rows), sum(t for _, t in rows)]
+    want = {1: set(), -1: set()}
+    for bucket in set().union(*held):
+        c = [sum(bucket in h for h, (_, t) in zip(held, rows, strict=True) if t == kind) for kind in (False, True)]
+        share = (sum(c) + 1) / (sum(n) + 2)
+        z = (c[1] / n[1] - c[0] / n[0]) / (share * (1 - share) * (1 / n[0] + 1 / n[1])) ** 0.5
+        if abs(z) >= 3:
+            want[1 if z > 0 else -1].add(bucket)
+    chosen, size = toxicity.select_features(spark.createDataFrame(rows, "text_ string, toxic_ boolean"))
+    assert size == 60 and len(want[1]) > 1024 and len(want[-1]) > 1024
+    assert chosen.tolist() == sorted(want[1] | want[-1])
