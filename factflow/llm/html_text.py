@@ -14,7 +14,8 @@ blocks are trimmed and joined in page order by a line end.
 
 Defined cases: null or empty html, or a page without text, gives an empty
 string; unclosed and stray tags are closed or ignored as browsers do in the
-simple cases; a page without a body element is read as one; repeated rows are
+simple cases; a head ends where the first thing stands that it cannot hold; a
+page without a body element is read as one; repeated rows are
 read alike; an empty table gives an empty result.
 """
 
@@ -36,12 +37,16 @@ _TAG = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>"
     r"|(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<attributes2>[^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.DOTALL)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe xmp noframes svg math select".split())
+_RAW = frozenset("script style textarea title noscript template iframe xmp noframes svg select".split())
 _DROPPED = frozenset("nav footer aside form button dialog menu object video audio canvas head".split())
+#: What a head may hold; anything else closes it.
+_HEAD = frozenset("base link meta title style script noscript template".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -71,6 +76,17 @@ def _name_words(attributes: str) -> set[str]:
     return words
 
 
+def _hides(attributes: str) -> bool:
+    """A hidden attribute of that name, aria-hidden, or display: none in the style."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if (name == "hidden" and value != "false") or (name == "aria-hidden" and value == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 class _Page:
     """The element tree as parallel lists; a parent stands before its children."""
 
@@ -105,10 +121,13 @@ class _Page:
             self._start(name, attributes)
 
     def _start(self, name: str, attributes: str) -> None:
+        if self._open["head"] and name not in _HEAD and name != "html":
+            self._close({"head"}, frozenset())
         if name in ("html", "body"):
             return
         if name in _BLOCKS:
             self._block = None
+            self._close({"math"}, frozenset())
             self._close({"p"}, _BLOCKS - {"p"})
         if name in _CLOSES:
             self._close(*_CLOSES[name])
@@ -120,7 +139,9 @@ class _Page:
                     self._text(" ")
             return
         dropped = above < 0 or self._drops(name, attributes)
-        self._stack.append((name, -1 if dropped else self._add(name, above)))
+        # a formula's elements are no tags of the text around it
+        formula = name == "math" or self._open["math"]
+        self._stack.append((name, -1 if dropped else above if formula else self._add(name, above)))
         self._open[name] += 1
 
     def _cut(self, k: int) -> None:
@@ -141,7 +162,7 @@ class _Page:
             return True
         if not attributes or attributes.isspace():
             return False
-        if _HIDDEN.search(attributes):
+        if _hides(attributes):
             return True
         words = set() if name in _WHOLE and not inside else _name_words(attributes)
         return bool(words & _MARKS) or (not inside and bool(words & _MASTHEAD))
@@ -172,6 +193,8 @@ class _Page:
                 return
 
     def _text(self, raw: str) -> None:
+        if self._stack[-1][0] == "head" and not raw.isspace() and raw:
+            self._close({"head"}, frozenset())
         if not raw or self._stack[-1][1] < 0:
             return
         text = _html.unescape(raw) if "&" in raw else raw

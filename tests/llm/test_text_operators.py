@@ -244,6 +244,30 @@ def test_low_density_is_left_out():
     assert html_text.main_text(page).startswith("Long text") and "Some link" not in html_text.main_text(page)
 
 
+STORY = "Some text of the story, long enough."
+
+
+@pytest.mark.parametrize("attributes, shown", [
+    ('style="overflow:hidden"', True), ('class="overflow-hidden post"', True), ("class='hidden-print'", True), ("data-hidden=1", True), ('title="display:none"', True), ("hidden=false", True),
+    ('title="a hidden place', True), ("hidden", False), ('hidden=""', False), ("id=x HIDDEN", False), ('style="color:red; Display : none"', False), ("style=display:none", False), ("aria-hidden='true'", False)])
+def test_only_what_is_hidden_is_dropped(attributes, shown):
+    assert html_text.main_text(f"<div {attributes}><p>{STORY}</p></div>") == (STORY if shown else "")
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>T</title><meta charset=utf-8><body><p>%s</p></body></html>", "<head><title>T</title><link rel=x><p>%s</p>", "<head><script>x</script>\n<div>%s</div>",
+    "<head><style>p{}</style>%s", "<head><script src=a /><body><p>%s</p>", "<head><title>T</title></head><body><p>%s"])
+def test_a_head_may_be_left_open(page):
+    assert html_text.main_text(page % STORY) == STORY
+
+
+def test_formulas_are_text():
+    formula = "<math><mi>x</mi><mo>=</mo><msup><mn>4</mn><mspace/><mn>2</mn></msup></math>"
+    page = f"<p>{STORY} Here {formula} holds.</p><p>More: {formula}{formula}{formula}, as {formula} shows.</p>"
+    assert html_text.main_text(f"<div>{page}</div>") == f"{STORY} Here x=42 holds.\nMore: x=42x=42x=42, as x=42 shows."
+    assert html_text.main_text(f"<div><p>{STORY} <math><mi>y</mi><p>{STORY}</p></div>") == f"{STORY} y\n{STORY}"
+
+
 # -- language ID and toxicity --------------------------------------------------
 WORDS = {"en": "the and with house under green walking about things".split(), "de": "der und mit haus unter grün gehen über dinge".split(), "fr": "le et avec maison sous vert marcher choses être".split()}
 
