@@ -7,7 +7,9 @@ times its inverse document frequency. Document frequencies are counted over all
 from; the counts have one number per bucket, at any size. The weights are fitted
 on a sample of at most ``train_rows`` rows in expectation, chosen by a hash of
 the whole text, copies once; a fifth of it is kept from the fit for the
-temperature.
+temperature. The languages are those of all rows that have a letter: of one with
+a smaller share of the sample, ``least_rows`` different texts are taken in
+expectation, or all it has, which adds at most as many rows for each language.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as
 is every text if there is nothing to learn from; with one language to learn, it
@@ -34,6 +36,8 @@ BUCKET_BITS = 16
 ORDERS = (1, 2, 3)
 #: Rows that the weights and the temperature are fitted on (expected at most).
 TRAIN_ROWS = 4096
+#: Different texts that each language is learned from (expected at least, if it has as many).
+LEAST_ROWS = 128
 UNKNOWN = "und"
 #: Below this score the pipeline takes a text for no known language.
 REJECT_BELOW = 0.3
@@ -160,7 +164,8 @@ class LanguageModel:
 SCALE = 30.0
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, epochs: int = 4, seed: int = 7) -> LanguageModel | None:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, epochs: int = 4, seed: int = 7,
+          least_rows: int = LEAST_ROWS) -> LanguageModel | None:
     """Learn from all rows of ``docs`` with a language; None if there are none."""
     rows = docs.where(F.col(lang_col).isNotNull()).select(text_col, lang_col)
     df, n = document_frequencies(rows, text_col)
@@ -168,9 +173,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train
         return None
     # a row is in by its hash: the share, not a count, is fixed before the rows are seen
     share = min(1.0, train_rows / n)
-    inside = F.pmod(F.xxhash64(F.col(text_col), F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)
+    rows = rows.select(F.col(text_col).alias("text_"), F.col(lang_col).alias("lang_"))
+    different = rows.where(F.col("text_").rlike(r"\p{L}")).select("lang_", F.xxhash64("text_").alias("h_")).distinct().groupBy("lang_").count()
+    # one row per language
+    below = different.select("lang_", F.greatest(F.lit(int(share * (1 << 20)) + (share == 1.0)), F.ceil(F.lit(float(least_rows << 20)) / F.col("count"))).alias("below_"))
+    inside = F.pmod(F.xxhash64(F.col("text_"), F.lit(seed)), F.lit(1 << 20)) < F.col("below_")
     # copies fall on one hash: they teach once, or a large group would be the sample
-    own = rows.where(inside).groupBy(F.xxhash64(text_col).alias("h_"), F.col(lang_col).alias("lang_")).agg(F.first(text_col).alias("text_"))
+    own = rows.join(F.broadcast(below), "lang_").where(inside).groupBy(F.xxhash64("text_").alias("h_"), "lang_").agg(F.first("text_").alias("text_"))
     got = _sample_features(own, "text_", "lang_")
     got = got[got.n.map(sum) > len(ORDERS)].sort_values(["lang"], kind="stable") if len(got) else got
     if not len(got):
@@ -185,6 +194,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train
         vectors.append((np.append(i, size), np.append(_shares(c) * idf[i] * SCALE, 1.0)))
     order = np.random.default_rng(seed).permutation(len(y))
     held, fitted = order[::5], np.delete(order, np.s_[::5])
+    alone = ~np.isin(y[held], y[fitted])  # else such a language would not be learned
+    held, fitted = held[~alone], np.append(fitted, held[alone])
     model = Ftrl(size + 1, len(languages))
     for _ in range(epochs):
         for k in fitted:

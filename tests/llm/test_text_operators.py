@@ -302,6 +302,16 @@ def test_language_without_teaching(spark):
     assert [r["score"] for r in langid.with_language(one, langid.train(one)).collect()] == [1.0] * 5
 
 
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(6)
+    rows = [(k, prose("en", rng), "en") for k in range(1500)]
+    rows += [(2000 + k, prose("de", rng), "de") for k in range(3)] + [(3000 + k, "le et avec maison", "fr") for k in range(300)]  # one text in copies
+    rows += [(4000, "choses vert", "it"), (4001, None, "xx"), (4002, "123", "yy")]
+    model = langid.train(docs(spark, rows), train_rows=20)
+    assert model.languages == ["de", "en", "fr", "it"]
+    assert langid.predict([rows[1500][1], rows[0][1], "le et avec maison", "choses vert"], model)[0] == ["de", "en", "fr", "it"]
+
+
 def test_learner_and_temperature():
     rng = np.random.default_rng(0)
     model = langid.Ftrl(20, 2)
