@@ -390,6 +390,15 @@ def _bitemporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_bitemporal(changes, 6, 5000).select("e", "v")
 
 
+# as of half of the system time that there is, so that the log it sees grows with the input
+@_query("bitemporal_snapshot_half", f"SELECT user_id AS e, arg_max({_EV}, struct_pack(a := event_id % 10, b := event_id)) AS v FROM events WHERE event_id % 10 <= 6 AND event_id <= (SELECT max(event_id) // 2 FROM events) GROUP BY user_id")
+def _bitemporal_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    changes = events.select(F.col("user_id").alias("e"), F.expr(_EV).alias("v"), (F.col("event_id") % 10).alias("_event"), F.col("event_id").alias("_system"), F.lit(1).alias("_w"))
+    half = (events.agg(F.max("event_id")).first()[0] or 0) // 2
+    return snapshot_bitemporal(changes, 6, half).select("e", "v")
+
+
 @_query("tagged_lane", "SELECT v FROM (SELECT r_name AS v, 1 AS t, r_name AS s, 0 AS n FROM region UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 5, NULL, n_nationkey FROM nation) WHERE t > 1 OR s >= 'ASIA'")
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tables(spark, sf_dir)
