@@ -14,8 +14,9 @@ stream by, and passes on each query's nearest of the chunk only.
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 numbers take no part, nor do rows without an id; only vectors of equal length
 are compared; a row is never its own neighbour, but another row with the same id
-is a candidate; equal distances rank by the smaller id; a query with fewer
-candidates than ``k`` gets all that were found; an empty table gives an empty
+is a candidate; equal distances rank by the smaller id; a query for which
+the buckets gave fewer than ``k`` meets all rows in a further round, so that it
+gets ``k`` of them, or all if there are fewer; an empty table gives an empty
 result.
 """
 
@@ -209,11 +210,29 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row for
     which ``is_query`` (a condition on the column ``id``) holds."""
     rows = prepare(vectors, id_col, vector_col, tables, hashes)
-    spark = vectors.sparkSession
     placed = rows.select("uid", "id", "dim", "vec", F.posexplode("codes").alias("t", "code"))
     sizes = placed.groupBy("dim", "t", "code").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     index = placed.join(sizes, ["dim", "t", "code"]).withColumn("chunk", F.pmod(F.xxhash64("uid", "t"), F.col("chunks")).cast("int"))
     asked = _probed(rows.where(is_query), tables, hashes, probes).join(sizes, ["dim", "t", "code"])
+    top = settle(_ranked(index, asked, k))
+    # queries for which too few were found meet every row of their length
+    peers = rows.groupBy("dim").agg((F.count("*") - 1).alias("peers"), F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    got = top.groupBy(F.col("q_uid").alias("uid")).agg(F.count("*").alias("got"))
+    short = rows.where(is_query).select("uid", "id", "dim", "vec").join(got, "uid", "left").join(peers, "dim")
+    short = settle(short.where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.col("peers"))).select("uid", "id", "dim", "vec", "chunks"))
+    if not short.isEmpty():
+        one = {"t": F.lit(0), "code": F.lit(0).cast("long")}
+        dims = F.broadcast(short.select("dim", "chunks").distinct())
+        index = rows.select("uid", "id", "dim", "vec").join(dims, "dim").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int"))
+        again = _ranked(index.withColumns(one), short.withColumns(one), k)
+        top = top.join(short.select(F.col("uid").alias("q_uid")), "q_uid", "left_anti").union(again.select(top.columns))
+    return top.select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(q_uid, query_id, rank, vec_id, score): the ``k`` nearest of each query
+    among the rows that it meets; each query meets all chunks of its bucket."""
+    spark = index.sparkSession
     asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     names = ["dim", "t", "code", "chunk", "role", "uid", "id", "vec"]
     both = index.withColumn("role", F.lit(0)).select(names).union(asked.withColumn("role", F.lit(1)).select(names))
@@ -224,7 +243,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_
     )
     found = met.groupBy("q_uid", "query_id", "uid", "vec_id").agg(F.first("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("q_uid").orderBy("score", "vec_id", "uid"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return found.select("q_uid", "query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,6 +235,22 @@ def test_few_candidates(spark):
     assert [(r["rank"], r["vec_id"]) for r in rows] == [(1, 0), (2, 0)] and rows[0]["score"] < rows[1]["score"]
 
 
+def test_every_query_gets_as_many_as_there_are(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    far = rng.normal(size=64)
+    x = [*(far + 0.01 * rng.normal(size=(3, 64))), *(-far + 0.01 * rng.normal(size=(100, 64))), *rng.normal(size=(6, 128))]  # few here, many opposite; few of another length
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest_neighbours(df, F.col("id").isin(0, 2, 50, 103, 107), chunk=32).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    for query in (0, 2, 103, 107):
+        d = sorted((np.sqrt(((x[v] - x[query]) ** 2).sum()), v) for v in range(len(x)) if v != query and len(x[v]) == len(x[query]))
+        assert got[query] == [(n, v) for n, (_, v) in enumerate(d[:10], 1)]
+    assert len(got[50]) == 10
+
+
 # -- pipeline ------------------------------------------------------------------
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
