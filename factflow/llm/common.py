@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,6 +60,15 @@ def fold(id_col: str, modulus: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def sampled(hash64: Column, share) -> Column:
+    """Is a uniform 64-bit hash within the lowest ``share`` (a number or a
+    column, 0 to 1) of all values? Shares far below one in a billion rows still
+    take their part."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    # twice as much as there is at a share of one, so that rounding loses no row
+    return F.shiftrightunsigned(hash64, 1).cast("double") < F.when(share >= 1, 2.0).otherwise(share) * float(1 << 63)
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factflow.llm.common import fold, fresh, kept, table
+from factflow.llm.common import fold, fresh, kept, sampled, table
 from factflow.llm.ngrams import Stream, groups
 
 BUCKET_BITS = 16
@@ -176,8 +176,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train
     rows = rows.select(F.col(text_col).alias("text_"), F.col(lang_col).alias("lang_"))
     different = rows.where(F.col("text_").rlike(r"\p{L}")).select("lang_", F.xxhash64("text_").alias("h_")).distinct().groupBy("lang_").count()
     # one row per language
-    below = different.select("lang_", F.greatest(F.lit(int(share * (1 << 20)) + (share == 1.0)), F.ceil(F.lit(float(least_rows << 20)) / F.col("count"))).alias("below_"))
-    inside = F.pmod(F.xxhash64(F.col("text_"), F.lit(seed)), F.lit(1 << 20)) < F.col("below_")
+    below = different.select("lang_", F.greatest(F.lit(share), F.lit(float(least_rows)) / F.col("count")).alias("below_"))
+    inside = sampled(F.xxhash64(F.col("text_"), F.lit(seed)), F.col("below_"))
     # copies fall on one hash: they teach once, or a large group would be the sample
     own = rows.join(F.broadcast(below), "lang_").where(inside).groupBy(F.xxhash64("text_").alias("h_"), "lang_").agg(F.first("text_").alias("text_"))
     got = _sample_features(own, "text_", "lang_")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factflow.llm.common import fold, fresh, kept, settle, table
+from factflow.llm.common import fold, fresh, kept, sampled, settle, table
 from factflow.llm.ngrams import Stream, groups
 
 ORDER = 5
@@ -76,8 +76,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(id_col).agg((F.max(label_col) > 0).alias("toxic_"))
     share = min(1.0, train_rows / max(1, known.count()))
-    inside = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)
-    own = known.where(inside).select(F.col(id_col).alias("id_"), "toxic_")
+    own = known.where(sampled(F.xxhash64(F.col(id_col), F.lit(seed)), share)).select(F.col(id_col).alias("id_"), "toxic_")
     chosen = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"))
     taken = chosen.join(F.broadcast(own), "id_").groupBy("id_")
     taken = taken.agg(F.min_by("text_", F.xxhash64("text_")).alias("text_"), F.first("toxic_").alias("toxic_"))
