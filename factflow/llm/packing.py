@@ -3,18 +3,21 @@
 A packer keeps a fixed number of open bins in a bitset keyed by free space: bit
 f is set if a bin with f free places is open. A piece goes into the bin whose
 free space is the smallest that holds it; if none does, a new bin opens, and if
-that is one too many, the fullest closes first.
+that is one too many, the fullest closes first. It sees each piece once, in the
+order of arrival, and never moves one that is placed.
 
 Pieces are dealt evenly to shards of a fixed count of tokens, each the stream of
-one task, the longest first (so late short pieces fill what is left). At a
-shard's end the fullest bins close until ``carried`` are left; these are not
-shipped half empty: their pieces are packed again in a further round of about
-1/32 of the shards, until one shard is left. Only lengths and checksums are shuffled, never texts.
+one task, in the order of ids and pieces. At a shard's end the fullest bins close
+until ``carried`` are left; these are not shipped half empty: their pieces are
+streamed once more in a further round of far fewer shards, until one shard is
+left. Only lengths and checksums are shuffled, never texts.
 
 Defined cases: a null or empty text is the single closing id; a document longer
-than ``capacity`` is cut into pieces of ``capacity``, the last may be shorter;
-repeated rows and null ids are packed like any other row; an empty table gives
-an empty result.
+than ``capacity``, however long, is cut into pieces of ``capacity``, the last may
+be shorter; of bins with equally much free space the one that got there last is
+taken; repeated rows and null ids are packed like any other row; further columns
+of the documents, whatever they are called, are not read and not passed on; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,12 +40,13 @@ from pyspark.sql import types as T
 from factflow.llm.common import settle, table
 
 CAPACITY = 4096
-OPEN_BINS = 4096
-#: Tokens of one packing task: about as many sequences as bins stay open.
+#: Bins that may be open at a time.
+OPEN_BINS = 64
+#: Tokens of one packing task.
 SHARD_TOKENS = 1 << 24
 SHARD_ROWS = 1 << 20
 #: Bins that may still be open when a shard ends; beyond, the fullest close.
-CARRIED_BINS = 128
+CARRIED_BINS = 64
 #: Words whose ids a Python worker keeps, and as many that were not used lately.
 CACHED_WORDS = 400_000
 #: Text that is looked up at once, and words of one call of the tokenizer.
@@ -279,7 +283,7 @@ class BestFit:
         self.capacity, self.most = capacity, open_bins
         self.bits = 0
         self.at: dict[int, list[int]] = {}
-        self.opened = self.open = 0
+        self.opened = self.open = self.forced = 0
 
     def place(self, length: int) -> tuple[int, int]:
         """(bin, offset) of a piece; closed bins are just forgotten."""
@@ -290,6 +294,7 @@ class BestFit:
         else:
             if self.open == self.most:  # the fullest closes
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.forced += 1
             which, free = self.opened, self.capacity
             self.opened += 1
         left = free - length
@@ -338,7 +343,7 @@ def _pack_round(rows: DataFrame, shards: int, turn: int, capacity: int, open_bin
         *rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
         T.StructField("closed", T.BooleanType()),
     ])
-    order = [F.desc("length"), *(c for c in base if c not in ("ids", "length"))]
+    order = [c for c in base if c != "ids"]  # the id and the piece come first
     return rows.repartition(shards).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
@@ -347,7 +352,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     """``rows`` (with a column length of at most ``capacity``) and sequence_id,
     offset. A shard holds its rows' numbers in memory; ``shard_tokens`` and
     ``SHARD_ROWS`` bound them."""
-    base = rows.columns
+    base = rows.columns  # their order is the order of arrival
     rows, turn, done, shards = settle(rows), 0, None, None
     while True:
         size = rows.agg(F.sum("length").alias("tokens"), F.count("*").alias("rows")).first()

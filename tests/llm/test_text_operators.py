@@ -137,6 +137,24 @@ def test_best_fit():
         k, at = b.place(n)
         assert at == fill.get(k, 0) and at + n <= 100
         fill[k] = at + n
+    # mostly long pieces leave more bins open than there may be
+    lengths = [random.randint(40, 70) if random.random() < 0.9 else random.randint(1, 40) for _ in range(5000)]
+    b = packing.BestFit(100, 16)
+    for n in lengths:
+        b.place(n)
+        assert b.open <= 16
+    assert b.forced > 0
+
+
+def test_online_and_bounded_packing_is_near_the_bound():
+    random.seed(6)
+    b = packing.BestFit()
+    total = 0
+    for _ in range(20_000):
+        n = min(4096, int(random.lognormvariate(6.2, 1.1)) + 1)
+        total += n
+        b.place(n)
+    assert b.most == packing.OPEN_BINS == 64 and b.opened <= 1.01 * -(-total // 4096)
 
 
 @pytest.mark.parametrize("options", [{}, {"open_bins": 8, "shard_tokens": 3000, "carried": 2}])
