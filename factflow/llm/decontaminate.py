@@ -9,13 +9,20 @@ item; an item of fewer words, but not none, is one window.
 The texts are never shuffled. The automaton is built once per Python worker
 from the items' words, which are sent in shards of at most ``SHARD_WORDS``
 words; a longer benchmark takes one pass per shard, and passes are merged per
-document. So what is broadcast has a fixed bound at any size.
+document. A pass is written out and its shard let go before the next, so what is
+broadcast, and what the driver holds, has a fixed bound at any size. (An item is
+never parted: one of more words is a shard of its own.)
+
+The time is linear in the words of a text, however it repeats itself: every state
+links to its nearest suffix in which windows end, of which there are at most as
+many as windows have lengths.
 
 Defined cases: null or wordless texts have zero words and no hits; null or
 wordless items have no windows; an item with a null id marks hit words but is
 not listed among the items; repeated items count once by id; repeated documents
-are judged each by itself; empty tables give empty results (an empty benchmark:
-nothing is hit).
+are judged each by itself; very long texts are read whole; a column that is
+called like the one made is replaced, all others pass unchanged; empty tables
+give empty results (an empty benchmark: nothing is hit).
 """
 
 from __future__ import annotations
@@ -25,11 +32,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factflow.llm.common import fresh, kept, table
+from factflow.llm.common import fresh, kept, settle, table
 
 WINDOW = 13
 #: Words of the items in one automaton (at most twice as many states).
@@ -92,23 +100,32 @@ class SuffixAutomaton:
 
     def _mark(self, ends: list[tuple[str | None, int, list[int]]]) -> None:
         """ends[state]: window length -> items, of the windows that are among
-        the state's own factors."""
+        the state's own factors; up[state]: the nearest suffix that has any."""
         self.ends: list[dict[int, set]] = [{} for _ in self.next]
+        above: dict[int, dict[int, int]] = {}  # window length -> state -> the suffix that has its windows of this length
         for item, n, path in ends:
+            known = above.setdefault(n, {})
             for s in path[n - 1 :]:
-                while self.length[self.link[s]] >= n:
+                passed = []
+                while s not in known and self.length[self.link[s]] >= n:
+                    passed.append(s)
                     s = self.link[s]
+                s = known.setdefault(s, s)
+                known.update(dict.fromkeys(passed, s))
                 self.ends[s].setdefault(n, set()).add(item)
         # shortest window that ends in a state or a suffix of it; 0: none
         order = sorted(range(len(self.next)), key=self.length.__getitem__)
-        self.least = [0] * len(self.next)
+        self.least, self.up = [0] * len(self.next), [0] * len(self.next)
         for s in order[1:]:
-            own, up = min(self.ends[s], default=0), self.least[self.link[s]]
-            self.least[s] = min(x for x in (own, up) if x) if own or up else 0
+            link = self.link[s]
+            self.up[s] = link if self.ends[link] else self.up[link]
+            own = min(self.ends[s], default=0)
+            self.least[s] = self.least[link] or own  # a suffix has the shorter windows
 
     def spans(self, words: list[str]) -> Iterator[tuple[int, int, set]]:
-        """(start, end, items) of every occurrence of a window."""
-        nxt, link, length, least, ends = self.next, self.link, self.length, self.least, self.ends
+        """(start, end, items) of every occurrence of a window. At each word at
+        most as many suffixes are looked at as windows have lengths."""
+        nxt, link, length, least, ends, up = self.next, self.link, self.length, self.least, self.ends, self.up
         root = nxt[0]
         state, here, n = 0, root, 0
         for at, w in enumerate(words):
@@ -126,12 +143,12 @@ class SuffixAutomaton:
             state, n = to, n + 1
             here = nxt[state]
             if least[state] and n >= least[state]:
-                s = state
-                while s > 0 and least[s]:
+                s = state if ends[state] else up[state]
+                while s:
                     for k, items in ends[s].items():
                         if k <= n:
                             yield at + 1 - k, at + 1, items
-                    s = link[s]
+                    s = up[s]
 
 
 def _merge(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
@@ -188,13 +205,14 @@ _HITS_SCHEMA = T.StructType([
 def hits_of(automaton: SuffixAutomaton, text: str | None, before: dict | None = None) -> dict:
     """Hits of one text, with those of an earlier shard merged in."""
     words = words_of(text)
-    spans, items = set(), set()
+    spans, items, met = set(), set(), {}
     if before:
         spans |= {tuple(x) for x in before["spans"]}
         items |= set(before["items"])
     for s, e, who in automaton.spans(words):
         spans.add((s, e))
-        items |= who
+        met[id(who)] = who
+    items.update(*met.values())
     items.discard(None)
     merged, chars = _merge(spans), []
     if merged:
@@ -203,11 +221,9 @@ def hits_of(automaton: SuffixAutomaton, text: str | None, before: dict | None =
     return {"n_words": len(words), "n_hit": sum(e - s for s, e in merged), "spans": merged, "chars": chars, "items": sorted(items)}
 
 
-def _scan(source: DataFrame, text: str, shard: list, window: int, out: str, last: bool) -> DataFrame:
+def _scan(source: DataFrame, text: str, shard: list, held: Broadcast, window: int, out: str, last: bool) -> DataFrame:
     """Set the struct ``out`` of each row from its column ``text``; the text
     itself goes no further than the last pass."""
-    spark = source.sparkSession
-    held = spark.sparkContext.broadcast(shard)
     key = hashlib.sha256(repr((window, shard)).encode()).hexdigest()
     names = source.columns
     at, prior = names.index(text), names.index(out) if out in names else None
@@ -238,9 +254,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     shard = next(shards, [])
     while True:
         following = next(shards, None)
-        result = _scan(result, text, shard, window, out, following is None)
+        held = docs.sparkSession.sparkContext.broadcast(shard)
+        result = _scan(result, text, shard, held, window, out, following is None)
         if following is None:
             return result
+        # written out, so that one shard at a time is held by the executors
+        result = settle(result)
+        held.destroy()
         shard = following
 
 

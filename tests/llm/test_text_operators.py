@@ -215,6 +215,18 @@ def test_hits_against_brute_force(spark, shard_words):
     assert all(r["hits"]["n_hit"] == 0 for r in empty)
 
 
+def test_matching_is_linear_on_repeated_words():
+    import time
+
+    automaton = decontaminate.SuffixAutomaton([("x", ["a"] * 4000), ("y", ["a"] * 5)])
+    began = time.process_time()
+    got = decontaminate.hits_of(automaton, "a " * 8000)
+    assert time.process_time() - began < 0.5 and got["n_hit"] == 8000 and got["items"] == ["x", "y"]
+    began = time.process_time()
+    decontaminate.SuffixAutomaton([("x", ["a"] * 8000)])
+    assert time.process_time() - began < 0.5
+
+
 def test_removal_of_contamination(spark):
     passage = "the Cat sat on the mat and then it ran far away from here"
     long = "word " * 400
