@@ -1,36 +1,50 @@
 """Removal of every byte that a repeated 400-byte string covers.
 
-Texts are far too many bytes to suffix-sort as they stand, so what is certainly
-unique or certainly repeated is found first, and suffixes decide the rest:
+Texts are far too many bytes to suffix-sort as they stand, so they are reduced to
+what suffixes have to decide:
 
 1. Anchors. In every ``length``-byte window the 32-byte gram with the smallest
    hash is its anchor (the rightmost of equals), so equal windows have equal
    anchors at equal places. A window's anchor is the same for a run of starts;
    one row per run carries the hash of the gram and a digest of all bytes of the
-   run's windows. There is about one row for every 190 bytes.
-2. Runs whose gram occurs once hold no repeated window. Runs with equal digests
-   are folded: two equal ones repeat each other in full.
-3. Runs that share a gram but differ (at the ends of repeated passages and at
-   edits) are compared by suffixes: their starts are taken in pieces of 64 with a
-   common core; pieces of equal core differ in up to 63 bytes on either side. The
-   suffix array of the right sides, built by linear grouping of Lyndon prefixes
-   (see ``suffixes``), puts windows with a common continuation side by side; at
-   each start, neighbours that share it and the bytes to the left are repeats.
-4. A core with more than ``GROUP`` pieces is never gathered: pieces that are
-   alike are folded, the rest is halved and meets again by the longer cores, down
-   to single windows, which are only counted.
+   run's windows. There is about one row for every 190 bytes. Runs whose gram
+   occurs once hold no repeated window and go.
+2. Equal runs are folded into one class with a count, before anything is gathered;
+   what is decided for a class holds for its members.
+3. The starts of a class are taken in pieces of ``PIECE`` bytes: the windows of a
+   piece have a common core and reach up to 63 bytes to either side of it. Pieces
+   of equal cores meet. Of all pieces of a slab one text is made, in symbols of
+   eight bytes: left side, core, right side. Its suffix array, built by linear
+   grouping of Lyndon prefixes (see ``suffixes``), puts suffixes with a common
+   beginning side by side; where neighbours share all the symbols that a window
+   holds whole, they form an interval, and within it the seven bytes that are left
+   over at the window's two ends tell which windows are equal. A window that is
+   equal to another's, or whose class has several members, is repeated.
+4. A core with more than ``GROUP`` pieces is not gathered: pieces that are alike
+   are folded, the rest is halved and meets again by the longer cores, in the same
+   way, down to single windows, which are only counted.
 
 Digests have 128 bits and stand for the bytes. Matches never cross documents, as
-windows do not. Equal texts are one text with a count, until the result.
+windows do not.
+
+By the same steps over words instead of bytes, documents are told that share a
+passage of more than 50 words with another document (white space parts words, A-Z
+is lower-cased; a word is known by its 32-bit checksum): 51 words are a window.
+There a class is decided by its fold if it has members in several documents.
 
 Defined cases: null is the empty text; texts shorter than ``length`` lose
 nothing but may not be skipped over (they are returned with zero removed bytes);
-repeated rows are copies of each other; an empty table gives an empty result.
+very long texts are read in overlapping segments, whole; repeated rows are copies
+of each other; equal hashes in a window give the rightmost anchor; a column that
+is called like the one made is replaced, all others pass unchanged; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +53,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factflow.llm.common import fresh, kept, settle, table, texts
+from factflow.llm.common import discard, fresh, kept, settle, table, texts
 from factflow.llm.suffixes import suffix_array
 
 LENGTH = 400
-GRAM = 32
-#: Starts of one piece, a power of two.
+#: Words of a passage that documents share.
+PASSAGE_WORDS = 51
+#: Bytes of the starts of one piece, a power of two.
 PIECE = 64
 #: Pieces of one core that a task compares by suffixes; more are halved.
 GROUP = 256
@@ -54,12 +69,40 @@ _SEGMENT = 1 << 21
 _MIX = np.random.default_rng(3).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the 32 bytes from each place, by doubling."""
+@dataclass(frozen=True)
+class View:
+    """A text as symbols of ``unit`` bytes, in windows of ``length`` symbols."""
+
+    unit: int
+    length: int
+    gram: int  # symbols of an anchor, a power of two
+    across: bool  # only what stands in several documents counts
+
+    def symbols(self, text: bytes) -> np.ndarray:
+        if self.unit == 1:
+            return np.frombuffer(text, np.uint8)
+        words = text.lower().split()
+        return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+
+    @property
+    def piece(self) -> int:
+        return PIECE // self.unit
+
+
+def byte_view(length: int = LENGTH) -> View:
+    return View(1, length, 32, False)
+
+
+def word_view(words: int = PASSAGE_WORDS) -> View:
+    return View(4, words, 8, True)
+
+
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` symbols from each place, by doubling."""
     h = data.astype(np.uint64) + np.uint64(1)
     span = 1
     k = 0
-    while span < GRAM:
+    while span < gram:
         h = h[:-span] * _MIX[k] + h[span:]
         h ^= h >> np.uint64(29)
         span *= 2
@@ -76,33 +119,34 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def runs(group: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, anchor, far, near, gram hash) of each run of window starts
+def runs(group: list[np.ndarray], view: View) -> np.ndarray:
+    """Rows (text, anchor, far, near, gram hash) of each run of window starts
     ``anchor - far .. anchor - near`` that have the same anchor."""
-    width = length - GRAM + 1
-    data = np.frombuffer(b"".join(group), np.uint8)
+    length = view.length
+    none = np.zeros((0, 5), np.int64)
+    data = np.concatenate(group) if group else np.zeros(0, np.uint8)
     if len(data) < length:
-        return
-    ends = np.cumsum([len(t) for t in group])
-    h = _gram_hashes(data)
+        return none
+    sizes = np.array([len(t) for t in group])
+    ends = np.cumsum(sizes)
+    h = _gram_hashes(data, view.gram)
     mask = np.uint64((1 << 24) - 1)
     v = (h & ~mask) | (mask - np.arange(len(h), dtype=np.uint64))
-    at = (mask - (_sliding_min(v, width) & mask)).astype(np.int64)
-    owner = np.searchsorted(ends, np.arange(len(at)), side="right")
-    valid = np.arange(len(at)) + length <= ends[owner]
-    start = np.flatnonzero(valid)
+    at = (mask - (_sliding_min(v, length - view.gram + 1) & mask)).astype(np.int64)
+    owner = np.repeat(np.arange(len(group)), sizes)[: len(at)]
+    start = np.flatnonzero(np.arange(len(at)) + length <= ends[owner])
     if not len(start):
-        return
+        return none
     a, o = at[start], owner[start]
     new = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(o) != 0)]))
     last = np.concatenate([new[1:], [len(start)]]) - 1
-    base = (ends - [len(t) for t in group])[o[new]]
-    yield from zip(o[new].tolist(), (a[new] - base).tolist(), (a[new] - start[new]).tolist(), (a[new] - start[last]).tolist(), h[a[new]].view(np.int64).tolist(), strict=True)
+    base = (ends - sizes)[o[new]]
+    return np.stack([o[new], a[new] - base, a[new] - start[new], a[new] - start[last], h[a[new]].view(np.int64)], axis=1)
 
 
-def _segments(batch: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-    """Groups of (row, offset, bytes) of about ``_SEGMENT`` bytes; a longer text
-    is cut into parts that overlap by less than a window."""
+def _segments(batch: list[np.ndarray], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Groups of (row, offset, symbols) of about ``_SEGMENT`` symbols; a longer
+    text is cut into parts that overlap by less than a window."""
     rows, offsets, parts, size = [], [], [], 0
     for row, text in enumerate(batch):
         for s in range(0, max(1, len(text) - length + 1), _SEGMENT):
@@ -110,155 +154,191 @@ def _segments(batch: list[bytes], length: int) -> Iterator[tuple[list[int], list
             if len(part) < length:
                 continue
             if size and size + len(part) > 2 * _SEGMENT:
-                yield rows, offsets, parts
+                yield np.array(rows), np.array(offsets), parts
                 rows, offsets, parts, size = [], [], [], 0
             rows.append(row)
             offsets.append(s)
             parts.append(part)
             size += len(part)
     if parts:
-        yield rows, offsets, parts
+        yield np.array(rows), np.array(offsets), parts
 
 
-def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+def _anchor_rows(docs: DataFrame, view: View) -> DataFrame:
     """(tk, a, far, near, gram, span) of every run; docs: (tk, text)."""
+    length = view.length
 
     def run(batches):
         for b in batches:
-            batch, keys = texts(b.column(1)), b.column(0)
-            took, cols, spans = [], [], []
+            batch, keys = [view.symbols(t) for t in texts(b.column(1))], b.column(0)
             for rows, offsets, parts in _segments(batch, length):
-                for k, a, far, near, gram in runs(parts, length):
-                    took.append(rows[k])
-                    cols.append((a + offsets[k], far, near, gram))
-                    spans.append(xxhash.xxh3_128_digest(parts[k][a - far : a - near + length]))
-            if cols:
-                c = np.array(cols, np.int64)
+                found = runs(parts, view)
+                if not len(found):
+                    continue
+                k, a, far, near, gram = found.T
+                digest = xxhash.xxh3_128_digest
+                spans = [digest(parts[p][s:e]) for p, s, e in zip(k.tolist(), (a - far).tolist(), (a - near + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(took)), pa.array(c[:, 0]), pa.array(c[:, 1].astype(np.int32)), pa.array(c[:, 2].astype(np.int32)), pa.array(c[:, 3]), pa.array(spans, pa.binary())],
+                    [keys.take(pa.array(rows[k])), pa.array(a + offsets[k]), pa.array(far.astype(np.int32)), pa.array(near.astype(np.int32)), pa.array(gram), pa.array(spans, pa.binary())],
                     names=["tk", "a", "far", "near", "gram", "span"])
 
     return docs.mapInArrow(run, "tk binary, a long, far int, near int, gram long, span binary")
 
 
-def _pieces(chosen: DataFrame, length: int) -> DataFrame:
-    """Pieces of the runs listed with each text (tk, text, runs)."""
+#: Pieces: left and right are the bytes beside the core; the starts lo to hi are
+#: in the run; base is the first start's place from the anchor; w is 2 if the
+#: class has several members; kmin and kmax are hashes of the texts that it is in.
+_PIECE = ("core", "left", "right", "lo", "hi", "gram", "span", "base", "w", "kmin", "kmax")
+_KINDS = (pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+_PIECE_SCHEMA = "core binary, left binary, right binary, lo int, hi int, gram long, span binary, base int, w int, kmin long, kmax long"
+
+
+def _batch(columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=list(_PIECE))
+
+
+def _pieces(chosen: DataFrame, view: View) -> DataFrame:
+    """Pieces of the runs listed with each text (text, runs)."""
+    length, n, unit = view.length, view.piece, view.unit
 
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(8)]
-            for tk, text, listed in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), strict=True):
+            out = [[] for _ in _PIECE]
+            for text, listed in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
+                data = view.symbols(text).tobytes()
+                cut = lambda s, e, d=data: d[max(0, s) * unit : e * unit]
                 for r in listed:
                     a, far, near = r["a"], r["far"], r["near"]
-                    for g in range(near // PIECE, far // PIECE + 1):
-                        d0, d1 = g * PIECE, g * PIECE + PIECE - 1
-                        left, right = text[max(0, a - d1) : a - d0], text[a - d1 + length : a - d0 + length]
-                        row = (xxhash.xxh3_128_digest(text[a - d0 : a - d1 + length] + bytes([g])), left, right, max(0, d1 - far), min(PIECE - 1, d1 - near), tk, a - d1, PIECE - 1)
+                    for g in range(near // n, far // n + 1):
+                        d0, d1 = g * n, g * n + n - 1
+                        core = xxhash.xxh3_128_digest(cut(a - d0, a - d1 + length) + bytes([g]))
+                        row = (core, cut(a - d1, a - d0), cut(a - d1 + length, a - d0 + length), max(0, d1 - far), min(n - 1, d1 - near), r["gram"], r["span"], -d1, r["w"], r["kmin"], r["kmax"])
                         for c, x in zip(out, row, strict=True):
                             c.append(x)
-            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
-            names = ("core", "left", "right", "lo", "hi", "tk", "base", "e")
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=list(names))
+            yield _batch(out)
 
-    return chosen.mapInArrow(run, "core binary, left binary, right binary, lo int, hi int, tk binary, base long, e int")
+    return chosen.mapInArrow(run, _PIECE_SCHEMA)
 
 
-def _halves(rows: DataFrame) -> DataFrame:
-    """Each piece as two of half the starts, with the longer cores' digests."""
+def _halves(rows: DataFrame, e: int, unit: int) -> DataFrame:
+    """Each piece of e + 1 starts as two of half of them, by the longer cores."""
 
     def run(batches):
+        h = (e + 1) // 2
+        n = e - h  # the last start of a half
         for b in batches:
-            out = [[] for _ in range(8)]
-            for core, left, right, lo, hi, tk, base, e in zip(*(b.column(c).to_pylist() for c in range(8)), strict=True):
-                h = (e + 1) // 2
-                n = e - h  # the last start of a half
-                # the nearer half: its core takes in bytes on the right; the other's on the left
+            out = [[] for _ in _PIECE]
+            for core, left, right, lo, hi, gram, span, base, *rest in zip(*(b.column(c).to_pylist() for c in range(len(_PIECE))), strict=True):
+                # the nearer half: its core takes in symbols on the right; the other's on the left
                 for k, s in enumerate((0, h)):
                     if lo > s + n or hi < s:
                         continue
-                    want_left, want_right = e - s - n, s  # bytes of either side that the half's windows all have
+                    want_left, want_right = (e - s - n) * unit, s * unit  # bytes of either side that the half's windows all have
                     if len(left) < want_left or len(right) < want_right:
                         continue
-                    core_left = left[len(left) - want_left :] if want_left else b""
-                    own_left = left[: len(left) - want_left][-n:] if n else b""
-                    own_right = right[want_right : want_right + n]
-                    key = xxhash.xxh3_128_digest(b"%d|%d|" % (e, k) + core + core_left + b"|" + right[:want_right])
-                    row = (key, own_left, own_right, max(lo - s, 0), min(hi - s, n), tk, base + s, n)
+                    near = len(left) - want_left
+                    key = xxhash.xxh3_128_digest(b"%d|%d|" % (e, k) + core + left[near:] + b"|" + right[:want_right])
+                    row = (key, left[max(0, near - n * unit) : near], right[want_right : want_right + n * unit], max(lo - s, 0), min(hi - s, n), gram, span, base + s, *rest)
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
-            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
-            names = ("core", "left", "right", "lo", "hi", "tk", "base", "e")
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=list(names))
-
-    names = ["core", "left", "right", "lo", "hi", "tk", "base", "e"]
-    return rows.select(names).mapInArrow(run, "core binary, left binary, right binary, lo int, hi int, tk binary, base long, e int")
-
-
-def _right_order(group: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The rows by group and right side, from the suffix array of all right
-    sides, each led by its group's own symbol."""
-    n, wide = right.shape
-    words = np.zeros((n, -(-max(1, wide) // 8) * 8), np.uint8)
-    words[:, :wide] = right
-    blocks = words.view(">u8").astype(np.uint64)
-    _, rank = np.unique(blocks, return_inverse=True)
-    rank = rank.reshape(blocks.shape) + int(group.max()) + 1
-    text = np.concatenate([group[:, None], rank], axis=1)
-    order = np.array(suffix_array(text.reshape(-1).tolist()), np.int64)
-    step = text.shape[1]
-    return order[order % step == 0] // step
-
-
-def repeated_starts(group: np.ndarray, left: list[bytes], right: list[bytes], lo: np.ndarray, hi: np.ndarray, e: int) -> np.ndarray:
+            yield _batch(out)
+
+    return rows.select(*_PIECE).mapInArrow(run, _PIECE_SCHEMA)
+
+
+def _intervals(group: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each piece and each number m of whole left blocks (0 up to their
+    count less one), the interval of the suffix array in which the suffix of m
+    left blocks, the core and the right side stands: neighbours belong together
+    that share as many symbols as there are blocks on a side."""
+    n, blocks = left.shape
+    both, rank = np.unique(np.concatenate([left, right]), return_inverse=True)
+    rank = rank.reshape(2, n, blocks)
+    text = np.concatenate([rank[0], (len(both) + group)[:, None], rank[1]], axis=1).reshape(-1)
+    order = np.array(suffix_array(text.tolist()), np.int64)
+    padded = np.concatenate([text, np.full(blocks, -1)])
+    shared = np.ones(len(order) - 1, bool)
+    for k in range(blocks):
+        shared &= padded[order[1:] + k] == padded[order[:-1] + k]
+    interval = np.empty(len(order), np.int64)
+    interval[order] = np.concatenate([[0], np.cumsum(~shared)])
+    # the suffix of m left blocks begins m symbols before the core
+    return interval.reshape(n, 2 * blocks + 1)[:, blocks:0:-1]
+
+
+def repeated_starts(group: np.ndarray, left: list[bytes], right: list[bytes], lo: np.ndarray, hi: np.ndarray, w: np.ndarray,
+                    kmin: np.ndarray, kmax: np.ndarray, e: int, unit: int = 1, across: bool = False) -> np.ndarray:
     """Which of the e + 1 window starts of each piece is repeated in its group.
-    At start j a window has the last e - j bytes of the left side and the first
-    j of the right side."""
+    At start j a window has the last e - j symbols of the left side and the
+    first j of the right side."""
     n = len(left)
-    # sides that the text's ends cut short are filled; no valid window reads the filling
-    r = np.frombuffer(b"".join(x.ljust(e, b"\0") for x in right), np.uint8).reshape(n, e)
-    order = _right_order(group, r)
-    group, r, lo, hi = group[order], r[order], lo[order], hi[order]
-    l = np.frombuffer(b"".join(left[k].rjust(e, b"\0") for k in order), np.uint8).reshape(n, e)
-    differs = r[1:] != r[:-1]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), e) if e else np.zeros(n - 1, np.int64)
-    common[group[1:] != group[:-1]] = -1
+    per = min(8 // unit, e + 1)  # symbols of a block
+    blocks = (e + 1) // per
+    bits = 8 * unit
+
+    def in_blocks(sides: list[bytes], fill) -> np.ndarray:
+        # sides that the text's ends cut short are filled; no valid window reads the filling
+        data = np.frombuffer(b"".join(fill(x) for x in sides), np.uint8).reshape(n, blocks, per * unit)
+        out = np.zeros((n, blocks), np.uint64)
+        for k in range(per * unit):
+            out = out << np.uint64(8) | data[:, :, k]
+        return out
+
+    wide = (e + 1) * unit
+    lefts, rights = in_blocks(left, lambda x: x.rjust(wide, b"\0")), in_blocks(right, lambda x: x.ljust(wide, b"\0"))
+    interval = _intervals(group, lefts, rights)
     hit = np.zeros((n, e + 1), bool)
-    tail = np.zeros(n, np.uint64)  # hash of the last e - j bytes on the left
-    for j in range(e, -1, -1):
-        if j < e:
-            tail = (tail ^ (l[:, j].astype(np.uint64) + np.uint64(1))) * _MIX[0]
-            tail ^= tail >> np.uint64(31)
-        cluster = np.concatenate([[0], np.cumsum(common < j)])
-        at = np.flatnonzero((lo <= j) & (hi >= j))
-        if len(at) < 2:
-            continue
-        by = np.lexsort((tail[at], cluster[at]))
-        s = at[by]
-        same = (cluster[s][1:] == cluster[s][:-1]) & (tail[s][1:] == tail[s][:-1])
-        hit[s[1:][same], j] = True
-        hit[s[:-1][same], j] = True
-    out = np.zeros_like(hit)
-    out[order] = hit
-    return out
-
-
-def _compare(batches, e: int):
-    """Over a partition sorted by core: (tk, first, last) of repeated starts."""
-    names = ["tk", "first", "last"]
+    for m in range(blocks):
+        own = interval[:, m]
+        # alone in its interval, a piece is repeated only by its weight
+        seen, back, many = np.unique(own, return_inverse=True, return_counts=True)
+        may = (many[back] > 1) | (w > 1)
+        further, head = lefts[:, blocks - 1 - m], rights[:, blocks - 1 - m]
+        for t in range(per):
+            j = e - per * m - t
+            at = np.flatnonzero(may & (lo <= j) & (hi >= j))
+            if not len(at):
+                continue
+            rest = (further[at] & np.uint64((1 << bits * t) - 1)) << np.uint64(bits * (per - 1 - t))
+            if t < per - 1:
+                rest |= head[at] >> np.uint64(bits * (t + 1))
+            s = at[by := np.lexsort((rest, own[at]))]
+            rest = rest[by]
+            first = np.flatnonzero(np.concatenate([[True], (own[s][1:] != own[s][:-1]) | (rest[1:] != rest[:-1])]))
+            if across:
+                again = np.minimum.reduceat(kmin[s], first) < np.maximum.reduceat(kmax[s], first)
+            else:
+                again = np.add.reduceat(w[s], first) > 1
+            hit[s, j] = np.repeat(again, np.diff(np.append(first, len(s))))
+    return hit
+
+
+def _compare(batches, e: int, view: View):
+    """Over a partition sorted by core: (gram, span, first, last) of repeated
+    starts, as places from the anchor."""
 
     def out(rows):
-        core, left, right, lo, hi, tk, base = rows
+        core, left, right, lo, hi, gram, span, base, w, kmin, kmax = rows
         group = np.cumsum(np.array([False] + [x != y for x, y in zip(core, core[1:], strict=False)]))
-        hit = repeated_starts(group, left, right, np.array(lo), np.array(hi), e)
+        # a piece that is alone in its group is repeated only by its weight; its suffixes need not be sorted
+        size, weight = np.bincount(group), np.array(w)
+        keep = np.flatnonzero((size[group] > 1) | (weight > 1))
+        if not len(keep):
+            return None
+        take = lambda c: [c[k] for k in keep]
+        hit = repeated_starts(group[keep], take(left), take(right), np.array(lo)[keep], np.array(hi)[keep], weight[keep], np.array(kmin)[keep], np.array(kmax)[keep], e, view.unit, view.across)
         edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         k, first = np.nonzero(edge == 1)
         _, after = np.nonzero(edge == -1)
-        b = np.array(base, np.int64)[k]
-        return pa.RecordBatch.from_arrays([pa.array([tk[x] for x in k], pa.binary()), pa.array(b + first), pa.array(b + after - 1)], names=names)
+        k = keep[k]
+        b = np.array(base, np.int32)[k]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([gram[x] for x in k], pa.int64()), pa.array([span[x] for x in k], pa.binary()), pa.array((b + first).astype(np.int32)), pa.array((b + after - 1).astype(np.int32))],
+            names=["gram", "span", "first", "last"])
 
-    held = [[] for _ in range(7)]
+    held = [[] for _ in _PIECE]
     for b in batches:
-        for c, column in zip(held, b.columns, strict=False):
+        for c, column in zip(held, b.columns, strict=True):
             c.extend(column.to_pylist())
         if len(held[0]) < SLAB:
             continue
@@ -266,74 +346,110 @@ def _compare(batches, e: int):
         while cut > 0 and held[0][cut - 1] == held[0][-1]:
             cut -= 1
         if cut:
-            yield out([c[:cut] for c in held])
+            if (made := out([c[:cut] for c in held])) is not None:
+                yield made
             held = [c[cut:] for c in held]
-    if held[0]:
-        yield out(held)
+    if held[0] and (made := out(held)) is not None:
+        yield made
+
+
+_HITS = "gram long, span binary, first int, last int"
 
 
-def _edge_repeats(pieces: DataFrame) -> DataFrame:
-    """(tk, first, last) of the repeated starts among the pieces."""
-    names = ["core", "left", "right", "lo", "hi", "tk", "base"]
-    alike = names[:5]
+def _decided(pieces: DataFrame, view: View) -> DataFrame:
+    """(gram, span, first, last) of the repeated starts of each class. Of pieces
+    that are folded in a large group, all are told of what the fold decides; in
+    the view across documents, of pieces of one document, one is."""
+    alike = ["core", "left", "right", "lo", "hi"]
     spark = pieces.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found: list[DataFrame] = []
-    e, rows = PIECE - 1, pieces
+    e, rows = view.piece - 1, pieces
+    span_of = lambda df: df.select("gram", "span", (F.col("base") + F.col("lo")).alias("first"), (F.col("base") + F.col("hi")).alias("last"))
+    repeated = F.col("kmin") < F.col("kmax") if view.across else F.col("w") > 1
+    told = {"w": F.least(F.lit(2), F.sum("w")).cast("int"), "kmin": F.min("kmin"), "kmax": F.max("kmax")}
     while True:
-        rows = _sized(rows)
         if e == 0:
-            return _union([*found, rows.where("lo <= 0 and hi >= 0").select("tk", F.col("base").alias("first"), F.col("base").alias("last"))])
-        # in large groups, pieces that are alike repeat each other; one of them goes on
-        large = rows.where(F.col("n") > GROUP)
-        folds = settle(large.groupBy(*alike).agg(F.count("*").alias("c"), F.min(F.struct("tk", "base")).alias("one")))
-        again = large.join(folds.where("c > 1").select(alike), alike)
-        found.append(again.select("tk", (F.col("base") + F.col("lo")).alias("first"), (F.col("base") + F.col("hi")).alias("last")))
-        left = _sized(folds.select(*alike, "one.tk", "one.base"))
-        small = rows.where(F.col("n") <= GROUP).select(names).union(left.where(F.col("n") <= GROUP).select(names))
-        small = small.repartition(parts, "core").sortWithinPartitions("core", "tk", "base")
-        found.append(settle(small.mapInArrow(lambda it, e=e: _compare(it, e), "tk binary, first long, last long")))
-        left = left.where(F.col("n") > GROUP).withColumn("e", F.lit(e))
-        if left.isEmpty():
-            return _union(found)
-        rows, e = settle(_halves(left)).drop("e"), (e + 1) // 2 - 1
-
-
-def _sized(rows: DataFrame) -> DataFrame:
-    """Pieces whose core others have too, with their number."""
-    sizes = settle(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
-    return settle(rows.join(sizes, "core"))
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
+            same = rows.groupBy("core").agg(*(x.alias(c) for c, x in told.items())).where(repeated).select("core")
+            found.append(span_of(rows.where("lo <= 0 and hi >= 0").join(same, "core")))
+            break
+        large = settle(rows.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("core"))
+        crowded = not large.isEmpty()
+        small = rows
+        if crowded:
+            # in large groups, pieces that are alike are one with their weight
+            small, big = rows.join(large, "core", "left_anti"), rows.join(large, "core", "left_semi")
+            one = F.min(F.struct("gram", "span", "base")).alias("one")
+            folds = settle(big.groupBy(*alike).agg(one, *(x.alias(c) for c, x in told.items())))
+            found.append(span_of(big.select(*alike, "gram", "span", "base").join(folds.where(repeated).select(*alike), alike)))
+            left = folds.select(*alike, "one.*", *told)
+            sizes = settle(left.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("core"))
+            small = small.select(*_PIECE).union(left.join(sizes, "core", "left_anti").select(*_PIECE))
+            left = left.join(sizes, "core", "left_semi").select(*_PIECE)
+        dealt = small.select(*_PIECE).repartition(parts, "core").sortWithinPartitions("core", "gram", "span", "base")
+        found.append(settle(dealt.mapInArrow(lambda it, e=e: _compare(it, e, view), _HITS)))
+        if not crowded or left.isEmpty():
+            break
+        rows, e = settle(_halves(left, e, view.unit)), (e + 1) // 2 - 1
+    out = found[0]
+    for f in found[1:]:
         out = out.union(f)
-    return out
+    return settle(out)
 
 
-def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(tk, ranges): by the MD5 of each text that has any, the first and last
-    starts of repeated windows; array of struct(first, last)."""
+def decided_runs(docs: DataFrame, text_col: str, view: View) -> tuple[DataFrame, DataFrame]:
+    """All runs of texts (known by their MD5, tk) whose gram occurs again: (tk,
+    a, far, near, gram, span); and the repeated starts of their classes: (gram,
+    span, first, last), as places from the anchor."""
     text = F.col(text_col).cast("string")
-    source = docs.where(F.octet_length(text) >= length).select(F.unhex(F.md5(text.cast("binary"))).alias("tk"), text.alias("text"))
-    anchors = settle(_anchor_rows(source, length))
+    source = docs.where(F.octet_length(text) >= view.length).select(F.unhex(F.md5(text.cast("binary"))).alias("tk"), text.alias("text"))
+    anchors = settle(_anchor_rows(source, view))
     # counts are written out before they are joined: a frequent gram's rows then need not meet in one task
-    twice = settle(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    several = F.min("tk") < F.max("tk") if view.across else F.count("*") > 1
+    twice = settle(anchors.groupBy("gram").agg(several.alias("again")).where("again").select("gram"))
     again = settle(anchors.join(twice, "gram"))
-    # a run of one text and its copies count alike: what counts is where the bytes stand
-    classes = settle(
-        again.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("tk", "a", "far", "near")).alias("run"))
-    )
-    whole = again.join(classes.where("n > 1").select("gram", "span"), ["gram", "span"])
-    whole = whole.select("tk", (F.col("a") - F.col("far")).alias("first"), (F.col("a") - F.col("near")).alias("last"))
-    mixed = classes.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    listed = classes.join(mixed, "gram").select("run.tk", F.struct("run.a", "run.far", "run.near").alias("r"))
-    listed = listed.groupBy("tk").agg(F.collect_list("r").alias("runs"))
+    discard(anchors, twice)
+    # a run and its copies count alike: what counts is where the bytes stand
+    key = F.xxhash64("tk")
+    classes = settle(again.groupBy("gram", "span").agg(
+        F.least(F.lit(2), F.count("*")).cast("int").alias("w"), F.min(key).alias("kmin"), F.max(key).alias("kmax"),
+        F.min(F.struct("tk", "a", "far", "near")).alias("run")))
+    folded = None
+    asked = classes
+    if view.across:
+        folded = classes.where("kmin < kmax")
+        # a gram is gone into where it stands in a document that no fold has told of
+        known = again.join(folded.select("gram", "span"), ["gram", "span"], "left_semi").select("tk").distinct()
+        open_ = classes.where("kmin = kmax").join(known, F.col("run.tk") == F.col("tk"), "left_anti").select("gram").distinct()
+        mixed = classes.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+        asked = classes.join(settle(open_.join(mixed, "gram")), "gram", "left_semi")
+    run = F.struct("run.a", "run.far", "run.near", "gram", "span", "w", "kmin", "kmax").alias("r")
+    listed = asked.select("run.tk", run).groupBy("tk").agg(F.collect_list("r").alias("runs"))
     own = source.join(listed.select("tk"), "tk", "left_semi").groupBy("tk").agg(F.first("text").alias("text"))
-    pieces = settle(_pieces(own.join(listed, "tk").select("tk", "text", "runs"), length))
-    found = whole.union(_edge_repeats(pieces)).distinct()
-    return found.groupBy("tk").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    pieces = settle(_pieces(own.join(listed, "tk").select("text", "runs"), view))
+    hits = _decided(pieces, view)
+    discard(pieces)
+    if folded is not None:
+        hits = hits.union(folded.select("gram", "span", -F.col("run.far"), -F.col("run.near")))
+    return again, hits
+
+
+def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """(tk, ranges): by the MD5 of each text that has any, the first and last
+    starts of repeated windows; array of struct(first, last)."""
+    again, hits = decided_runs(docs, text_col, byte_view(length))
+    # a run has at most as many ranges as starts
+    ranges = hits.groupBy("gram", "span").agg(F.collect_set(F.struct("first", "last")).alias("own"))
+    at = again.select("tk", "a", "gram", "span").join(ranges, ["gram", "span"])
+    at = at.select("tk", F.transform("own", lambda r: F.struct((r["first"] + F.col("a")).alias("first"), (r["last"] + F.col("a")).alias("last"))).alias("own"))
+    return at.groupBy("tk").agg(F.flatten(F.collect_set("own")).alias("ranges"))
+
+
+def sharing_texts(docs: DataFrame, text_col: str = "text", words: int = PASSAGE_WORDS) -> DataFrame:
+    """(tk): the MD5 of each text of which ``words`` words in a row stand in a
+    different text, too."""
+    again, hits = decided_runs(docs, text_col, word_view(words))
+    return again.join(hits.select("gram", "span"), ["gram", "span"], "left_semi").select("tk").distinct()
 
 
 def _merge(ranges: list[dict], length: int) -> list[list[int]]:
@@ -346,31 +462,45 @@ def _merge(ranges: list[dict], length: int) -> list[list[int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, length: int = LENGTH, out: str = "repeats") -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, length: int = LENGTH, out: str = "repeats",
+                   passage_words: int | None = PASSAGE_WORDS) -> DataFrame:
     """The columns ``keep`` (all, if None) and ``out``: struct of n_bytes,
-    n_removed, spans (maximal removed runs, in bytes, ends exclusive) and kept
-    (the remaining bytes, which may part a character)."""
+    n_removed, spans (maximal removed runs, in bytes, ends exclusive), kept
+    (the remaining bytes, which may part a character) and shares (does another
+    row hold ``passage_words`` words in a row of this text; null if None)."""
     keep = kept(docs, keep, out)
-    tk, text, ranges = (fresh([*keep, out], x) for x in ("tk", "text_", "ranges"))
-    found = settle(repeated_ranges(docs, text_col, length))
+    tk, text, ranges, shares, copied = (fresh([*keep, out], x) for x in ("tk", "text_", "ranges", "shares", "copied"))
     t = F.col(text_col).cast("string")
-    rows = docs.select(*keep, t.alias(text), F.unhex(F.md5(t.cast("binary"))).alias(tk))
-    rows = rows.join(found.select(F.col("tk").alias(tk), F.col("ranges").alias(ranges)), tk, "left").select(*keep, text, ranges)
+    key = F.unhex(F.md5(t.cast("binary")))
+    kind = "array<struct<first:long,last:long>>"
+    found = repeated_ranges(docs, text_col, length).select("tk", F.col("ranges").cast(kind).alias("ranges"), F.lit(False).alias("shares"), F.lit(False).alias("copied"))
+    if passage_words is not None:
+        copies = docs.select(key.alias("tk")).groupBy("tk").agg(F.count("*").alias("n")).where("n > 1")
+        found = found.union(sharing_texts(docs, text_col, passage_words).select("tk", F.lit(None).cast(kind), F.lit(True), F.lit(False)))
+        found = found.union(copies.select("tk", F.lit(None).cast(kind), F.lit(False), F.lit(True)))
+    # one row of each kind at most
+    found = settle(found.groupBy("tk").agg(F.first("ranges", ignorenulls=True).alias(ranges), F.max("shares").alias(shares), F.max("copied").alias(copied)))
+    rows = docs.select(*keep, t.alias(text), key.alias(tk))
+    rows = rows.join(found.withColumnRenamed("tk", tk), tk, "left").select(*keep, text, ranges, shares, copied)
     n = len(keep)
-    kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
+    kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary()), ("shares", pa.bool_())])
 
     def run(batches):
         for b in batches:
             made = []
-            for data, listed in zip(texts(b.column(n)), b.column(n + 1).to_pylist(), strict=True):
+            for data, listed, shared, copy in zip(texts(b.column(n)), *(b.column(n + k).to_pylist() for k in (1, 2, 3)), strict=True):
                 spans = _merge(listed or [], length)
-                kept = b"".join(data[s:e] for s, e in zip([0, *(x[1] for x in spans)], [*(x[0] for x in spans), len(data)], strict=True))
-                made.append({"n_bytes": len(data), "n_removed": len(data) - len(kept), "spans": spans, "kept": kept})
+                rest = b"".join(data[s:e] for s, e in zip([0, *(x[1] for x in spans)], [*(x[0] for x in spans), len(data)], strict=True))
+                if passage_words is None:
+                    shared = None
+                else:
+                    shared = bool(shared) or (bool(copy) and len(data.split()) >= passage_words)
+                made.append({"n_bytes": len(data), "n_removed": len(data) - len(rest), "spans": spans, "kept": rest, "shares": shared})
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(made, kind)], names=[*keep, out])
 
     field = T.StructField(out, T.StructType([
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType()),
+        T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType()), T.StructField("shares", T.BooleanType()),
     ]))
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:n], field]))
 
@@ -379,7 +509,7 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return done.select(
         "doc_id", "repeats.n_bytes", "repeats.n_removed", F.size("repeats.spans").cast("long").alias("n_spans"),
-        F.sha2(F.col("repeats.kept"), 256).alias("kept_sha256"),
+        F.sha2(F.col("repeats.kept"), 256).alias("kept_sha256"), F.col("repeats.shares").alias("shares_passage"),
     )
 
 
@@ -396,7 +526,11 @@ gaps AS (
   UNION ALL SELECT doc_id, 1, min(lo) FROM spans GROUP BY doc_id),
 kept AS (SELECT doc_id, string_agg(hex(b[lo:coalesce(hi, octet_length(b) + 1) - 1]), '' ORDER BY lo) AS x
   FROM gaps JOIN d USING (doc_id) WHERE lo < coalesce(hi, octet_length(b) + 1) GROUP BY doc_id),
-n AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed FROM spans GROUP BY doc_id)
+n AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed FROM spans GROUP BY doc_id),
+v AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, sha256(array_to_string(words[i:i + {PASSAGE_WORDS - 1}], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - {PASSAGE_WORDS - 2})) AS i FROM v)),
+shared AS (SELECT DISTINCT doc_id FROM p SEMI JOIN (SELECT h FROM p GROUP BY h HAVING count(DISTINCT doc_id) > 1) USING (h))
 SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(coalesce(x, '')) END) AS kept_sha256
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(coalesce(x, '')) END) AS kept_sha256,
+  shared.doc_id IS NOT NULL AS shares_passage
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN shared USING (doc_id)"""

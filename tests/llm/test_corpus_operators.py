@@ -63,6 +63,53 @@ def test_repeats(spark, monkeypatch, seed, group, letters):
     assert got == want
 
 
+def brute_shares(texts, n):
+    places = defaultdict(set)
+    for k, t in enumerate(texts):
+        w = t.lower().split()
+        for p in range(len(w) - n + 1):
+            places[b" ".join(w[p : p + n])].add(k)
+    return [any(len(places[b" ".join(w[p : p + n])]) > 1 for p in range(len(w) - n + 1)) for w in (t.lower().split() for t in texts)]
+
+
+@pytest.mark.parametrize("seed, group", [(0, 256), (1, 3), (2, 256), (3, 2)])
+def test_shared_passages(spark, monkeypatch, seed, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    random.seed(seed)
+    words = [f"w{k}" for k in range(50 if seed % 2 else 3)]
+    say = lambda n: [random.choice(words) for _ in range(n)]
+    passages = [say(n) for n in (49, 50, 51, 52, 60, 120, 300)]
+    texts = []
+    for _ in range(80):
+        w = say(random.choice((0, 20, 80)))
+        for _ in range(random.choice((0, 1, 2))):
+            w += random.choice(passages) * random.choice((1, 1, 2)) + say(random.choice((0, 30)))
+        texts.append(random.choice((" ", "\n\t")).join(x.upper() if random.random() < 0.3 else x for x in w))
+    texts += [texts[0], "é".join(["x"] * 60), "b " * 60, "b " * 50, " ".join(say(40)) * 2]
+    rows = [*ODD, *((100 + k, t) for k, t in enumerate(texts))]
+    want = brute_shares([(t or "").encode() for _, t in rows], 51)
+    got = defaultdict(list)
+    for r in repeats.remove_repeats(docs(spark, rows)).collect():
+        got[r["doc_id"]].append(r["repeats"]["shares"])
+    assert got == {i: [x for (j, _), x in zip(rows, want, strict=True) if j == i] for i, _ in rows}
+    assert 0 < sum(want) < len(want)
+
+
+def test_suffixes_decide_what_is_repeated(spark, monkeypatch):
+    text = " ".join(f"word{k}" for k in range(200))
+    df = docs(spark, [(1, text), (2, "x" + text[40:900]), (3, text)])
+    removed = lambda: {r["doc_id"]: r["repeats"]["n_removed"] for r in repeats.remove_repeats(df, passage_words=None).collect()}
+    assert min(removed().values()) > 0
+    # with every suffix in an interval of its own and no weights, nothing is
+    rng = np.random.default_rng(0)
+    group, e = np.array([0, 0, 1]), 63
+    sides = [bytes(rng.integers(0, 255, 63, dtype=np.uint8)) for _ in range(2)]
+    starts = lambda: repeats.repeated_starts(group, [sides[0]] * 3, [sides[1]] * 3, np.zeros(3), np.full(3, e), np.ones(3), np.zeros(3), np.zeros(3), e)
+    assert starts()[:2].all() and not starts()[2].any()
+    monkeypatch.setattr(repeats, "_intervals", lambda g, left, right: np.arange(left.size).reshape(left.shape))
+    assert not starts().any()
+
+
 def test_repeats_over_segments(monkeypatch, spark):
     monkeypatch.setattr(repeats, "_SEGMENT", 1000)
     random.seed(9)
