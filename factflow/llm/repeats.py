@@ -13,12 +13,12 @@ what suffixes have to decide:
    what is decided for a class holds for its members.
 3. The starts of a class are taken in pieces of ``PIECE`` bytes: the windows of a
    piece have a common core and reach up to 63 bytes to either side of it. Pieces
-   of equal cores meet. Of all pieces of a slab one text is made, in symbols of
-   eight bytes: left side, core, right side. Its suffix array, built by linear
+   of equal cores meet. Of all of a slab that met any one text is made, in symbols
+   of ``BLOCK`` bytes: left side, core, right side. Its suffix array, built by linear
    grouping of Lyndon prefixes (see ``suffixes``), puts suffixes with a common
    beginning side by side; where neighbours share all the symbols that a window
-   holds whole, they form an interval, and within it the seven bytes that are left
-   over at the window's two ends tell which windows are equal. A window that is
+   holds whole, they form an interval, and within it the 15 bytes that are left over
+   at the window's two ends tell which windows are equal. A window that is
    equal to another's, or whose class has several members, is repeated.
 4. A core with more than ``GROUP`` pieces is not gathered: pieces that are alike
    are folded, the rest is halved and meets again by the longer cores, in the same
@@ -61,6 +61,8 @@ LENGTH = 400
 PASSAGE_WORDS = 51
 #: Bytes of the starts of one piece, a power of two.
 PIECE = 64
+#: Bytes of one symbol of the suffix array.
+BLOCK = 16
 #: Pieces of one core that a task compares by suffixes; more are halved.
 GROUP = 256
 #: Pieces of whole groups whose suffixes are sorted at once.
@@ -250,9 +252,13 @@ def _intervals(group: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.nda
     """For each piece and each number m of whole left blocks (0 up to their
     count less one), the interval of the suffix array in which the suffix of m
     left blocks, the core and the right side stands: neighbours belong together
-    that share as many symbols as there are blocks on a side."""
-    n, blocks = left.shape
-    both, rank = np.unique(np.concatenate([left, right]), return_inverse=True)
+    that share as many symbols as there are blocks on a side. Blocks are pairs of
+    numbers: left and right have the shape (pieces, blocks, 2)."""
+    n, blocks, _ = left.shape
+    both = np.concatenate([left, right]).reshape(-1, 2)
+    by = np.lexsort((both[:, 1], both[:, 0]))
+    rank = np.empty(len(both), np.int64)
+    rank[by] = np.concatenate([[0], np.cumsum(np.any(both[by][1:] != both[by][:-1], axis=1))])
     rank = rank.reshape(2, n, blocks)
     text = np.concatenate([rank[0], (len(both) + group)[:, None], rank[1]], axis=1).reshape(-1)
     order = np.array(suffix_array(text.tolist()), np.int64)
@@ -266,45 +272,41 @@ def _intervals(group: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.nda
     return interval.reshape(n, 2 * blocks + 1)[:, blocks:0:-1]
 
 
+def _pairs(data: np.ndarray) -> np.ndarray:
+    """Rows of up to 16 bytes as two numbers each."""
+    full = np.zeros((*data.shape[:-1], 16), np.uint8)
+    full[..., : data.shape[-1]] = data
+    return full.view(">u8").astype(np.uint64)
+
+
 def repeated_starts(group: np.ndarray, left: list[bytes], right: list[bytes], lo: np.ndarray, hi: np.ndarray, w: np.ndarray,
                     kmin: np.ndarray, kmax: np.ndarray, e: int, unit: int = 1, across: bool = False) -> np.ndarray:
     """Which of the e + 1 window starts of each piece is repeated in its group.
     At start j a window has the last e - j symbols of the left side and the
     first j of the right side."""
-    n = len(left)
-    per = min(8 // unit, e + 1)  # symbols of a block
-    blocks = (e + 1) // per
-    bits = 8 * unit
-
-    def in_blocks(sides: list[bytes], fill) -> np.ndarray:
-        # sides that the text's ends cut short are filled; no valid window reads the filling
-        data = np.frombuffer(b"".join(fill(x) for x in sides), np.uint8).reshape(n, blocks, per * unit)
-        out = np.zeros((n, blocks), np.uint64)
-        for k in range(per * unit):
-            out = out << np.uint64(8) | data[:, :, k]
-        return out
-
-    wide = (e + 1) * unit
-    lefts, rights = in_blocks(left, lambda x: x.rjust(wide, b"\0")), in_blocks(right, lambda x: x.ljust(wide, b"\0"))
-    interval = _intervals(group, lefts, rights)
+    n, wide = len(left), (e + 1) * unit
+    width = min(BLOCK, wide)
+    per, blocks = width // unit, wide // width  # symbols of a block, blocks of a side
+    # sides that the text's ends cut short are filled; no valid window reads the filling
+    lefts = np.frombuffer(b"".join([x.rjust(wide, b"\0") for x in left]), np.uint8).reshape(n, blocks, width)
+    rights = np.frombuffer(b"".join([x.ljust(wide, b"\0") for x in right]), np.uint8).reshape(n, blocks, width)
+    interval = _intervals(group, _pairs(lefts), _pairs(rights))
     hit = np.zeros((n, e + 1), bool)
     for m in range(blocks):
         own = interval[:, m]
         # alone in its interval, a piece is repeated only by its weight
-        seen, back, many = np.unique(own, return_inverse=True, return_counts=True)
+        _, back, many = np.unique(own, return_inverse=True, return_counts=True)
         may = (many[back] > 1) | (w > 1)
-        further, head = lefts[:, blocks - 1 - m], rights[:, blocks - 1 - m]
         for t in range(per):
             j = e - per * m - t
             at = np.flatnonzero(may & (lo <= j) & (hi >= j))
             if not len(at):
                 continue
-            rest = (further[at] & np.uint64((1 << bits * t) - 1)) << np.uint64(bits * (per - 1 - t))
-            if t < per - 1:
-                rest |= head[at] >> np.uint64(bits * (t + 1))
-            s = at[by := np.lexsort((rest, own[at]))]
-            rest = rest[by]
-            first = np.flatnonzero(np.concatenate([[True], (own[s][1:] != own[s][:-1]) | (rest[1:] != rest[:-1])]))
+            # what the window's ends hold beside whole blocks
+            rest = _pairs(np.concatenate([lefts[at, blocks - 1 - m, width - t * unit :], rights[at, blocks - 1 - m, : (per - 1 - t) * unit]], axis=1))
+            by = np.lexsort((rest[:, 1], rest[:, 0], own[at]))
+            s, rest = at[by], rest[by]
+            first = np.flatnonzero(np.concatenate([[True], (own[s][1:] != own[s][:-1]) | np.any(rest[1:] != rest[:-1], axis=1)]))
             if across:
                 again = np.minimum.reduceat(kmin[s], first) < np.maximum.reduceat(kmax[s], first)
             else:
@@ -320,13 +322,20 @@ def _compare(batches, e: int, view: View):
     def out(rows):
         core, left, right, lo, hi, gram, span, base, w, kmin, kmax = rows
         group = np.cumsum(np.array([False] + [x != y for x, y in zip(core, core[1:], strict=False)]))
+        lo, hi, w = np.array(lo), np.array(hi), np.array(w)
         # a piece that is alone in its group is repeated only by its weight; its suffixes need not be sorted
-        size, weight = np.bincount(group), np.array(w)
-        keep = np.flatnonzero((size[group] > 1) | (weight > 1))
+        crowd = np.bincount(group)[group] > 1
+        keep = np.flatnonzero(crowd | (w > 1)) if not view.across else np.flatnonzero(crowd)
         if not len(keep):
             return None
-        take = lambda c: [c[k] for k in keep]
-        hit = repeated_starts(group[keep], take(left), take(right), np.array(lo)[keep], np.array(hi)[keep], weight[keep], np.array(kmin)[keep], np.array(kmax)[keep], e, view.unit, view.across)
+        together = crowd[keep]
+        own = keep[together]
+        hit = np.zeros((len(keep), e + 1), bool)
+        start = np.arange(e + 1)
+        hit[~together] = (start >= lo[keep][~together, None]) & (start <= hi[keep][~together, None])
+        if len(own):
+            take = lambda c: [c[k] for k in own]
+            hit[together] = repeated_starts(group[own], take(left), take(right), lo[own], hi[own], w[own], np.array(kmin)[own], np.array(kmax)[own], e, view.unit, view.across)
         edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         k, first = np.nonzero(edge == 1)
         _, after = np.nonzero(edge == -1)
@@ -419,7 +428,7 @@ def decided_runs(docs: DataFrame, text_col: str, view: View) -> tuple[DataFrame,
     if view.across:
         folded = classes.where("kmin < kmax")
         # a gram is gone into where it stands in a document that no fold has told of
-        known = again.join(folded.select("gram", "span"), ["gram", "span"], "left_semi").select("tk").distinct()
+        known = settle(again.join(folded.select("gram", "span"), ["gram", "span"], "left_semi").select("tk").distinct())
         open_ = classes.where("kmin = kmax").join(known, F.col("run.tk") == F.col("tk"), "left_anti").select("gram").distinct()
         mixed = classes.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
         asked = classes.join(settle(open_.join(mixed, "gram")), "gram", "left_semi")
@@ -438,8 +447,8 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     """(tk, ranges): by the MD5 of each text that has any, the first and last
     starts of repeated windows; array of struct(first, last)."""
     again, hits = decided_runs(docs, text_col, byte_view(length))
-    # a run has at most as many ranges as starts
-    ranges = hits.groupBy("gram", "span").agg(F.collect_set(F.struct("first", "last")).alias("own"))
+    # a run has at most as many ranges as starts; written out, so that a large class's members need not meet in one task
+    ranges = settle(hits.groupBy("gram", "span").agg(F.collect_set(F.struct("first", "last")).alias("own")))
     at = again.select("tk", "a", "gram", "span").join(ranges, ["gram", "span"])
     at = at.select("tk", F.transform("own", lambda r: F.struct((r["first"] + F.col("a")).alias("first"), (r["last"] + F.col("a")).alias("last"))).alias("own"))
     return at.groupBy("tk").agg(F.flatten(F.collect_set("own")).alias("ranges"))
@@ -449,7 +458,7 @@ def sharing_texts(docs: DataFrame, text_col: str = "text", words: int = PASSAGE_
     """(tk): the MD5 of each text of which ``words`` words in a row stand in a
     different text, too."""
     again, hits = decided_runs(docs, text_col, word_view(words))
-    return again.join(hits.select("gram", "span"), ["gram", "span"], "left_semi").select("tk").distinct()
+    return again.join(settle(hits.select("gram", "span").distinct()), ["gram", "span"], "left_semi").select("tk").distinct()
 
 
 def _merge(ranges: list[dict], length: int) -> list[list[int]]:

@@ -106,7 +106,7 @@ def test_suffixes_decide_what_is_repeated(spark, monkeypatch):
     sides = [bytes(rng.integers(0, 255, 63, dtype=np.uint8)) for _ in range(2)]
     starts = lambda: repeats.repeated_starts(group, [sides[0]] * 3, [sides[1]] * 3, np.zeros(3), np.full(3, e), np.ones(3), np.zeros(3), np.zeros(3), e)
     assert starts()[:2].all() and not starts()[2].any()
-    monkeypatch.setattr(repeats, "_intervals", lambda g, left, right: np.arange(left.size).reshape(left.shape))
+    monkeypatch.setattr(repeats, "_intervals", lambda g, left, right: np.arange(left[:, :, 0].size).reshape(left.shape[:2]))
     assert not starts().any()
 
 
