@@ -246,7 +246,37 @@ def test_hadamard():
     assert np.allclose(ann.hadamard(x), x @ h / 4)
 
 
-@pytest.mark.parametrize("chunk, hashes, probes", [(512, 1, 16), (7, 1, 16), (512, 2, 400)])
+def test_hashes_follow_the_number_of_vectors():
+    assert [ann.hash_count(n, 64) for n in (0, 1000, 1 << 23, (1 << 23) + 1, 10**9, 10**12)] == [1, 1, 1, 2, 2, 3]
+
+
+def test_recall_on_the_embeddings(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    df = spark.read.parquet(path).where("embedding IS NOT NULL")
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
+    x = {i: v for i, v in x.items() if np.isfinite(v).all() and v.any()}
+    ids = np.array(sorted(x))
+    data = np.stack([x[i] for i in ids])
+    got = defaultdict(list)
+    for r in ann.nearest_neighbours(df.select("vec_id", "embedding"), F.col("id") % 20 == 0).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    found = 0
+    for i in (i for i in ids.tolist() if i % 20 == 0):
+        d = ((data - x[i]) ** 2).sum(axis=1)
+        d[ids == i] = np.inf
+        found += len(set(ids[np.argsort(d, kind="stable")[:10]].tolist()) & set(got[i]))
+    recall = found / (10 * len(got))
+    print(f"recall {recall:.3f}")
+    assert len(got) == sum(i % 20 == 0 for i in ids.tolist()) and recall >= 0.9
+
+
+@pytest.mark.parametrize("chunk, hashes, probes", [(512, None, None), (512, 1, 40), (7, 1, 40), (512, 2, 700)])
 def test_neighbours(spark, chunk, hashes, probes):
     from pyspark.sql import functions as F
 
