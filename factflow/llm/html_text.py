@@ -2,8 +2,9 @@
 
 A page is read into its element tree, without what is never text of an article
 (scripts, styles, forms, menus, headers, footers, side bars, notices, adverts and
-reader comments, told by their tags and by words in class, id and role). For
-every node the link-adjusted density is computed from characters, tags,
+reader comments, told by their tags and by names in class, id and role, which must be such a word
+in full; inside an article only elements that hold others are, and words of wider
+use count only where half of the text is links). For every node the link-adjusted density is computed from characters, tags,
 characters in links and link tags below it. The node whose children's densities
 sum to the most is the core; the lowest density on its path to the body is the
 threshold, and subtrees beside that path with at least that density belong to
@@ -14,9 +15,12 @@ blocks are trimmed and joined in page order by a line end.
 
 Defined cases: null or empty html, or a page without text, gives an empty
 string; unclosed and stray tags are closed or ignored as browsers do in the
-simple cases; a head ends where the first thing stands that it cannot hold; a
-page without a body element is read as one; repeated rows are
-read alike; an empty table gives an empty result.
+simple cases; only a script or style without an end takes the rest of the page
+with it; a head ends where the first thing stands that it cannot hold; a page
+without a body element is read as one; of nodes with equal sums the last is the
+core; very long pages are read whole; a column that is called like the one made is
+replaced, all others pass unchanged; repeated rows are read alike; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +40,6 @@ from factflow.llm.common import fresh, kept, table
 _TAG = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>"
     r"|(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<attributes2>[^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.DOTALL)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
 _MAY_HIDE = re.compile(r"hidden|display", re.I)
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
@@ -57,23 +60,35 @@ _CLOSES = {
 }
 #: Words of class, id or role that mark what does not belong to an article.
 _MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer comment comments commentlist disqus respond "
-    "reply replies share sharing social related recommended newsletter subscribe signup login search pagination pager toolbar widget skip".split())
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr popup modal overlay nav navbar navigation "
+    "breadcrumb breadcrumbs sidebar footer comment comments commentlist disqus respond replies social newsletter subscribe signup pagination pager "
+    "toolbar".split())
+#: The same, but an article may use them of its own text.
+_WIDER = frozenset("alert aside banner login menu notice notices promoted promotion recommended related reply search share sharing skip widget".split())
+_COMMENTS = frozenset("comment comments commentlist disqus replies reply".split())
 _MASTHEAD = frozenset("header masthead topbar banner".split())
+#: Words that may stand beside them in a name.
+_LAYOUT = frozenset(
+    "area bar block body box button buttons col column container content div form group holder inner item items left list main module outer panel "
+    "primary right row secondary section site slot top bottom unit wrap wrapper page footer header".split())
+#: Elements that may be told by such names inside an article: they hold other blocks, not text itself.
+_HOLDERS = frozenset("div section ul ol dl table article main details fieldset span header center figure".split())
 _WHOLE = ("article", "main")
 
 
-def _name_words(attributes: str) -> set[str]:
-    """Words of class, id and role; a layout "with-sidebar" is no sidebar."""
-    words = set()
-    for m in _NAMES.finditer(attributes):
-        last = ""
-        for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()):
-            if last not in ("with", "without", "has", "no"):
-                words.add(w)
-            last = w
-    return words
+def _marks(attributes: str) -> set[str]:
+    """The marking words of those names in class, id and role that hold nothing
+    else but words of layout: "cookie-notice", but not "notice-of-meeting"."""
+    found: set[str] = set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() not in ("class", "id", "role"):
+            continue
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            words = set(_WORDS.findall(name))
+            marks = words & (_MARKS | _WIDER | _MASTHEAD)
+            if marks and all(w in marks or w in _LAYOUT or w.isdigit() for w in words):
+                found |= marks
+    return found
 
 
 def _hides(attributes: str) -> bool:
@@ -92,6 +107,7 @@ class _Page:
 
     def __init__(self, page: str):
         self.tag, self.parent = ["body"], [-1]
+        self.doubtful: list[int] = []
         self.blocks: list[list] = []  # [node, pieces, characters, characters in links]
         self._stack: list[tuple[str, int]] = [("body", 0)]  # dropped elements have node -1
         self._open: Counter = Counter()  # how many elements of each name the stack has
@@ -116,7 +132,7 @@ class _Page:
             attributes = m["attributes"] if m["name"] else m["attributes2"]
             if name in _RAW and not attributes.endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else len(page)
+                at = close.end() if close else len(page) if name in ("script", "style") else at
                 continue
             self._start(name, attributes)
 
@@ -141,7 +157,10 @@ class _Page:
         dropped = above < 0 or self._drops(name, attributes)
         # a formula's elements are no tags of the text around it
         formula = name == "math" or self._open["math"]
+        doubtful = not dropped and not formula and self._doubtful(name, attributes)
         self._stack.append((name, -1 if dropped else above if formula else self._add(name, above)))
+        if doubtful:
+            self.doubtful.append(self._stack[-1][1])
         self._open[name] += 1
 
     def _cut(self, k: int) -> None:
@@ -164,8 +183,16 @@ class _Page:
             return False
         if _hides(attributes):
             return True
-        words = set() if name in _WHOLE and not inside else _name_words(attributes)
-        return bool(words & _MARKS) or (not inside and bool(words & _MASTHEAD))
+        marks = _marks(attributes)
+        if name in _WHOLE and not inside:
+            return bool(marks & _COMMENTS)
+        if inside and name not in _HOLDERS:
+            return False
+        return bool(marks & _MARKS) or (not inside and bool(marks))
+
+    def _doubtful(self, name: str, attributes: str) -> bool:
+        """Inside an article, is it told by words of wider use only?"""
+        return name in _HOLDERS and bool(attributes) and bool(_marks(attributes) & _WIDER) and any(self._open[n] for n in _WHOLE)
 
     def _close(self, which, upto) -> None:
         if not any(self._open[n] for n in which):
@@ -209,19 +236,35 @@ class _Page:
         if n:
             self._block[1].append((node, n, self._open["a"] > 0))
 
-    def main_text(self) -> str:
+    def _counts(self, gone: list[bool]) -> tuple[list[int], list[int], list[int], list[int]]:
+        """Characters, tags, characters in links and link tags below every node."""
         n = len(self.tag)
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         for _, pieces in self.blocks:
             for node, k, linked in pieces:
-                chars[node] += k
-                link_chars[node] += k if linked else 0
+                if not gone[node]:
+                    chars[node] += k
+                    link_chars[node] += k if linked else 0
         for i in range(n - 1, 0, -1):
+            if gone[i]:
+                continue
             p = self.parent[i]
             chars[p] += chars[i]
             link_chars[p] += link_chars[i]
             tags[p] += tags[i] + 1
             link_tags[p] += link_tags[i] + (self.tag[i] == "a")
+        return chars, tags, link_chars, link_tags
+
+    def main_text(self) -> str:
+        n = len(self.tag)
+        gone = [False] * n
+        chars, tags, link_chars, link_tags = self._counts(gone)
+        if self.doubtful:
+            for i in self.doubtful:
+                gone[i] = 2 * link_chars[i] >= chars[i]
+            for i in range(1, n):
+                gone[i] = gone[i] or gone[self.parent[i]]
+            chars, tags, link_chars, link_tags = self._counts(gone)
         if not chars[0]:
             return ""
         share = link_chars[0] / chars[0]
@@ -237,7 +280,8 @@ class _Page:
         d = [density(i) for i in range(n)]
         sums = [0.0] * n
         for i in range(1, n):
-            sums[self.parent[i]] += d[i]
+            if not gone[i]:
+                sums[self.parent[i]] += d[i]
         core = max(range(n), key=lambda i: (sums[i], i))
         if not sums[core]:
             core = 0
@@ -254,7 +298,7 @@ class _Page:
         for i in range(1, n):
             p = self.parent[i]
             beside = p in on_path and p != path[0] and i not in on_path
-            taken[i] = taken[i] or taken[p] or (beside and d[i] >= threshold and 2 * link_chars[i] <= chars[i])
+            taken[i] = not gone[i] and (taken[i] or taken[p] or (beside and d[i] >= threshold and 2 * link_chars[i] <= chars[i]))
         out = []
         for texts, pieces in self.blocks:
             if any(taken[node] for node, _, _ in pieces):

@@ -298,6 +298,97 @@ def test_formulas_are_text():
     assert html_text.main_text(f"<div><p>{STORY} <math><mi>y</mi><p>{STORY}</p></div>") == f"{STORY} y\n{STORY}"
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<article><p data-hidden="x">%s</p></article>', STORY), ('<article><p id="notice-of-meeting">%s</p></article>', STORY), ('<article><p class="related work">%s</p></article>', STORY),
+    ('<div><p id="notice-of-meeting">%s</p></div>', STORY), ('<div class="search-of-lost-time"><p>%s</p></div>', STORY), ("<div><select><option>a<p>%s</p></div>", f"a\n{STORY}"),
+    ("<div><svg><path d=x><p>%s</p></div>", STORY), ('<article class="comment">Nice!</article><article><p>%s</p></article>', STORY), ('<div><article class="comment-box">Nice!</article><p>%s</p></div>', STORY),
+    ('<article><p>%s</p><div class="related"><a href=x>Another long story, told in links</a></div></article>', STORY), ('<article><p>%s</p><div class="comments"><p>Nice!</p></div></article>', STORY),
+    ('<div class="cookie-notice">We use cookies.</div><div class="notice">Closed.</div><p>%s</p>', STORY), ('<article><div class="related"><p>%s</p></div></article>', STORY)])
+def test_marks_must_be_whole_names(page, text):
+    assert html_text.main_text(page % STORY) == text
+
+
+class _Tree:
+    """An element tree by Python's own reader, for pages whose tags are all closed."""
+
+    def __init__(self, page):
+        from html.parser import HTMLParser
+
+        tree = self
+        self.root = ["body", [], None]
+        at = [self.root]
+
+        class Reader(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                node = [tag, [], at[-1]]
+                at[-1][1].append(node)
+                at.append(node)
+
+            def handle_endtag(self, tag):
+                at.pop()
+
+            def handle_data(self, data):
+                at[-1][1].append(data)
+
+        Reader().feed(page)
+        assert at == [tree.root]
+
+    def walk(self, node=None):
+        node = node or self.root
+        yield node
+        for x in node[1]:
+            if not isinstance(x, str):
+                yield from self.walk(x)
+
+    def text(self, node):
+        return "".join(x if isinstance(x, str) else self.text(x) for x in node[1])
+
+    def links(self, node):
+        return self.text(node) if node[0] == "a" else "".join("" if isinstance(x, str) else self.links(x) for x in node[1])
+
+    def density(self, node):
+        import math
+
+        size = lambda t: len("".join(t.split()))
+        below = [x for x in self.walk(node) if x is not node]
+        c, lc, whole = size(self.text(node)), size(self.links(node)), self.root
+        if not c:
+            return 0.0
+        t, lt = max(1, len(below)), max(1, sum(x[0] == "a" for x in below))
+        base = math.log(c / max(1, c - lc) * lc + size(self.links(whole)) / size(self.text(whole)) * c + math.e)
+        return c / t * math.log(max(1.0, c / max(1, lc) * t / lt) + 1e-9) / math.log(max(base, 1 + 1e-9))
+
+    def main_lines(self):
+        nodes = list(self.walk())
+        total = lambda n: sum(self.density(x) for x in n[1] if not isinstance(x, str))
+        core = max(enumerate(nodes), key=lambda x: (total(x[1]), x[0]))[1]
+        path = [core]
+        while path[-1] is not self.root:
+            path.append(path[-1][2])
+        least = min(map(self.density, path))
+        beside = [x for n in path[1:] for x in n[1] if not isinstance(x, str) and not any(x is y for y in path)]
+        taken = [core, *(x for x in beside if self.density(x) >= least and 2 * len("".join(self.links(x).split())) <= len("".join(self.text(x).split())))]
+        inside = [p for n in taken for p in self.walk(n) if p[0] == "p"]
+        return [" ".join(self.text(p).split()) for p in nodes if p[0] == "p" and any(p is x for x in inside)]
+
+
+def test_density_against_another_tree():
+    rng = random.Random(8)
+    whole = 0
+    for _ in range(150):
+        def block(depth):
+            if depth == 0 or rng.random() < 0.4:
+                say = " ".join(rng.choice(("alpha", "be", "gamma", "delta")) for _ in range(rng.choice((1, 3, 30))))
+                return f'<p><a href="x">{say}</a></p>' if rng.random() < 0.4 else f"<p>{say} <a href='y'>go on</a></p>" if rng.random() < 0.3 else f"<p>{say}</p>"
+            return f"<div>{''.join(block(depth - 1) for _ in range(rng.randint(1, 4)))}</div>"
+
+        page = "".join(block(3) for _ in range(rng.randint(1, 4)))
+        want = _Tree(page).main_lines()
+        assert html_text.main_text(page).split("\n") == want, page
+        whole += len(want) == page.count("<p>")
+    assert whole < 120
+
+
 # -- language ID and toxicity --------------------------------------------------
 WORDS = {"en": "the and with house under green walking about things".split(), "de": "der und mit haus unter grün gehen über dinge".split(), "fr": "le et avec maison sous vert marcher choses être".split()}
 
