@@ -50,8 +50,13 @@ def test_candidates_come_from_rare_tokens(spark):
     assert url_filters.token_counts(df, "url", rules) == {"com": 2, "en": 1}
     assert rules[1].tokens == ()  # no closed token: always looked at
     assert [r["verdict"] for r in url_filters.judge_urls(df, rules=rules).collect()] == ["block", "allow"]
-    with pytest.raises(ValueError):
-        url_filters.judge_urls(df, rules=rules * 20_000)
+
+
+def test_a_long_list_is_gone_through_in_parts(spark):
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(URLS)], "page_id long, url string")
+    rules = [url_filters.pattern_rule("block", f"^word{k}^") for k in range(30)] + url_filters.default_rules()
+    judged = lambda **more: sorted(map(repr, url_filters.judge_urls(df, **more).collect()))
+    assert judged(rules=rules, plan_rules=7) == judged(rules=rules, plan_rules=len(rules)) == judged()
 
 
 # -- personal data -------------------------------------------------------------
