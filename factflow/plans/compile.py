@@ -3,7 +3,10 @@
 Non-recursive rules are compiled once and shared. Mutually recursive rules are
 evaluated together, semi-naively: each round joins only what the last round
 found new against everything known, and ends when nothing new is found. Rounds
-are written to the shared folder, so plans do not grow.
+are written to the shared folder; a round's rows are put together with those of
+the rounds before while these are not much more, and what was put together is
+deleted. So what is known is read from a number of folders that grows with the
+logarithm of its size, and every row is written as often at most.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ from factflow.plans.ast import (
 )
 from factflow.plans.graphql import to_pull
 from factflow.plans.rewrite import collapse_stars
-from factflow.storage import settle
+from factflow.storage import discard, settle
 
 MAX_ROUNDS = 10_000
 
@@ -69,6 +72,9 @@ class Compiler:
         self._held: dict[str, tuple[DataFrame, bool]] = {}
         self._focus: int | None = None
         self._seen = 0
+        self._tiers: dict[str, list[tuple[int, DataFrame]]] = {}  # (rows, frame) of what is known, the largest first
+        self._sizes: dict[str, int] = {}
+        self._read: dict[str, list[DataFrame]] = {}
 
     # -- rules -----------------------------------------------------------------
     def rule(self, name: str) -> Relation:
@@ -101,6 +107,7 @@ class Compiler:
         uses = {n: _count(plans[n], component) for n in component}
         self._known = dict.fromkeys(component)
         self._news = dict.fromkeys(component)
+        self._tiers = {n: [] for n in component}
         self._hold(component)
         for turn in range(MAX_ROUNDS):
             found: dict[str, Relation | None] = {}
@@ -114,8 +121,7 @@ class Compiler:
             for n in component:
                 self._news[n] = found[n]
                 if found[n] is not None:
-                    old = self._known[n]
-                    self._known[n] = found[n] if old is None else Relation(old.df.union(found[n].df), old.variables, False, True)
+                    self._known[n] = self._with(n, found[n])
             if not any(found.values()):
                 break
         else:
@@ -127,7 +133,30 @@ class Compiler:
         self._known, self._news, self._focus = {}, {}, None
         for df, _ in self._held.values():
             df.unpersist()  # the results are written out and need it no more
-        self._held = {}
+        for df in (df for frames in self._read.values() for df in frames):
+            discard(df)
+        self._held, self._tiers, self._read = {}, {}, {}
+
+    def _with(self, name: str, news: Relation) -> Relation:
+        """What is known of a rule after a round. The news itself stays as it is
+        until the next round has read it."""
+        tiers = self._tiers[name]
+        n, df = self._sizes[name], news.df
+        late = self._read.pop(name, [])  # earlier news that is known from another folder by now
+        while tiers and tiers[-1][0] <= 2 * n:
+            m, other = tiers.pop()
+            n, df = n + m, other.union(df)
+            late.append(other)
+        if df is not news.df:
+            df = settle(df)
+            self._read[name] = [news.df]
+        for other in late:
+            discard(other)
+        tiers.append((n, df))
+        known = tiers[0][1]
+        for _, more in tiers[1:]:
+            known = known.union(more)
+        return Relation(known, news.variables, False, True)
 
     def _hold(self, component: list[str]) -> None:
         """Facts that every round reads are made once, unless they are plain
@@ -152,7 +181,11 @@ class Compiler:
         if self._known[name] is not None:
             df = df.join(self._known[name].df, df.columns, "left_anti")
         df = settle(df)
-        return None if df.isEmpty() else Relation(df, parts[0].variables, False, True)
+        n = self._sizes[name] = df.count()
+        if not n:
+            discard(df)
+            return None
+        return Relation(df, parts[0].variables, False, True)
 
     # -- plans -----------------------------------------------------------------
     def _prepared(self, plan: Plan) -> Plan:

@@ -42,10 +42,11 @@ from factflow.streaming.domain import Domain
 from factflow.streaming.incremental import epoch_diffs
 
 CENTS = "CAST(round({} * 100) AS BIGINT)"
-#: A small cyclic graph: suppliers of large first lines to parts' numbers.
-EDGE_SQL = "SELECT DISTINCT l_suppkey AS e, l_partkey % 100 AS v FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1"
-#: All lines, uncut: suppliers to the parts they deliver; a number is one node, whether of a supplier or of a part.
-WHOLE_EDGE_SQL = "SELECT DISTINCT l_suppkey AS e, l_partkey AS v FROM lineitem"
+#: A cyclic graph of all lines: suppliers to the parts they deliver; a number is one node, whether of a supplier or of a part.
+EDGE_SQL = "SELECT DISTINCT l_suppkey AS e, l_partkey AS v FROM lineitem"
+#: What belongs to what: orders to customers, these to nations, these to regions; the last digit tells the kind.
+ABOVE_SQL = ("SELECT o_orderkey * 4 AS e, o_custkey * 4 + 1 AS v FROM orders UNION ALL SELECT c_custkey * 4 + 1, c_nationkey * 4 + 2 FROM customer "
+             "UNION ALL SELECT n_nationkey * 4 + 2, n_regionkey * 4 + 3 FROM nation")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,12 +84,14 @@ def tables(spark: SparkSession, sf_dir: str) -> Domain:
         "event_user": "user_id", "event_type": "event_type", "event_cents": cents("value"), "event_time": ms("ts")})
     d.add_table("documents", read("documents"), "doc_id", {"doc_lang": "lang", "doc_source": "source", "doc_chars": "n_chars"})
 
-    def edge() -> DataFrame:
-        lines = read("lineitem")().where("l_quantity = 50 AND l_linenumber = 1")
-        return lines.select(F.col("l_suppkey").alias("e"), (F.col("l_partkey") % 100).alias("v")).distinct()
+    d.add_derived("edge", lambda: read("lineitem")().select(F.col("l_suppkey").alias("e"), F.col("l_partkey").alias("v")).distinct())
 
-    d.add_derived("edge", edge)
-    d.add_derived("whole_edge", lambda: read("lineitem")().select(F.col("l_suppkey").alias("e"), F.col("l_partkey").alias("v")).distinct())
+    def above() -> DataFrame:
+        kinds = [("orders", "o_orderkey", "o_custkey"), ("customer", "c_custkey", "c_nationkey"), ("nation", "n_nationkey", "n_regionkey")]
+        parts = [read(t)().select((long(e) * 4 + k).alias("e"), (long(v) * 4 + k + 1).alias("v")).where("e IS NOT NULL AND v IS NOT NULL") for k, (t, e, v) in enumerate(kinds)]
+        return parts[0].union(parts[1]).union(parts[2])
+
+    d.add_derived("above", above)
     return d
 
 
@@ -234,35 +237,9 @@ _plan("rule_reference", Aggregate((0, 1), NameExpr((0, 1), "reach"), ("COUNT",),
       f"WITH RECURSIVE edge AS ({EDGE_SQL}), reach(a, b) AS (SELECT e, v FROM edge UNION SELECT a, v FROM reach JOIN edge ON b = e) SELECT a, count(*) AS n FROM reach GROUP BY a", (REACH,))
 
 
-# -- the same over every row of lineitem ------------------------------------------
-# (those over `edge` see the few lines of EDGE_SQL only)
-_WHOLE = f"edge AS ({WHOLE_EDGE_SQL})"
-_WHOLE_TRIANGLES = f"WITH {_WHOLE} SELECT x.e AS a, y.e AS b, y.v AS c FROM edge x JOIN edge y ON x.v = y.e JOIN edge z ON z.e = x.e AND z.v = y.v"
-_WHOLE_REACH = f"WITH RECURSIVE {_WHOLE}, reach(a, b) AS (SELECT e, v FROM edge UNION SELECT a, v FROM reach JOIN edge ON b = e)"
-_plan("hector_triangle_whole", q([0, 1, 2], [B(0, "whole_edge", 1), B(1, "whole_edge", 2), B(0, "whole_edge", 2)]), ["a", "b", "c"], _WHOLE_TRIANGLES)
-_plan("hector_not_whole", q([0, 1], [B(0, "whole_edge", 1), N(B(1, "whole_edge", 0))]), ["a", "b"],
-      f"WITH {_WHOLE} SELECT e AS a, v AS b FROM edge x WHERE NOT EXISTS (SELECT 1 FROM edge y WHERE y.e = x.v AND y.v = x.e)")
-
-
-@_query("triangle_intersection_whole", _WHOLE_TRIANGLES)
-def _triangles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triangles(tables(spark, sf_dir).source().pairs("whole_edge")[0])
-
-
-def _step(rule: str) -> Plan:
-    """Pairs of a rule, one whole edge further."""
-    return Project((0, 1), Join((2,), NameExpr((0, 2), rule), MatchA(2, "whole_edge", 1)))
-
-
-REACH_WHOLE = Rule("reach_whole", Union((0, 1), (MatchA(0, "whole_edge", 1), _step("reach_whole"))))
-_plan("recursive_reach_whole", "reach_whole", ["a", "b"], f"{_WHOLE_REACH} SELECT a, b FROM reach", (REACH_WHOLE,))
-_plan("recursive_nonlinear_whole", "path_whole", ["a", "b"], f"{_WHOLE_REACH} SELECT a, b FROM reach",
-      (Rule("path_whole", Union((0, 1), (MatchA(0, "whole_edge", 1), Project((0, 1), Join((2,), NameExpr((0, 2), "path_whole"), NameExpr((2, 1), "path_whole")))))),))
-_plan("recursive_mutual_whole", "even_whole", ["a", "b"],
-      f"WITH RECURSIVE {_WHOLE}, p(a, b, k) AS (SELECT e, v, 1 FROM edge UNION SELECT a, v, 1 - k FROM p JOIN edge ON b = e) SELECT a, b FROM p WHERE k = 0",
-      (Rule("odd_whole", Union((0, 1), (MatchA(0, "whole_edge", 1), _step("even_whole")))), Rule("even_whole", Union((0, 1), (_step("odd_whole"),)))))
-_plan("rule_reference_whole", Aggregate((0, 1), NameExpr((0, 1), "reach_whole"), ("COUNT",), (0,), (1,)), ["a", "n"],
-      f"{_WHOLE_REACH} SELECT a, count(*) AS n FROM reach GROUP BY a", (REACH_WHOLE,))
+REACH_ABOVE = Rule("reach_above", Union((0, 1), (MatchA(0, "above", 1), Project((0, 1), Join((2,), NameExpr((0, 2), "reach_above"), MatchA(2, "above", 1))))))
+_plan("recursive_hierarchy", "reach_above", ["a", "b"],
+      f"WITH RECURSIVE above AS ({ABOVE_SQL}), reach(a, b) AS (SELECT e, v FROM above UNION SELECT a, v FROM reach JOIN above ON b = e) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM reach", (REACH_ABOVE,))
 
 
 # -- pulls ---------------------------------------------------------------------
@@ -383,16 +360,9 @@ def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epoch_diffs(d, _COUNTED, 2).drop(TIME).toDF("e", "v", "d")
 
 
-@_query("bitemporal_snapshot", f"SELECT user_id AS e, arg_max({_EV}, struct_pack(a := event_id % 10, b := event_id)) AS v FROM events WHERE event_id % 10 <= 6 AND event_id <= 5000 GROUP BY user_id")
-def _bitemporal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    changes = events.select(F.col("user_id").alias("e"), F.expr(_EV).alias("v"), (F.col("event_id") % 10).alias("_event"), F.col("event_id").alias("_system"), F.lit(1).alias("_w"))
-    return snapshot_bitemporal(changes, 6, 5000).select("e", "v")
-
-
 # as of half of the system time that there is, so that the log it sees grows with the input
-@_query("bitemporal_snapshot_half", f"SELECT user_id AS e, arg_max({_EV}, struct_pack(a := event_id % 10, b := event_id)) AS v FROM events WHERE event_id % 10 <= 6 AND event_id <= (SELECT max(event_id) // 2 FROM events) GROUP BY user_id")
-def _bitemporal_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query("bitemporal_snapshot", f"SELECT user_id AS e, arg_max({_EV}, struct_pack(a := event_id % 10, b := event_id)) AS v FROM events WHERE event_id % 10 <= 6 AND event_id <= (SELECT max(event_id) // 2 FROM events) GROUP BY user_id")
+def _bitemporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     changes = events.select(F.col("user_id").alias("e"), F.expr(_EV).alias("v"), (F.col("event_id") % 10).alias("_event"), F.col("event_id").alias("_system"), F.lit(1).alias("_w"))
     half = (events.agg(F.max("event_id")).first()[0] or 0) // 2

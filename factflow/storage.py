@@ -26,4 +26,12 @@ def settle(df: DataFrame) -> DataFrame:
     outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``settle`` wrote, once no plan reads it any more."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._settled)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

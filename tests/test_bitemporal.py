@@ -11,5 +11,5 @@ def test_as_of_point_follows_the_data(spark, tmp_path):
         if k % 10 <= 6 and k <= 6000:  # ids from 5,001 on count too
             want[user] = (k, round(value * 100))
     assert any(k > 5000 for k, _ in want.values())
-    got = QUERIES["bitemporal_snapshot_half"](spark, str(tmp_path)).collect()
+    got = QUERIES["bitemporal_snapshot"](spark, str(tmp_path)).collect()
     assert {r["e"]: r["v"] for r in got} == {user: v for user, (_, v) in want.items()} and len(got) == len(want)
