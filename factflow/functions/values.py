@@ -90,9 +90,30 @@ def as_text(column: Column, kind: T.DataType) -> Column:
     return column.cast("string")
 
 
+#: Where a column's metadata has its value type.
+TYPE_KEY = "value_type"
+
+
+class Typed(int):
+    """A constant of a type that shares its Spark type with Number."""
+
+    def __new__(cls, tag: str, value: int):
+        out = super().__new__(cls, value)
+        out.tag = tag
+        return out
+
+
+def typed(column: Column, name: str, tag: str | None) -> Column:
+    """The column under a name, known to be of a value type."""
+    return column.alias(name) if tag is None else column.alias(name, metadata={TYPE_KEY: tag})
+
+
 def type_rank(df: DataFrame, name: str) -> int:
-    """Order of a column's Spark type among the value types."""
-    kind = df.schema[name].dataType
+    """Order of a column's value type; where it is not told, of its Spark type."""
+    field = df.schema[name]
+    if TYPE_KEY in field.metadata:
+        return RANK[field.metadata[TYPE_KEY]]
+    kind = field.dataType
     if isinstance(kind, T.StringType):
         return RANK["String"]
     if isinstance(kind, T.BooleanType):
@@ -103,6 +124,8 @@ def type_rank(df: DataFrame, name: str) -> int:
 
 
 def literal_rank(value: Any) -> int:
+    if isinstance(value, Typed):
+        return RANK[value.tag]
     if isinstance(value, bool):
         return RANK["Bool"]
     return RANK["String"] if isinstance(value, str) else RANK["Number"]

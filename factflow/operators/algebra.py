@@ -10,6 +10,7 @@ from factflow.errors import IncorrectError
 from factflow.functions.aggregates import AGGREGATES
 from factflow.functions.predicates import compare
 from factflow.functions.transforms import FUNCTIONS
+from factflow.functions.values import TYPE_KEY, typed
 from factflow.operators.relation import WEIGHT, Relation, alike, names_of
 
 
@@ -130,6 +131,7 @@ def aggregate(r: Relation, variables: tuple[int, ...], fns: tuple[str, ...], key
     else:
         values = [AGGREGATES[f](F.col(r.column(v)), r.weight()).alias(n) for f, v, n in zip(fns, arguments, made, strict=True)]
         df = r.df.groupBy(*by).agg(*values, F.count(F.lit(1)).alias("_n")).where("_n > 0")
+    kinds = {n: r.df.schema[r.column(v)].metadata.get(TYPE_KEY) for f, v, n in zip(fns, arguments, made, strict=True) if f in ("MIN", "MAX", "MEDIAN")}
     waiting: dict[int, list[str]] = {}
     for v, n in zip(arguments, made, strict=True):
         waiting.setdefault(v, []).append(n)
@@ -141,5 +143,5 @@ def aggregate(r: Relation, variables: tuple[int, ...], fns: tuple[str, ...], key
             source = r.column(v)
         else:
             raise IncorrectError(f"variable {v} is neither a key nor aggregated")
-        columns.append(F.col(source).alias(name))
+        columns.append(typed(F.col(source), name, kinds.get(source)))
     return Relation(df.select(*columns), tuple(variables), False, True)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from factflow.errors import IncorrectError
 from factflow.functions.time import visible_at
+from factflow.functions.values import typed
 from factflow.operators.relation import WEIGHT, Relation
 
 TIME = "_time"
@@ -92,13 +93,20 @@ class TableAttribute:
     key: str
     value: Column
     unique: bool = True
+    value_type: str | None = None
 
     @property
     def table(self) -> DataFrame:
         return self.wide.df
 
     def pairs(self) -> DataFrame:
-        return self.table.select(F.col(self.key).alias("e"), self.value.alias("v")).where("e IS NOT NULL AND v IS NOT NULL")
+        df = self.table.select(F.col(self.key).alias("e"), self.value.alias("v")).where("e IS NOT NULL AND v IS NOT NULL")
+        return with_types(df, "Eid", self.value_type)
+
+
+def with_types(pairs: DataFrame, entity: str | None, value: str | None) -> DataFrame:
+    """(e, v[, _w]) whose columns know their value types."""
+    return pairs.select(typed(F.col("e"), "e", entity), typed(F.col("v"), "v", value), *([WEIGHT] if WEIGHT in pairs.columns else []))
 
 
 def snapshot_raw(changes: DataFrame) -> DataFrame:

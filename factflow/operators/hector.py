@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from factflow.errors import IncorrectError, UnsupportedError
 from factflow.functions.predicates import compare
+from factflow.functions.values import typed
 from factflow.operators.algebra import join, project
 from factflow.operators.attributes import TableAttribute
 from factflow.operators.relation import Relation, names_of
@@ -34,7 +35,7 @@ TableOf = Callable[[str], TableAttribute | None]
 def star(table: TableAttribute, e: int, columns: list[tuple[int, TableAttribute]]) -> Relation:
     """Several attributes of one table: one scan, facts that are there only."""
     variables = (e, *(v for v, _ in columns))
-    df = table.table.select(F.col(table.key).alias(f"v{e}"), *(t.value.alias(f"_c{k}") for k, (_, t) in enumerate(columns)))
+    df = table.table.select(typed(F.col(table.key), f"v{e}", "Eid"), *(typed(t.value, f"_c{k}", t.value_type) for k, (_, t) in enumerate(columns)))
     df = df.where(F.col(f"v{e}").isNotNull())
     own: list[int] = [e]
     kept = [F.col(f"v{e}")]

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, fields
 from typing import Any
 
 from factflow.errors import IncorrectError
-from factflow.functions.values import decode
+from factflow.functions.values import Typed, decode
 
 Var = int
 
@@ -214,7 +214,10 @@ _OPTIONAL = {"with_variables", "path_attributes", "constants", "cardinality_many
 
 
 def _constant(value: Any) -> Any:
-    return None if value is None else decode(value)[1]
+    if value is None:
+        return None
+    tag, payload = decode(value)
+    return Typed(tag, payload) if tag in ("Eid", "Instant", "Real") else payload
 
 
 def plan_from_json(data: Any) -> Plan:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factflow.functions.time import coarsen_column
-from factflow.functions.values import tagged
+from factflow.functions.values import Typed, tagged
 from factflow.operators.attributes import TIME, AttributeConfig, snapshot_bitemporal
 from factflow.operators.hector import triangles
 from factflow.plans.ast import (
@@ -76,12 +76,12 @@ def tables(spark: SparkSession, sf_dir: str) -> Domain:
     d.add_table("part", read("part"), "p_partkey", {"part_brand": "p_brand", "part_type": "p_type", "part_size": long("p_size")})
     d.add_table("orders", read("orders"), "o_orderkey", {
         "order_customer": "o_custkey", "order_status": "o_orderstatus", "order_priority": "o_orderpriority",
-        "order_cents": cents("o_totalprice"), "order_date": ms("o_orderdate")})
+        "order_cents": cents("o_totalprice"), "order_date": ms("o_orderdate")}, types={"order_date": "Instant"})
     # an order has many lines: the same fact may stand several times
     d.add_table("lineitem", read("lineitem"), "l_orderkey", {
         "line_part": "l_partkey", "line_supplier": "l_suppkey", "line_quantity": long("l_quantity"), "line_flag": "l_returnflag"}, unique=False)
     d.add_table("events", read("events"), "event_id", {
-        "event_user": "user_id", "event_type": "event_type", "event_cents": cents("value"), "event_time": ms("ts")})
+        "event_user": "user_id", "event_type": "event_type", "event_cents": cents("value"), "event_time": ms("ts")}, types={"event_time": "Instant"})
     d.add_table("documents", read("documents"), "doc_id", {"doc_lang": "lang", "doc_source": "source", "doc_chars": "n_chars"})
 
     d.add_derived("edge", lambda: read("lineitem")().select(F.col("l_suppkey").alias("e"), F.col("l_partkey").alias("v")).distinct())
@@ -141,6 +141,11 @@ _plan("filter_var_var", Filter((1, 2), "GT", Join((0,), MatchA(0, "customer_nati
       f"SELECT c_custkey AS e, CAST(c_nationkey AS BIGINT) AS c, {CENTS.format('c_acctbal')} AS p FROM customer WHERE c_nationkey > {CENTS.format('c_acctbal')}")
 _plan("filter_cross_type", Filter((1,), "LT", MatchA(0, "nation_name", 1), (None, 5)), ["e", "v"], "SELECT CAST(n_nationkey AS INT) AS e, n_name AS v FROM nation")
 
+# an entity is greater than any number, an instant than any entity
+_plan("filter_eid_number", Filter((0,), "LT", MatchA(0, "nation_name", 1), (None, 10)), ["e", "v"], "SELECT CAST(n_nationkey AS INT) AS e, n_name AS v FROM nation WHERE false")
+_plan("filter_eid_eid", Filter((0,), "LT", MatchA(0, "nation_name", 1), (None, Typed("Eid", 10))), ["e", "v"], "SELECT CAST(n_nationkey AS INT) AS e, n_name AS v FROM nation WHERE n_nationkey < 10")
+_plan("filter_instant_eid", Filter((1, 0), "GT", MatchA(0, "event_time", 1), (None, None)), ["e", "t"], "SELECT event_id AS e, epoch_us(ts) // 1000 AS t FROM events")
+
 # -- transforms ----------------------------------------------------------------
 for _name, _w in (("minute", 60_000), ("hour", 3_600_000), ("day", 86_400_000), ("week", 604_800_000)):
     _plan(f"transform_truncate_{_name}", Transform((1,), 2, MatchA(0, "event_time", 1), "TRUNCATE", (None, f":{_name}")), ["e", "t", "w"],

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from factflow.errors import ConflictError, IncorrectError, NotFoundError
 from factflow.functions.values import SPARK_TYPE, decode
-from factflow.operators.attributes import SNAPSHOTS, TIME, AttributeConfig, TableAttribute, WideTable, last_write_diffs, snapshot_raw
+from factflow.operators.attributes import SNAPSHOTS, TIME, AttributeConfig, TableAttribute, WideTable, last_write_diffs, snapshot_raw, with_types
 from factflow.operators.relation import WEIGHT, Relation
 from factflow.plans.ast import Plan, Rule
 from factflow.plans.compile import Compiler, Source
@@ -107,10 +107,15 @@ class ChangeLog:
             df = df.union(f)
         return df
 
-    def snapshot(self, epoch: int) -> DataFrame:
+    def snapshot(self, epoch: int, touched: DataFrame | None = None) -> DataFrame:
+        """The facts at an epoch; with ``touched`` (e), of these entities, whose
+        changes alone are read."""
         if epoch < self.since:
             raise ConflictError(f"history before epoch {self.since} was compacted")
-        return SNAPSHOTS[self.config.input_semantics](self.changes().where(F.col(TIME) <= epoch))
+        changes = self.changes().where(F.col(TIME) <= epoch)
+        if touched is not None:
+            changes = changes.join(touched, "e", "left_semi")
+        return SNAPSHOTS[self.config.input_semantics](changes)
 
     def diffs(self) -> DataFrame:
         """(e, v, _time, _w): what each epoch adds to and takes from the facts."""
@@ -162,14 +167,16 @@ class Domain:
         self._check_new(name)
         self.logs[name] = ChangeLog(self.spark, config or AttributeConfig())
 
-    def add_table(self, table_id: str, df: DataFrame | Callable[[], DataFrame], key: str, attributes: dict[str, Column | str], unique: bool = True) -> None:
+    def add_table(self, table_id: str, df: DataFrame | Callable[[], DataFrame], key: str, attributes: dict[str, Column | str], unique: bool = True,
+                  types: dict[str, str] | None = None) -> None:
         """Columns of a wide table as attributes of its key's entities; the table
-        may be given as a function that opens it."""
+        may be given as a function that opens it. ``types``: value types of
+        attributes whose Spark type does not tell them (Eid, Instant)."""
         wide = WideTable(df)
         for name, value in attributes.items():
             self._check_new(name)
             column = F.col(value) if isinstance(value, str) else value
-            self.tables[name] = TableAttribute(wide, table_id, key, column, unique)
+            self.tables[name] = TableAttribute(wide, table_id, key, column, unique, (types or {}).get(name))
 
     def add_derived(self, name: str, pairs: DataFrame | Callable[[], DataFrame], weighted: bool = False) -> None:
         """Facts made elsewhere: (e, v), each once, or with weights ``_w``."""
@@ -277,7 +284,7 @@ class Domain:
                     log = self.logs[name]
                     raw = log.config.input_semantics == "Raw"
                     df = log.snapshot(epoch)
-                    held[name] = (df if raw else df.select("e", "v"), raw)
+                    held[name] = (with_types(df if raw else df.select("e", "v"), log.config.entity_type, log.config.value_type), raw)
                 elif name in self.views:
                     held[name] = (self.views[name](Compiler(made, self.rules, self.set_mode)), False)
                 else:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factflow.operators import algebra
-from factflow.operators.attributes import TIME, relation_of
+from factflow.operators.attributes import TIME, relation_of, snapshot_raw, with_types
 from factflow.operators.hector import hector
 from factflow.operators.relation import WEIGHT, Relation, names_of
 from factflow.plans import analyze
@@ -39,7 +39,7 @@ from factflow.plans.ast import (
     Union,
 )
 from factflow.plans.compile import Compiler
-from factflow.streaming.domain import Domain
+from factflow.streaming.domain import ChangeLog, Domain
 
 
 def minus(new: Relation, old: Relation) -> Relation:
@@ -69,12 +69,18 @@ class Incremental:
                 df, weighted = self.new.source.pairs(name)
                 self._pairs[name] = (df if weighted else df.withColumn(WEIGHT, F.lit(1).cast("long"))).where(F.lit(False))
             else:
-                touched = log.changes().where(F.col(TIME) == self.epoch).select("e").distinct()
-                side = lambda c: self._weighted(c.source.pairs(name)).join(touched, "e", "left_semi").select("e", "v", WEIGHT)
-                df = side(self.new).union(side(self.old).withColumn(WEIGHT, -F.col(WEIGHT)))
-                self._pairs[name] = df.groupBy("e", "v").agg(F.sum(WEIGHT).alias(WEIGHT)).where(F.col(WEIGHT) != 0)
+                self._pairs[name] = with_types(self._log_delta(log), log.config.entity_type, log.config.value_type)
         return self._pairs[name]
 
+    def _log_delta(self, log: ChangeLog) -> DataFrame:
+        now = log.changes().where(F.col(TIME) == self.epoch)
+        if log.config.input_semantics == "Raw" and self.epoch > log.since:
+            return snapshot_raw(now)  # multiplicities add up: the change is what the epoch wrote
+        touched = now.select("e").distinct()
+        new, old = log.snapshot(self.epoch, touched), log.snapshot(self.epoch - 1, touched)
+        df = new.select("e", "v", WEIGHT).union(old.select("e", "v", (-F.col(WEIGHT)).alias(WEIGHT)))
+        return df.groupBy("e", "v").agg(F.sum(WEIGHT).alias(WEIGHT)).where(F.col(WEIGHT) != 0)
+
     @staticmethod
     def _weighted(pairs: tuple[DataFrame, bool]) -> DataFrame:
         df, weighted = pairs
@@ -118,8 +124,8 @@ class Incremental:
                 touched = algebra.concat([algebra.project(self.delta(p), keys) for p in (left, right)])
                 return self._again(plan, touched, tuple(keys), [(left, None), (right, None)])
             case Aggregate(key_variables=keys):
-                touched = algebra.project(self.delta(plan.plan), tuple(keys))
-                return self._again(plan, touched, tuple(keys), [(plan.plan, None)])
+                change = self.delta(plan.plan)
+                return self._again(plan, algebra.project(change, tuple(keys)), tuple(keys), [(plan.plan, None)], change)
             case Star():
                 return self._fallback(plan)
         return self._fallback(plan)
@@ -141,8 +147,10 @@ class Incremental:
         for i in range(len(own)):
             def resolve(k: int, b: AttributeBinding, i: int = i) -> Relation:
                 if k == i:
-                    change = minus(self._set(self.new, b), self._set(self.old, b))
-                    return change
+                    log = self.domain.logs.get(b.attribute)
+                    if log is not None and log.config.input_semantics != "Raw" or b.attribute in self.domain.tables and self.domain.tables[b.attribute].unique:
+                        return relation_of(self.pair_delta(b.attribute), b.e, b.v, True, False)  # a set's change as it is
+                    return minus(self._set(self.new, b), self._set(self.old, b))
                 return self._set(self.new if k < i else self.old, b)
 
             parts.append(hector(plan.variables, plan.bindings, resolve, lambda _: None, {i}))
@@ -152,8 +160,9 @@ class Incremental:
     def _set(c: Compiler, b: AttributeBinding) -> Relation:
         return c.attribute(b.attribute, b.e, b.v, as_set=True)
 
-    def _again(self, plan: Plan, touched: Relation, keys: tuple[int, ...], inputs) -> Relation:
-        """The plan over the touched keys' rows of its inputs, new minus old."""
+    def _again(self, plan: Plan, touched: Relation, keys: tuple[int, ...], inputs, change: Relation | None = None) -> Relation:
+        """The plan over the touched keys' rows of its inputs, new minus old.
+        ``change``: of a single input; its new rows are the old ones and these."""
         if not keys:
             return self._fallback(plan)
         own = touched.df.select(*names_of(keys)).distinct()
@@ -166,6 +175,9 @@ class Incremental:
                     r = algebra.project(r, project_to)
                 df = r.df.join(own, names_of(keys), "left_semi").select(*r.df.columns)
                 made.append(Relation(df, r.variables, r.weighted, r.is_set))
+            return apply(c, made)
+
+        def apply(c: Compiler, made: list[Relation]) -> Relation:
             match plan:
                 case Union(variables, _):
                     return algebra.union(made, variables)
@@ -176,7 +188,13 @@ class Incremental:
                                              plan.aggregation_variables, plan.with_variables, c.set_mode)
             raise AssertionError(plan)
 
-        return minus(side(self.new), side(self.old))
+        if change is None:
+            return minus(side(self.new), side(self.old))
+        [(p, _)] = inputs
+        r = self.old.plan(p).with_weights()
+        old = Relation(r.df.join(own, names_of(keys), "left_semi").select(*r.df.columns), r.variables, True)
+        new = algebra.concat([old, Relation(change.df.select(*r.df.columns), r.variables, True)])
+        return minus(apply(self.new, [new]), apply(self.old, [old]))
 
 
 def epoch_diffs(domain: Domain, plan: Plan | str, epoch: int) -> DataFrame:
