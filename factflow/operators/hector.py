@@ -4,7 +4,10 @@ The bindings' attributes are sets here: each fact counts once. Attributes of one
 wide table on one entity variable are read in a single scan. Constants become
 filters on the scans that bind their variable. The joins are ordered so that
 each shares a variable with what stands before, those with constants first;
-Catalyst picks the physical join. A predicate binding's operands stand the other
+Catalyst picks the physical join. Where several bindings know a new variable, as
+in cycles, a tuple is extended by the one that has the fewest values for it, and
+the others are asked whether they have them, too (``extend``): so no more is made
+than the least of them proposes. A predicate binding's operands stand the other
 way round than a filter's (``BINDING_PREDICATE_INVERTED``).
 """
 
@@ -126,6 +129,12 @@ def hector(variables: tuple[int, ...], bindings: tuple[Binding, ...], resolve: C
     bound_somewhere = {v for a in atoms for v in a.variables}
     result = _apply_predicates(result, predicates)
     while rest:
+        several = _proposers(result, rest, predicates)
+        if several:
+            result = extend(result, [rest[k] for k in several])
+            rest = [a for k, a in enumerate(rest) if k not in several]
+            result = _apply_predicates(result, predicates)
+            continue
         k = next((k for k, a in enumerate(rest) if set(a.variables) & set(result.variables)), None)
         if k is None:
             if not allow_cross:
@@ -152,17 +161,47 @@ def hector(variables: tuple[int, ...], bindings: tuple[Binding, ...], resolve: C
     return project(result, variables)
 
 
-def triangles(edges: DataFrame, e: str = "e", v: str = "v") -> DataFrame:
-    """(a, b, c) with edges a-b, b-c and a-c, by intersecting neighbour lists.
-
-    Pays only where wedges far outnumber edges and the lists are used again; the
-    lists of both ends of each edge are shuffled, so a node's list must fit a
-    task. ``hector`` with binary joins is the general way.
-    """
-    pairs = edges.select(F.col(e).alias("a"), F.col(v).alias("b")).distinct()
-    lists = pairs.groupBy("a").agg(F.collect_set("b").alias("out"))
-    left = pairs.join(lists, "a")
-    right = lists.select(F.col("a").alias("b"), F.col("out").alias("next"))
-    return left.join(right, "b").select("a", "b", F.explode(F.array_intersect("out", "next")).alias("c"))
+def _proposers(result: Relation, rest: list[Relation], predicates: list) -> list[int]:
+    """Places of bindings, two at least, that know one new variable besides
+    variables that are bound; none if a change with weights is among them."""
+    by_new: dict[int, list[int]] = {}
+    for k, a in enumerate(rest):
+        new = set(a.variables) - set(result.variables)
+        if len(new) == 1 and len(a.variables) == 2 and not a.weighted:
+            by_new.setdefault(new.pop(), []).append(k)
+    return next((ks for ks in by_new.values() if len(ks) > 1), []) if not result.weighted else []
+
+
+def extend(result: Relation, atoms: list[Relation]) -> Relation:
+    """Tuples with values of the variable that all ``atoms`` know besides one
+    that is bound: for each tuple, the atom with the fewest values proposes and
+    the others check."""
+    new = next(iter(set(atoms[0].variables) - set(result.variables)))
+    sets = [a.distinct() for a in atoms]
+    keys = [f"v{next(v for v in a.variables if v != new)}" for a in sets]
+    df = result.df
+    for k, (a, key) in enumerate(zip(sets, keys, strict=True)):
+        df = df.join(a.df.groupBy(key).agg(F.count(F.lit(1)).alias(f"_n{k}")), key)
+    counts = [F.col(f"_n{k}") for k in range(len(sets))]
+    least = F.least(*counts)
+    parts = []
+    for k, (a, key) in enumerate(zip(sets, keys, strict=True)):
+        # the first of those with the least
+        mine = (counts[k] == least) & ~F.coalesce(*[F.when(c == least, True) for c in counts[:k]], F.lit(False))
+        part = df.where(mine).select(*result.df.columns).join(a.df, key)
+        for j, (b, other) in enumerate(zip(sets, keys, strict=True)):
+            if j != k:
+                part = part.join(b.df, [other, f"v{new}"], "left_semi")
+        parts.append(part.select(*result.df.columns, f"v{new}"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return Relation(out, (*result.variables, new), False, result.is_set)
 
 
+def triangles(edges: DataFrame, e: str = "e", v: str = "v") -> DataFrame:
+    """(a, b, c) with edges a-b, b-c and a-c: each edge is extended by the end
+    that has fewer neighbours."""
+    pairs = edges.select(F.col(e).alias("a"), F.col(v).alias("b")).distinct()
+    ends = [Relation(pairs.toDF(f"v{k}", "v2"), (k, 2), False, True) for k in (0, 1)]
+    return extend(Relation(pairs.toDF("v0", "v1"), (0, 1), False, True), ends).df.toDF("a", "b", "c")

@@ -8,6 +8,8 @@ interested in is brought up to date once, shared by all its clients.
 from __future__ import annotations
 
 import json
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -32,6 +34,10 @@ from factflow.streaming.domain import Datom, Domain
 from factflow.streaming.incremental import epoch_diffs
 
 
+#: Outputs of earlier messages that stay readable.
+KEPT_OUTPUTS = 10_000
+
+
 @dataclass
 class Output:
     """What a client is told: ``kind`` is diff, json, message or error."""
@@ -62,6 +68,7 @@ class Engine:
         self.streams: list = []
         self.running = True
         self.listener: ProgressListener | None = None
+        self.timings: list[Datom] = []
 
     @staticmethod
     def from_config(spark: SparkSession, config: dict) -> Engine:
@@ -79,6 +86,7 @@ class Engine:
     # -- requests --------------------------------------------------------------
     def message(self, requests: list[Callable[[], Any]], client: str = "self") -> list[Output]:
         """Apply requests as one epoch; an error ends the message and is told."""
+        del self.outputs[:-KEPT_OUTPUTS]
         before = len(self.outputs)
         try:
             for r in requests:
@@ -176,18 +184,39 @@ class Engine:
         return self.listener
 
     def serve(self, messages: Iterator[str], client: str = "self") -> Iterator[Output]:
-        """Messages as they come; with ``tick``, an epoch ends at that many
-        milliseconds at the latest once a message arrives."""
-        last = time.monotonic()
-        for text in messages:
-            yield from self.json_message(text, client)
-            if self.tick and (time.monotonic() - last) * 1000 >= self.tick:
-                before = len(self.outputs)
-                self.advance_tick()
-                yield from self.outputs[before:]
-                last = time.monotonic()
-            if not self.running:
+        """Messages as they come; with ``tick``, an epoch ends every that many
+        milliseconds, also while no message arrives."""
+        if not self.tick:
+            for text in messages:
+                yield from self.json_message(text, client)
+                if not self.running:
+                    return
+            return
+        come: queue.Queue = queue.Queue(maxsize=1024)
+        end = object()
+
+        def read() -> None:
+            for text in messages:
+                come.put(text)
+            come.put(end)
+
+        threading.Thread(target=read, daemon=True).start()
+        due = time.monotonic() + self.tick / 1000
+        while self.running:
+            try:
+                text = come.get(timeout=max(0.0, due - time.monotonic()))
+            except queue.Empty:
+                yield from self.message([self.advance_tick], client) if self.manual_advance else self._told(self.flush)
+                due = time.monotonic() + self.tick / 1000
+                continue
+            if text is end:
                 return
+            yield from self.json_message(text, client)
+
+    def _told(self, act: Callable[[], Any]) -> list[Output]:
+        before = len(self.outputs)
+        act()
+        return self.outputs[before:]
 
     def subscribe(self, attribute: str, client: str = "self", sink: Sink | None = None) -> None:
         """Interest in a whole attribute."""
@@ -248,9 +277,14 @@ class Engine:
         """Tell what the current epoch changed, then begin the next."""
         epoch = self.domain.epoch
         if self.listener is not None:
-            self.domain.transact(self.listener.drain())
+            plans = {n: self.domain.rules[n].plan for n in self.interests if n in self.domain.rules}
+            self.domain.transact([*self.listener.drain(), *introspection.sizes(self.domain, epoch, plans), *self.timings])
+            self.timings = []
         for i in list(self.interests.values()):
+            began = time.monotonic()
             self._show(i, epoch)
+            if self.listener is not None:
+                self.timings.append(Datom.add(i.name, "schedule/elapsed-ms", int((time.monotonic() - began) * 1000)))
         self.domain.advance_epoch(epoch + 1)
         self.domain.advance()
 
