@@ -14,8 +14,9 @@ expectation, or all it has, which adds at most as many rows for each language.
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as
 is every text if there is nothing to learn from; with one language to learn, it
 is predicted with score 1; equal scores give the language that sorts first; null
-ids are outside the held-out fold; repeated rows are judged alike; an empty
-table gives an empty result.
+ids are outside the held-out fold; very long texts are read whole, in parts; a
+column that is called like one that is made is replaced, all others pass
+unchanged; repeated rows are judged alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,8 +15,10 @@ is bounded by the patterns, at any size.
 
 Defined cases: null is empty text; texts without candidates have no spans and
 the digest of the empty string; an added span never overlaps a base span or an
-added one before it; repeated rows are judged alike; an empty table gives an
-empty result. Places are code points, ends exclusive.
+added one before it; of candidates that begin together the first kind listed comes
+first; very long texts are read whole; a column that is called like one that is
+made is replaced, all others pass unchanged; repeated rows are judged alike; an
+empty table gives an empty result. Places are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -316,8 +318,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every span of personal data is replaced by its kind in angle brackets;
     overlapping spans by that of the first. Rows and other columns stay."""
     base, extra, spans = (fresh(docs.columns, x) for x in ("base", "extra", "spans"))
-    accepted = learn_accepted(settle(find_candidates(docs, text_col, [], base, extra)), base, extra)
-    found = find_candidates(docs, text_col, None, base, extra)
+    found = settle(find_candidates(docs, text_col, None, base, extra))
+    accepted = learn_accepted(found, base, extra)
     found = found.withColumn(spans, accepted_spans(found, accepted, base, extra))
     t, kinds = F.col(text_col), F.array(*(F.lit(k) for k in KINDS))
     done = F.aggregate(

@@ -5,8 +5,10 @@
    two that differ in at most ``budget`` bits agree on at least ``m - budget``
    of ``m`` blocks, so each is sent once for every choice of that many blocks.
    ``m`` follows from how many fingerprints there are, so a group stays small;
-   a group of more than ``CHUNK`` is dealt again by chunk pairs, so no task
-   holds more than two chunks of a group at a time.
+   a group of more than ``CHUNK`` is dealt again, by ``budget + 1`` blocks of the
+   bits on which its members need not agree (two within the budget agree on one of
+   these at least); what is still larger is cut into chunks that meet by pairs, so
+   no task holds more than two chunks of a group at a time.
 3. Within a task the fingerprints of a group stand sorted, which is their
    binary trie: a node is a range, its children are split by the next bit. Node
    pairs are followed together from the roots, differing bits add up, and a
@@ -17,7 +19,9 @@
 Defined cases: a text that is null, empty or all white space has fingerprint
 zero and is linked like any other; a null ``doc_id`` takes part in links but
 never names a component (null if a component has no other); repeated rows stay
-repeated; an empty table gives an empty result.
+repeated; very long texts are read whole, their hashes counted in parts; of equal
+fingerprints any stands for all; a column that is called like the one made is
+replaced, all others pass unchanged; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -224,22 +228,34 @@ def block_count(n: int, budget: int) -> int:
     return m
 
 
+def _mask(bits: list[int]) -> int:
+    """These bits as a signed 64-bit number."""
+    x = sum(1 << b for b in set(bits))
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
 def hamming_links(fps: DataFrame, budget: int = 3, chunk: int = CHUNK) -> DataFrame:
     """Stars (u, v) that connect all distinct fingerprints (column ``fp``,
     unique) within ``budget`` bits of each other, through chains of such."""
     n = fps.count()
     m = block_count(n, budget)
     edges = [BITS * k // m for k in range(m + 1)]
-    masks = []
+    masks, inner = [], []
     for chosen in combinations(range(m), m - budget):
-        bits = sum(((1 << edges[k + 1]) - (1 << edges[k])) for k in chosen)
-        masks.append(bits - (1 << BITS) if bits >> (BITS - 1) else bits)
-    keyed = fps.select(
-        "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(x)) for x in masks))).alias("t", "block")
-    )
-    sizes = keyed.groupBy("t", "block").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = keyed.join(sizes, ["t", "block"]).withColumn("s", F.ceil(F.col("n") / chunk).cast("int"))
-    dealt = dealt.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
+        bits = [x for k in chosen for x in range(edges[k], edges[k + 1])]
+        masks.append(_mask(bits))
+        rest = [x for x in range(BITS) if x not in set(bits)]
+        inner.append([_mask(bits + rest[len(rest) * k // (budget + 1) : len(rest) * (k + 1) // (budget + 1)]) for k in range(budget + 1)])
+    keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(x)) for x in masks))).alias("t", "block"))
+    sizes = settle(keyed.groupBy("t", "block").agg(F.count("*").alias("n")).where("n > 1"))
+    keyed = keyed.join(sizes, ["t", "block"])
+    small = keyed.where(F.col("n") <= chunk).select("fp", "t", "block", F.lit(1).alias("s"))
+    further = F.get(F.array(*(F.array(*map(F.lit, own)) for own in inner)), F.col("t"))
+    large = keyed.where(F.col("n") > chunk).select("fp", "t", F.posexplode(F.transform(further, lambda x: F.col("fp").bitwiseAND(x))).alias("k", "block"))
+    large = large.select("fp", (F.col("t") + len(masks) * (1 + F.col("k"))).alias("t"), "block")
+    again = settle(large.groupBy("t", "block").agg(F.count("*").alias("n")).where("n > 1"))
+    large = large.join(again, ["t", "block"]).select("fp", "t", "block", F.ceil(F.col("n") / chunk).cast("int").alias("s"))
+    dealt = small.union(large).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     part = F.when(F.col("c") == F.col("o"), 0).when(F.col("c") < F.col("o"), 1).otherwise(2)
     dealt = dealt.select(
@@ -279,15 +295,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of each component stays, unchanged: that with the smallest id;
     of several rows with that id, one. A component without any id keeps one row."""
     fp, own, component, copies = (fresh(docs.columns, x) for x in ("fp", "own", "component", "copies"))
-    # the texts are fingerprinted twice rather than stored once more
-    prints = settle(with_fingerprints(docs, text_col, "fp", words, [id_col]))
+    # the rows are stored once more with their fingerprints: far cheaper than to make these twice
+    marked = settle(with_fingerprints(docs, text_col, fp, words))
+    prints = marked.select(F.col(id_col), F.col(fp).alias("fp"))
     classes = fingerprint_components(prints, id_col, budget)
     counts = prints.groupBy("fp", id_col).agg(F.count("*").alias("copies"))
     # the one fingerprint and id that stays of each component
     best = counts.join(classes, "fp").where(F.col(id_col).eqNullSafe(F.col("component")))
     best = best.groupBy("root").agg(F.min_by(F.struct("fp", "component", "copies"), "fp").alias("b"))
     best = settle(best.select(F.col("b.fp").alias(fp), F.col("b.component").alias(component), F.col("b.copies").alias(copies)))
-    marked = with_fingerprints(docs, text_col, fp, words).join(best, fp)
+    marked = marked.join(best, fp)
     marked = marked.where(F.col(id_col).eqNullSafe(F.col(component)))
     single = marked.where(F.col(copies) == 1)
     several = marked.where(F.col(copies) > 1).dropDuplicates([fp])

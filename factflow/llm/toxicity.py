@@ -14,7 +14,9 @@ Every text is scored whole.
 Defined cases: a null, empty or letterless text has no sentence and score 0; no
 labels to learn from give score 0 to all; a document with several labels counts
 as toxic if one says so; of rows with one id, one teaches; null labels and ids do not teach; repeated rows are
-scored alike; an empty table gives an empty result.
+scored alike; very long texts are scored whole, in parts; a column that is called
+like one that is made is replaced, all others pass unchanged; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

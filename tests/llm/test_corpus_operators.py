@@ -224,6 +224,19 @@ def test_trie_finds_every_pair(spark):
     assert [simhash.block_count(n, 3) for n in (10, 1 << 28, 1 << 34, 1 << 50)] == [4, 4, 5, 8]
 
 
+def test_a_crowded_block_is_dealt_again(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 48, 60, dtype=np.uint64)  # the upper 16 bits of all agree
+    near = [int(b) ^ sum(1 << int(x) for x in rng.choice(64, rng.integers(0, 5), False)) for b in np.repeat(base, 6)]
+    values = sorted({*map(int, base), *near})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in values], "fp long")
+    links = [(r["u"], r["v"]) for r in simhash.hamming_links(df, 3, 16).collect()]
+    want = [(signed(a), signed(b)) for k, a in enumerate(values) for b in values[:k] if (a ^ b).bit_count() <= 3]
+    groups = lambda edges: {frozenset(x for x, r in roots.items() if r == root) for roots in [roots_of(edges)] for root in set(roots.values())}
+    assert groups(links) == groups(want)
+
+
 def test_links_with_more_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 0)
     rows = corpus(60, 5)

@@ -511,3 +511,27 @@ def test_every_telling_ngram_may_get_a_weight(spark):
     chosen, size = toxicity.select_features(spark.createDataFrame(rows, "text_ string, toxic_ boolean"))
     assert size == 60 and len(want[1]) > 1024 and len(want[-1]) > 1024
     assert chosen.tolist() == sorted(want[1] | want[-1])
+
+
+def test_samples_keep_their_size_at_any_number_of_rows(spark):
+    from factflow.llm.common import sampled
+
+    # the lowest 8,192 of 1e11 evenly spread hashes: as many are in as a share of 4,096 rows takes
+    step = 2**64 // 10**11
+    low = spark.range(8192).select((F.col("id") * step).alias("h"))
+    for share in (4096 / 1e11, F.lit(4096 / 1e11)):
+        assert abs(low.where(sampled(F.col("h"), share)).count() - 4096) <= 2
+    assert spark.range(1000).where(sampled(F.xxhash64("id"), 1.0)).count() == 1000
+    assert spark.createDataFrame([(-1,)], "h long").where(sampled(F.col("h"), 1.0)).count() == 1
+
+
+def test_clashing_columns_come_back(spark):
+    df = docs(spark, [*ODD, (8, "some words to read")])
+    model = toxicity.ToxicityModel(np.zeros(1 << toxicity.BUCKET_BITS, np.float32), -3.0)
+    for made in (toxicity.with_toxicity(df, model), langid.with_language(df, None), decontaminate.benchmark_hits(df, spark.createDataFrame([(1, "one")], "item_id long, text string"))):
+        rows = made.collect()
+        assert len(rows) == len(ODD) + 1 and {r["text_"] for r in rows} == {"x"} and {r["FP"] for r in rows} == {"y"} and {r["source"] for r in rows} == {"s"}
+    page = spark.createDataFrame([(1, "<p>a", "x", "y")], "page_id long, html string, html_ string, FP string")
+    assert [tuple(r) for r in html_text.extract_main_text(page).collect()] == [(1, "x", "y", "a")]
+    packed = packing.pack_documents(df.withColumn("length", F.lit("l")).withColumn("piece", F.lit("p")))
+    assert packed.count() >= len(ODD) and dict(packed.dtypes)["length"] == "bigint"
