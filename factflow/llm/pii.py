@@ -318,8 +318,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every span of personal data is replaced by its kind in angle brackets;
     overlapping spans by that of the first. Rows and other columns stay."""
     base, extra, spans = (fresh(docs.columns, x) for x in ("base", "extra", "spans"))
-    found = settle(find_candidates(docs, text_col, None, base, extra))
-    accepted = learn_accepted(found, base, extra)
+    # the search is cheap against storing the texts once more
+    accepted = learn_accepted(settle(find_candidates(docs, text_col, [], base, extra)), base, extra)
+    found = find_candidates(docs, text_col, None, base, extra)
     found = found.withColumn(spans, accepted_spans(found, accepted, base, extra))
     t, kinds = F.col(text_col), F.array(*(F.lit(k) for k in KINDS))
     done = F.aggregate(

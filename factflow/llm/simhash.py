@@ -31,7 +31,7 @@ from itertools import accumulate, combinations, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -294,23 +294,27 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3, words: int = 3) -> DataFrame:
     """One row of each component stays, unchanged: that with the smallest id;
     of several rows with that id, one. A component without any id keeps one row."""
-    fp, own, component, copies = (fresh(docs.columns, x) for x in ("fp", "own", "component", "copies"))
-    # the rows are stored once more with their fingerprints: far cheaper than to make these twice
-    marked = settle(with_fingerprints(docs, text_col, fp, words))
-    prints = marked.select(F.col(id_col), F.col(fp).alias("fp"))
-    classes = fingerprint_components(prints, id_col, budget)
-    counts = prints.groupBy("fp", id_col).agg(F.count("*").alias("copies"))
-    # the one fingerprint and id that stays of each component
-    best = counts.join(classes, "fp").where(F.col(id_col).eqNullSafe(F.col("component")))
-    best = best.groupBy("root").agg(F.min_by(F.struct("fp", "component", "copies"), "fp").alias("b"))
-    best = settle(best.select(F.col("b.fp").alias(fp), F.col("b.component").alias(component), F.col("b.copies").alias(copies)))
-    marked = marked.join(best, fp)
-    marked = marked.where(F.col(id_col).eqNullSafe(F.col(component)))
+    h, who, digest, copies = (fresh(docs.columns, x) for x in ("h", "who", "digest", "copies"))
+    # the texts go to Python once and come not back: a row is known by its id and its text's digest
+    told = docs.select(F.col(id_col).alias("who"), F.col(text_col).cast("string").alias("text"), _digest(text_col).alias("h"))
+    prints = settle(with_fingerprints(told, "text", "fp", words, ["who", "h"]))
+    classes = fingerprint_components(prints, "who", budget)
+    counts = prints.groupBy("fp", "who", "h").agg(F.count("*").alias("copies"))
+    # the one row that stays of each component
+    best = counts.join(classes, "fp").where(F.col("who").eqNullSafe(F.col("component")))
+    best = best.groupBy("root").agg(F.min_by(F.struct("who", "h", "copies"), F.struct("fp", "h")).alias("b"))
+    best = settle(best.select(F.col("b.who").alias(who), F.col("b.h").alias(digest), F.col("b.copies").alias(copies)))
+    marked = docs.withColumn(h, _digest(text_col))
+    marked = marked.join(best, marked[h].eqNullSafe(best[digest]) & marked[id_col].eqNullSafe(best[who]))
     single = marked.where(F.col(copies) == 1)
-    several = marked.where(F.col(copies) > 1).dropDuplicates([fp])
+    several = marked.where(F.col(copies) > 1).dropDuplicates([who, digest])
     return single.union(several).select(*docs.columns)
 
 
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = near_duplicate_components(docs)
