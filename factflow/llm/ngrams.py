@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 300_000
 _FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D)
 
 
