@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factflow.errors import IncorrectError
@@ -12,6 +16,7 @@ from factflow.functions.predicates import compare
 from factflow.functions.transforms import FUNCTIONS
 from factflow.functions.values import TYPE_KEY, typed
 from factflow.operators.relation import WEIGHT, Relation, alike, names_of
+from factflow.storage import settle
 
 
 def project(r: Relation, variables: tuple[int, ...]) -> Relation:
@@ -103,6 +108,26 @@ def transform(r: Relation, variables: tuple[int, ...], result: int, function: st
     return Relation(df, own, r.weighted, r.is_set)
 
 
+def _medians(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """The upper middle of each key's distinct values, never interpolated. The
+    values are sorted over all tasks; a key's place in each task follows from
+    counts, so that no task or row holds all values of a key."""
+    ranged = df.select(*(F.col(b).alias(f"_k{k}") for k, b in enumerate(by)), F.col(value).alias("_m")).distinct()
+    keys = [c for c in ranged.columns if c != "_m"]
+    # written out: another run might cut the ranges elsewhere
+    ranged = settle(ranged.where("_m IS NOT NULL").repartitionByRange(*keys, "_m").withColumn("_p", F.spark_partition_id()))
+    own = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    counts = ranged.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(own.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    middle = F.floor(F.sum("_c").over(own) / 2)
+    counts = counts.select(*keys, "_p", "_c", (middle - before).alias("_at")).where("_at >= 0 AND _at < _c")
+    at = counts.toDF(*(f"_t{c}" for c in counts.columns))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_t{c}")) for c in (*keys, "_p")))
+    rows = ranged.join(at, same).withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_p").orderBy("_m")))
+    rows = rows.where(F.col("_r") == F.col("_t_at") + 1)
+    return rows.select(*(F.col(k).alias(b) for k, b in zip(keys, by, strict=True)), F.col("_m").alias(name))
+
+
 def aggregate(r: Relation, variables: tuple[int, ...], fns: tuple[str, ...], keys: tuple[int, ...],
               arguments: tuple[int, ...], with_variables: tuple[int, ...] = (), set_mode: bool = False) -> Relation:
     """One row per key. ``variables`` lays the columns out: a key's variable is
@@ -117,9 +142,12 @@ def aggregate(r: Relation, variables: tuple[int, ...], fns: tuple[str, ...], key
     r = r.consolidated()
     by = [r.column(k) for k in keys]
     made = [f"_a{k}" for k in range(len(fns))]
+    medians = {n: r.column(v) for f, v, n in zip(fns, arguments, made, strict=True) if f == "MEDIAN"}
     if set_mode:
         df = None
         for f, v, name in zip(fns, arguments, made, strict=True):
+            if name in medians:
+                continue
             columns = list(dict.fromkeys([*by, r.column(v), *(r.column(x) for x in with_variables)]))
             one = Relation(r.df.select(*columns, *r.rest()), (), r.weighted).distinct().df
             part = one.groupBy(*by).agg(AGGREGATES[f](F.col(r.column(v)), None).alias(name), F.count(F.lit(1)).alias("_n"))
@@ -129,8 +157,18 @@ def aggregate(r: Relation, variables: tuple[int, ...], fns: tuple[str, ...], key
             else:
                 df = df.join(part, by) if by else df.crossJoin(part)  # one row each
     else:
-        values = [AGGREGATES[f](F.col(r.column(v)), r.weight()).alias(n) for f, v, n in zip(fns, arguments, made, strict=True)]
-        df = r.df.groupBy(*by).agg(*values, F.count(F.lit(1)).alias("_n")).where("_n > 0")
+        values = [AGGREGATES[f](F.col(r.column(v)), r.weight()).alias(n) for f, v, n in zip(fns, arguments, made, strict=True) if n not in medians]
+        df = r.df.groupBy(*by).agg(*values, F.count(F.lit(1)).alias("_n")).where("_n > 0") if values else None
+    for name, value in medians.items():
+        part = _medians(r.df, by, value, name)
+        if df is None:
+            df = part
+        elif by:
+            part = part.toDF(*(f"_k{k}" for k in range(len(by))), name)
+            same = reduce(and_, (F.col(b).eqNullSafe(F.col(f"_k{k}")) for k, b in enumerate(by)))
+            df = df.join(part, same).drop(*(f"_k{k}" for k in range(len(by))))
+        else:
+            df = df.crossJoin(part)  # one row each
     kinds = {n: r.df.schema[r.column(v)].metadata.get(TYPE_KEY) for f, v, n in zip(fns, arguments, made, strict=True) if f in ("MIN", "MAX", "MEDIAN")}
     waiting: dict[int, list[str]] = {}
     for v, n in zip(arguments, made, strict=True):

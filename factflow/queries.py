@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,11 @@ from factflow.plans.ast import (
     q,
 )
 from factflow.plans.compile import result_columns
+from factflow.sinks.core import FileSink
+from factflow.sources.files import CsvFile, JsonFile
+from factflow.storage import shared_dir
 from factflow.streaming.domain import Domain
+from factflow.streaming.engine import Engine
 from factflow.streaming.incremental import epoch_diffs
 
 CENTS = "CAST(round({} * 100) AS BIGINT)"
@@ -142,7 +147,7 @@ _plan("filter_var_var", Filter((1, 2), "GT", Join((0,), MatchA(0, "customer_nati
 _plan("filter_cross_type", Filter((1,), "LT", MatchA(0, "nation_name", 1), (None, 5)), ["e", "v"], "SELECT CAST(n_nationkey AS INT) AS e, n_name AS v FROM nation")
 
 # an entity is greater than any number, an instant than any entity
-_plan("filter_eid_number", Filter((0,), "LT", MatchA(0, "nation_name", 1), (None, 10)), ["e", "v"], "SELECT CAST(n_nationkey AS INT) AS e, n_name AS v FROM nation WHERE false")
+_plan("filter_eid_number", Filter((0,), "GT", MatchA(0, "nation_name", 1), (None, 10)), ["e", "v"], "SELECT CAST(n_nationkey AS INT) AS e, n_name AS v FROM nation")
 _plan("filter_eid_eid", Filter((0,), "LT", MatchA(0, "nation_name", 1), (None, Typed("Eid", 10))), ["e", "v"], "SELECT CAST(n_nationkey AS INT) AS e, n_name AS v FROM nation WHERE n_nationkey < 10")
 _plan("filter_instant_eid", Filter((1, 0), "GT", MatchA(0, "event_time", 1), (None, None)), ["e", "t"], "SELECT event_id AS e, epoch_us(ts) // 1000 AS t FROM events")
 
@@ -279,8 +284,6 @@ _pulled("graphql_nested_args", GraphQl(_SELECTION, Hector((0,), (B(0, "order_sta
 
 @_query("derive_attribute", "SELECT DISTINCT c_custkey AS e, c_name AS v FROM orders JOIN customer ON o_custkey = c_custkey")
 def _derive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factflow.streaming.engine import Engine
-
     engine = Engine(spark)
     engine.domain = tables(spark, sf_dir)
     engine.derive("buyer", "{ order_customer { customer_name } }")
@@ -374,6 +377,90 @@ def _bitemporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_bitemporal(changes, 6, half).select("e", "v")
 
 
+# of each user, what was last written is taken back where the last event was an error
+@_query("lww_retraction", f"SELECT user_id AS e, arg_max({_EV}, event_id) AS v FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
+def _lww_retraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _log(spark, sf_dir, "LastWriteWins", _EV, "event_id")
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.max_by(F.struct("event_type", F.expr(_EV).alias("v"), "event_id"), "event_id").alias("x"))
+    gone = last.where("x.event_type = 'error'")
+    d.transact_frame("fact", gone.select(F.col("user_id").alias("e"), "x.v", (F.col("x.event_id") + 1).alias(TIME), F.lit(-1).alias("_w")))
+    return result_columns(d.query(MatchA(0, "fact", 1), _MAX), ["e", "v"])
+
+
+@_query("lww_compacted", f"SELECT user_id AS e, arg_max({_EV}, event_id) AS v FROM events GROUP BY user_id")
+def _lww_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History up to the middle of the events is folded first."""
+    d = _log(spark, sf_dir, "LastWriteWins", _EV, "event_id")
+    log = d.logs["fact"]
+    log.compact((log.changes().agg(F.max(TIME)).first()[0] or 0) // 2)
+    return result_columns(d.query(MatchA(0, "fact", 1), _MAX), ["e", "v"])
+
+
+@_query("distinct_compacted", f"SELECT user_id AS e, {_EV} % 5 AS v FROM events GROUP BY 1, 2 HAVING sum({_SIGN_SQL}) > 0")
+def _distinct_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _log(spark, sf_dir, "Distinct", f"{_EV} % 5", "event_id", _SIGN)
+    log = d.logs["fact"]
+    log.compact((log.changes().agg(F.max(TIME)).first()[0] or 0) // 2)
+    return result_columns(d.query(MatchA(0, "fact", 1), _MAX), ["e", "v"])
+
+
+# -- sources and sinks -----------------------------------------------------------
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("csv_source", "SELECT c_custkey AS e, c_name AS n, c_mktsegment AS s FROM customer")
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "csv")
+    spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment").write.option("header", True).csv(path)
+    e = Engine(spark)
+    e.register_source(CsvFile(path, {"csv/name": (1, "String"), "csv/segment": (2, "String")}, has_headers=True))
+    return result_columns(e.domain.query(Join((0,), MatchA(0, "csv/name", 1), MatchA(0, "csv/segment", 2))), ["e", "n", "s"])
+
+
+@_query("json_source", "SELECT o_orderstatus AS s, count(*) AS n, 0 AS first FROM orders GROUP BY 1")
+def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities are line numbers from 0 on, without gaps: told by ``first``."""
+    path = _folder(spark, "json")
+    spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer")).write.json(path)
+    e = Engine(spark)
+    e.register_source(JsonFile(path, {"status": "String", "customer": "Number"}))
+    df = result_columns(e.domain.query(MatchA(0, "status", 1)), ["e", "s"])
+    gaps = df.agg((F.max("e") + 1 - F.count_distinct("e") + F.min("e")).cast("int").alias("first"))
+    return df.groupBy("s").agg(F.count("*").alias("n")).crossJoin(F.broadcast(gaps)).select("s", "n", "first")
+
+
+def _sunk(spark: SparkSession, sf_dir: str, register: Callable[[Engine, FileSink], None]) -> DataFrame:
+    """Events in three epochs by their types, through the engine into files."""
+    e = Engine(spark)
+    e.create_attribute("kind", AttributeConfig.uncompacted("Distinct", value_type="Number"))
+    path = _folder(spark, "sink")
+    register(e, FileSink(path, "parquet"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for k in range(3):
+        own = events.where(F.pmod(F.length("event_type"), F.lit(3)) == k)
+        e.message([lambda own=own: e.domain.transact_frame("kind", own.select(F.col("user_id").alias("e"), F.length("event_type").cast("long").alias("v")))])
+    e.message([])
+    return spark.read.parquet(path)
+
+
+_SUNK = "SELECT DISTINCT user_id AS e, CAST(length(event_type) AS BIGINT) AS v, CAST(length(event_type) % 3 AS BIGINT) AS t FROM events"
+
+
+@_query("subscribe_file_sink", f"SELECT e, v, t, CAST(1 AS BIGINT) AS d FROM ({_SUNK})")
+def _subscribe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sunk(spark, sf_dir, lambda e, sink: e.subscribe("kind", sink=sink)).toDF("e", "v", "t", "d")
+
+
+@_query("interest_granularity", f"SELECT e, v, (t // 2 + 1) * 2 AS t, CAST(1 AS BIGINT) AS d FROM ({_SUNK})")
+def _granularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def register(e: Engine, sink: FileSink) -> None:
+        e.register(Rule("all", MatchA(0, "kind", 1)))
+        e.interest("all", sink=sink, granularity=2)
+
+    return _sunk(spark, sf_dir, register).toDF("e", "v", "t", "d")
+
+
 @_query("tagged_lane", "SELECT v FROM (SELECT r_name AS v, 1 AS t, r_name AS s, 0 AS n FROM region UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 5, NULL, n_nationkey FROM nation) WHERE t > 1 OR s >= 'ASIA'")
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tables(spark, sf_dir)

@@ -9,7 +9,9 @@ from factflow.queries import QUERIES, SQL
 SF = os.environ.get("FACTFLOW_TEST_TABLES", "/root/testdata/sf0.001")
 SOME = ["match_a", "project_bag", "filter_cross_type", "transform_truncate_week", "join_collection_attribute", "join_star_collapsed", "difference_negate",
         "antijoin", "agg_median", "agg_variance", "agg_with_set_mode", "hector_chain", "hector_triangle", "hector_predicate_inverted", "hector_not",
-        "recursive_mutual", "pull_nested", "graphql_nested_args", "derive_attribute", "lww_diffs", "epoch_diff_incremental", "tagged_lane", "segment_revenue"]
+        "recursive_mutual", "pull_nested", "graphql_nested_args", "derive_attribute", "lww_diffs", "epoch_diff_incremental", "tagged_lane", "segment_revenue",
+        "agg_global", "filter_eid_number", "filter_eid_eid", "filter_instant_eid", "recursive_hierarchy", "lww_retraction", "lww_compacted", "distinct_compacted",
+        "csv_source", "json_source", "subscribe_file_sink", "interest_granularity"]
 
 
 @pytest.fixture(scope="module")
