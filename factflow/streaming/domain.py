@@ -157,6 +157,7 @@ class Domain:
         self.derived: dict[str, tuple[WideTable, bool]] = {}
         self.views: dict[str, Callable[[Compiler], DataFrame]] = {}
         self.rules: dict[str, Rule] = {}
+        self.inputs: dict[str, int] = {}  # how far each named input is
 
     # -- attributes ------------------------------------------------------------
     def _check_new(self, name: str) -> None:
@@ -237,8 +238,39 @@ class Domain:
     def advance_epoch(self, to: int) -> None:
         if to < self.epoch:
             raise ConflictError(f"epoch {self.epoch} can't go back to {to}")
+        if self.inputs and to > (least := min(self.inputs.values())):
+            raise ConflictError(f"an open input is at {least} only")
         self.epoch = to
 
+    def open_input(self, name: str) -> None:
+        """A source of its own pace: while it is open, the domain does not go
+        beyond it."""
+        if name in self.inputs:
+            raise ConflictError(f"input {name!r} is open")
+        self.inputs[name] = self.epoch
+
+    def advance_input(self, name: str, to: int) -> int:
+        """An input has told everything before ``to``; returns the domain's
+        epoch, the least of its open inputs."""
+        if name not in self.inputs:
+            raise NotFoundError(f"no open input {name!r}")
+        if to < self.inputs[name]:
+            raise ConflictError(f"input {name!r} is at {self.inputs[name]} and can't go back to {to}")
+        self.inputs[name] = to
+        return self._follow()
+
+    def close_named_input(self, name: str) -> int:
+        """It tells nothing more and holds the domain back no longer; the epoch
+        goes on to the least of those that are left, or stays if none is."""
+        if self.inputs.pop(name, None) is None:
+            raise NotFoundError(f"no open input {name!r}")
+        return self._follow()
+
+    def _follow(self) -> int:
+        if self.inputs:
+            self.advance_epoch(max(self.epoch, min(self.inputs.values())))
+        return self.epoch
+
     def advance(self) -> None:
         """Compact what no one may read again."""
         for log in self.logs.values():
@@ -257,6 +289,9 @@ class Domain:
             raise IncorrectError("domains of different namespaces don't add up")
         out = Domain(self.spark, self.namespace, self.set_mode)
         out.epoch = min(self.epoch, other.epoch)
+        if set(self.inputs) & set(other.inputs):
+            raise ConflictError(f"both domains have the inputs {sorted(set(self.inputs) & set(other.inputs))}")
+        out.inputs = self.inputs | other.inputs
         for kind in ("logs", "tables", "derived", "views", "rules"):
             a, b = getattr(self, kind), getattr(other, kind)
             if set(a) & set(b):

@@ -71,3 +71,23 @@ def test_the_binding_with_the_fewest_values_proposes(spark, seed):
     assert run([0, 1, 2, 3], clique) == sorted(x for x in itertools.product(nodes, repeat=4) if x[0] < x[3] and all((x[a], x[b]) in edges for a, b in ((0, 1), (1, 2), (0, 2), (0, 3), (1, 3), (2, 3))))
     square = [B(0, "edge", 1), B(1, "edge", 2), B(2, "edge", 3), B(3, "edge", 0)]
     assert run([0, 1, 2, 3], square) == sorted(x for x in itertools.product(nodes, repeat=4) if all((x[a], x[b]) in edges for a, b in ((0, 1), (1, 2), (2, 3), (3, 0))))
+
+
+def test_a_domain_is_as_far_as_its_slowest_input(spark):
+    from factflow.errors import ConflictError, NotFoundError
+
+    d = Domain(spark)
+    d.create_attribute("n", AttributeConfig(value_type="Number"))
+    d.open_input("fast")
+    d.open_input("slow")
+    assert d.advance_input("fast", 7) == 0 and d.advance_input("slow", 3) == 3 and d.epoch == 3
+    d.transact([Datom.add_at(1, "n", 1, 5)])
+    for bad in (lambda: d.advance_input("slow", 2), lambda: d.advance_epoch(4), lambda: d.open_input("fast"), lambda: d.transact([Datom.add_at(1, "n", 2, 2)])):
+        with pytest.raises(ConflictError):
+            bad()
+    with pytest.raises(NotFoundError):
+        d.advance_input("other", 9)
+    assert d.close_named_input("slow") == 7 and d.query(MatchA(0, "n", 1)).df.count() == 1
+    assert d.close_named_input("fast") == 7
+    d.advance_epoch(9)
+    assert d.epoch == 9
