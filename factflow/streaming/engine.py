@@ -274,8 +274,11 @@ class Engine:
             self.flush()
 
     def flush(self) -> None:
-        """Tell what the current epoch changed, then begin the next."""
+        """Tell what the current epoch changed, then begin the next; an epoch that
+        an open input has not passed yet goes on."""
         epoch = self.domain.epoch
+        if self.domain.inputs and min(self.domain.inputs.values()) <= epoch:
+            return
         if self.listener is not None:
             plans = {n: self.domain.rules[n].plan for n in self.interests if n in self.domain.rules}
             self.domain.transact([*self.listener.drain(), *introspection.sizes(self.domain, epoch, plans), *self.timings])

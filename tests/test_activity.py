@@ -91,3 +91,14 @@ def test_a_domain_is_as_far_as_its_slowest_input(spark):
     assert d.close_named_input("fast") == 7
     d.advance_epoch(9)
     assert d.epoch == 9
+
+
+def test_an_epoch_goes_on_until_its_inputs_have_passed_it(spark):
+    e = Engine(spark)
+    e.create_attribute("n", AttributeConfig(value_type="Number"))
+    e.register(Rule("r", MatchA(0, "n", 1)))
+    e.interest("r")
+    e.domain.open_input("files")
+    assert e.transact([Datom.add(1, "n", 1)]) == [] and e.domain.epoch == 0
+    e.domain.inputs["files"] = 1  # it has told everything before epoch 1
+    assert [(o.body, o.time, o.diff) for o in e.transact([Datom.add(2, "n", 2)])] == [((1, 1), 0, 1), ((2, 2), 0, 1)] and e.domain.epoch == 1
