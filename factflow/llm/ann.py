@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factflow.llm.common import settle, table
+from factflow.llm.common import scratch, settle, table
 
 TABLES = 2
 #: Rows of a bucket, expected at most, up to ``MOST_HASHES`` (of 64 numbers: 1e11
@@ -287,27 +287,29 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row for
     which ``is_query`` (a condition on the column ``id``) holds. The hashes of a
     table and the buckets that are looked up follow from the data, if not given."""
-    kind = _kind(vectors, vector_col)
-    rows = prepare(vectors, id_col, vector_col, tables, hashes)
-    n = rows._count
-    joined = lambda dim: hashes or hash_count(n, dim)
-    share = probed_share(rows, is_query, k, tables, joined, kind) if probes is None else None
-    placed = rows.select("uid", "id", "dim", "vec", F.posexplode("codes").alias("t", "code"))
-    sizes = placed.groupBy("dim", "t", "code").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    index = placed.join(sizes, ["dim", "t", "code"]).withColumn("chunk", F.pmod(F.xxhash64("uid", "t"), F.col("chunks")).cast("int"))
-    asked = _probed(rows.where(is_query), tables, joined, share, probes, kind).join(sizes, ["dim", "t", "code"])
-    top = settle(_ranked(index, asked, k, kind))
-    # queries for which too few were found meet every row of their length
-    peers = rows.groupBy("dim").agg((F.count("*") - 1).alias("peers"), F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    got = top.groupBy(F.col("q_uid").alias("uid")).agg(F.count("*").alias("got"))
-    short = rows.where(is_query).select("uid", "id", "dim", "vec").join(got, "uid", "left").join(peers, "dim")
-    short = settle(short.where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.col("peers"))).select("uid", "id", "dim", "vec", "chunks"))
-    if not short.isEmpty():
-        one = {"t": F.lit(0), "code": F.lit(0).cast("long")}
-        dims = F.broadcast(short.select("dim", "chunks").distinct())
-        index = rows.select("uid", "id", "dim", "vec").join(dims, "dim").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int"))
-        again = _ranked(index.withColumns(one), short.withColumns(one), k, kind)
-        top = top.join(short.select(F.col("uid").alias("q_uid")), "q_uid", "left_anti").union(again.select(top.columns))
+    with scratch() as left:
+        kind = _kind(vectors, vector_col)
+        rows = prepare(vectors, id_col, vector_col, tables, hashes)
+        n = rows._count
+        joined = lambda dim: hashes or hash_count(n, dim)
+        share = probed_share(rows, is_query, k, tables, joined, kind) if probes is None else None
+        placed = rows.select("uid", "id", "dim", "vec", F.posexplode("codes").alias("t", "code"))
+        sizes = placed.groupBy("dim", "t", "code").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+        index = placed.join(sizes, ["dim", "t", "code"]).withColumn("chunk", F.pmod(F.xxhash64("uid", "t"), F.col("chunks")).cast("int"))
+        asked = _probed(rows.where(is_query), tables, joined, share, probes, kind).join(sizes, ["dim", "t", "code"])
+        top = settle(_ranked(index, asked, k, kind))
+        # queries for which too few were found meet every row of their length
+        peers = rows.groupBy("dim").agg((F.count("*") - 1).alias("peers"), F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+        got = top.groupBy(F.col("q_uid").alias("uid")).agg(F.count("*").alias("got"))
+        short = rows.where(is_query).select("uid", "id", "dim", "vec").join(got, "uid", "left").join(peers, "dim")
+        short = settle(short.where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.col("peers"))).select("uid", "id", "dim", "vec", "chunks"))
+        if not short.isEmpty():
+            one = {"t": F.lit(0), "code": F.lit(0).cast("long")}
+            dims = F.broadcast(short.select("dim", "chunks").distinct())
+            index = rows.select("uid", "id", "dim", "vec").join(dims, "dim").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int"))
+            again = _ranked(index.withColumns(one), short.withColumns(one), k, kind)
+            top = settle(top.join(short.select(F.col("uid").alias("q_uid")), "q_uid", "left_anti").union(again.select(top.columns)))
+        left.append(top)
     return top.select("query_id", "rank", "vec_id", "score")
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: What ``settle`` wrote within the innermost ``scratch``; None: outside of any.
+_WRITTEN: ContextVar[list[DataFrame] | None] = ContextVar("written", default=None)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -39,6 +46,8 @@ def settle(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
+    if (written := _WRITTEN.get()) is not None:
+        written.append(out)
     return out
 
 
@@ -51,6 +60,27 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Within it, what ``settle`` writes is deleted at the end, but for the frames
+    put into the list that is given. Whatever leaves must be made of these alone.
+    After an error all is deleted."""
+    left: list[DataFrame] = []
+    written: list[DataFrame] = []
+    token = _WRITTEN.set(written)
+    try:
+        yield left
+    except BaseException:
+        left.clear()
+        raise
+    finally:
+        _WRITTEN.reset(token)
+        paths = {df._settled for df in left}
+        discard(*(df for df in written if df._settled not in paths))
+        if (outer := _WRITTEN.get()) is not None:
+            outer.extend(left)
+
+
 #: Rows of one Arrow batch; with texts of 100 kB a batch stays near 25 MB.
 BATCH_ROWS = 256
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factflow.llm.common import settle
+from factflow.llm.common import discard, settle
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     before = _signature(edges)
     while before[0]:
-        edges = settle(_small_star(_large_star(edges)))
+        older, edges = edges, settle(_small_star(_large_star(edges)))
+        discard(older)
         now = _signature(edges)
         if now == before:
             break

@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factflow.llm.common import discard, fresh, kept, settle, table, texts
+from factflow.llm.common import discard, fresh, kept, scratch, settle, table, texts
 from factflow.llm.suffixes import suffix_array
 
 LENGTH = 400
@@ -482,13 +482,15 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", keep: list[str] | No
     t = F.col(text_col).cast("string")
     key = F.unhex(F.md5(t.cast("binary")))
     kind = "array<struct<first:long,last:long>>"
-    found = repeated_ranges(docs, text_col, length).select("tk", F.col("ranges").cast(kind).alias("ranges"), F.lit(False).alias("shares"), F.lit(False).alias("copied"))
-    if passage_words is not None:
-        copies = docs.select(key.alias("tk")).groupBy("tk").agg(F.count("*").alias("n")).where("n > 1")
-        found = found.union(sharing_texts(docs, text_col, passage_words).select("tk", F.lit(None).cast(kind), F.lit(True), F.lit(False)))
-        found = found.union(copies.select("tk", F.lit(None).cast(kind), F.lit(False), F.lit(True)))
-    # one row of each kind at most
-    found = settle(found.groupBy("tk").agg(F.first("ranges", ignorenulls=True).alias(ranges), F.max("shares").alias(shares), F.max("copied").alias(copied)))
+    with scratch() as left:
+        found = repeated_ranges(docs, text_col, length).select("tk", F.col("ranges").cast(kind).alias("ranges"), F.lit(False).alias("shares"), F.lit(False).alias("copied"))
+        if passage_words is not None:
+            copies = docs.select(key.alias("tk")).groupBy("tk").agg(F.count("*").alias("n")).where("n > 1")
+            found = found.union(sharing_texts(docs, text_col, passage_words).select("tk", F.lit(None).cast(kind), F.lit(True), F.lit(False)))
+            found = found.union(copies.select("tk", F.lit(None).cast(kind), F.lit(False), F.lit(True)))
+        # one row of each kind at most
+        found = settle(found.groupBy("tk").agg(F.first("ranges", ignorenulls=True).alias(ranges), F.max("shares").alias(shares), F.max("copied").alias(copied)))
+        left.append(found)
     rows = docs.select(*keep, t.alias(text), key.alias(tk))
     rows = rows.join(found.withColumnRenamed("tk", tk), tk, "left").select(*keep, text, ranges, shares, copied)
     n = len(keep)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factflow.llm.common import fresh, kept, settle, table, texts
+from factflow.llm.common import fresh, kept, scratch, settle, table, texts
 from factflow.llm.components import connected_components
 
 BITS = 64
@@ -278,7 +278,9 @@ def fingerprint_components(prints: DataFrame, id_col: str, budget: int = 3) -> D
     smallest id reachable."""
     classes = settle(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     # the smallest value as unsigned or signed does not matter: a root only names its component
-    roots = settle(connected_components(hamming_links(classes.select("fp"), budget)))
+    with scratch() as left:
+        roots = settle(connected_components(hamming_links(classes.select("fp"), budget)))
+        left.append(roots)
     named = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     named = named.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component"))

@@ -2,6 +2,7 @@
 against brute force."""
 
 import hashlib
+import os
 import random
 from collections import defaultdict
 
@@ -10,6 +11,7 @@ import pytest
 import xxhash
 
 from factflow.llm import ann, decontaminate, langid, pii, repeats, simhash
+from factflow.llm.common import scratch, settle, shared_dir
 from factflow.llm.components import connected_components
 from factflow.llm.suffixes import suffix_array
 from tests.llm.helpers import ODD, docs, folder
@@ -403,3 +405,44 @@ def brute_hit_words(text, passage, window=13):
         if tuple(words[p : p + window]) in grams:
             hit |= set(range(p, p + window))
     return len(hit), None
+
+
+# -- what is written in between --------------------------------------------------
+def _folders(spark):
+    return set(os.listdir(shared_dir(spark).removeprefix("file:")))
+
+
+def test_scratch_keeps_what_leaves(spark):
+    before = _folders(spark)
+    with scratch() as outer:
+        settle(spark.range(2))
+        with scratch() as left:
+            gone, stays = settle(spark.range(3)), settle(spark.range(4))
+            left.append(stays)
+        assert not os.path.exists(gone._settled.removeprefix("file:"))
+        outer.append(stays)
+    assert stays.count() == 4 and len(_folders(spark) - before) == 1
+    with pytest.raises(ValueError), scratch() as left:
+        left.append(settle(spark.range(5)))
+        raise ValueError
+    assert len(_folders(spark) - before) == 1
+
+
+def test_operators_delete_what_they_need_no_more(spark):
+    before = _folders(spark)
+    passage = " ".join(f"w{k}" for k in range(120))
+    table = docs(spark, [(k, f"{passage} {k}") for k in range(6)] + ODD)
+    removed = repeats.remove_repeats(table, keep=["doc_id"])
+    assert len(_folders(spark) - before) == 1
+    assert removed.where("doc_id = 0").first()["repeats"]["n_removed"] > 400
+
+    before = _folders(spark)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)], "u long, v long")
+    assert connected_components(edges).where("root = 0").count() == 21
+    assert len(_folders(spark) - before) == 1
+
+    before = _folders(spark)
+    rng = np.random.default_rng(1)
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(12, 4)))], "vec_id long, embedding array<double>")
+    assert ann.nearest_neighbours(vectors, ann.F.col("id") == 0).count() == 10
+    assert len(_folders(spark) - before) == 1
