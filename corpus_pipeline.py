@@ -1,7 +1,8 @@
 """A training corpus from raw documents: five stages, one operator each.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
-written and read again as the next one's ``docs``. All but the last return the
+written and read again as the next one's ``docs``; what it was made of is then
+deleted. All but the last return the
 columns of documents; where a stage changes a text, ``n_chars`` follows it.
 """
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factflow.llm import decontaminate, langid, packing, pii, simhash
-from factflow.llm.common import bound_batches, settle, table
+from factflow.llm.common import bound_batches, discard, scratch, settle, table
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -66,8 +67,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = settle(docs)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch() as left:
+            before, docs = docs, settle(stage(spark, docs, sf_dir))
+            left.append(docs)
+        if k:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
