@@ -7,7 +7,9 @@ each shares a variable with what stands before, those with constants first;
 Catalyst picks the physical join. Where several bindings know a new variable, as
 in cycles, a tuple is extended by the one that has the fewest values for it, and
 the others are asked whether they have them, too (``extend``): so no more is made
-than the least of them proposes. A predicate binding's operands stand the other
+than the least of them proposes. Entities that nothing but their own scan asks for
+are counted before the joins (``counted``), so that rows which only differ in them
+meet once, with a weight. A predicate binding's operands stand the other
 way round than a filter's (``BINDING_PREDICATE_INVERTED``).
 """
 
@@ -24,7 +26,7 @@ from factflow.functions.predicates import compare
 from factflow.functions.values import typed
 from factflow.operators.algebra import join, project
 from factflow.operators.attributes import TableAttribute
-from factflow.operators.relation import Relation, names_of
+from factflow.operators.relation import WEIGHT, Relation, names_of
 from factflow.plans.ast import AttributeBinding, Binding, ConstantBinding, NotBinding, PredicateBinding
 
 BINDING_PREDICATE_INVERTED = True
@@ -111,8 +113,9 @@ def _apply_not(r: Relation, inner: Binding, resolve_not: Callable[[AttributeBind
 
 
 def hector(variables: tuple[int, ...], bindings: tuple[Binding, ...], resolve: Callable[[int, AttributeBinding], Relation],
-           table_of: TableOf, pinned: set[int] = frozenset(), allow_cross: bool = False) -> Relation:
-    """``resolve(k, binding)`` gives the k-th attribute binding's relation."""
+           table_of: TableOf, pinned: set[int] = frozenset(), allow_cross: bool = False, counted: bool = False) -> Relation:
+    """``resolve(k, binding)`` gives the k-th attribute binding's relation.
+    ``counted``: equal rows may come as one with a weight."""
     own = [b for b in bindings if isinstance(b, AttributeBinding)]
     constants: dict[int, list[Any]] = {}
     for b in bindings:
@@ -125,11 +128,14 @@ def hector(variables: tuple[int, ...], bindings: tuple[Binding, ...], resolve: C
     atoms = [_bound(a, constants) for a in _atoms(own, resolve, table_of, set(pinned))]
     # those with constants first; the sort is stable, so the order as written decides else
     atoms.sort(key=lambda a: -sum(v in constants for v in a.variables))
-    result, rest = atoms[0], atoms[1:]
     bound_somewhere = {v for a in atoms for v in a.variables}
+    if counted and not allow_cross:
+        asked = {*variables, *(v for p in predicates for v in p.variables), *(v for n in nots for v in _variables(n))}
+        atoms = [_counted(a, asked.union(*(b.variables for b in atoms if b is not a))) for a in atoms]
+    result, rest = atoms[0], atoms[1:]
     result = _apply_predicates(result, predicates)
     while rest:
-        several = _proposers(result, rest, predicates)
+        several = _proposers(result, rest, counted)
         if several:
             result = extend(result, [rest[k] for k in several])
             rest = [a for k, a in enumerate(rest) if k not in several]
@@ -161,7 +167,29 @@ def hector(variables: tuple[int, ...], bindings: tuple[Binding, ...], resolve: C
     return project(result, variables)
 
 
-def _proposers(result: Relation, rest: list[Relation], predicates: list) -> list[int]:
+def _variables(binding: Binding) -> tuple[int, ...]:
+    match binding:
+        case AttributeBinding(e, _, v):
+            return e, v
+        case ConstantBinding(v, _):
+            return (v,)
+        case PredicateBinding(_, variables):
+            return tuple(variables)
+        case NotBinding(inner):
+            return _variables(inner)
+    return ()
+
+
+def _counted(a: Relation, asked: set[int]) -> Relation:
+    """Without the entity, if it is not asked for, its rows as weights."""
+    if a.weighted or a.variables[0] in asked or not asked & set(a.variables):
+        return a
+    kept = tuple(v for v in a.variables if v in asked)
+    df = a.df.groupBy(*(a.column(v) for v in kept)).agg(F.count(F.lit(1)).alias(WEIGHT))
+    return Relation(df, kept, True, False)
+
+
+def _proposers(result: Relation, rest: list[Relation], counted: bool = False) -> list[int]:
     """Places of bindings, two at least, that know one new variable besides
     variables that are bound; none if a change with weights is among them."""
     by_new: dict[int, list[int]] = {}
@@ -169,7 +197,7 @@ def _proposers(result: Relation, rest: list[Relation], predicates: list) -> list
         new = set(a.variables) - set(result.variables)
         if len(new) == 1 and len(a.variables) == 2 and not a.weighted:
             by_new.setdefault(new.pop(), []).append(k)
-    return next((ks for ks in by_new.values() if len(ks) > 1), []) if not result.weighted else []
+    return next((ks for ks in by_new.values() if len(ks) > 1), []) if counted or not result.weighted else []
 
 
 def extend(result: Relation, atoms: list[Relation]) -> Relation:
@@ -192,11 +220,11 @@ def extend(result: Relation, atoms: list[Relation]) -> Relation:
         for j, (b, other) in enumerate(zip(sets, keys, strict=True)):
             if j != k:
                 part = part.join(b.df, [other, f"v{new}"], "left_semi")
-        parts.append(part.select(*result.df.columns, f"v{new}"))
+        parts.append(part.select(*result.columns, f"v{new}", *result.rest()))
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
-    return Relation(out, (*result.variables, new), False, result.is_set)
+    return Relation(out, (*result.variables, new), result.weighted, result.is_set)
 
 
 def triangles(edges: DataFrame, e: str = "e", v: str = "v") -> DataFrame:

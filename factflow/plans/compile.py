@@ -56,6 +56,8 @@ from factflow.storage import discard, settle
 MAX_ROUNDS = 10_000
 #: Walks over fewer edges are made round by round: that takes fewer jobs.
 CLASS_EDGES = 10_000
+#: Of one row in one piece, where weights become repeated rows.
+COPIES = 65_536
 
 
 @dataclass
@@ -318,7 +320,7 @@ class Compiler:
                 return None if r is None else algebra.aggregate(
                     r, plan.variables, plan.aggregation_fns, plan.key_variables, plan.aggregation_variables, plan.with_variables, self.set_mode)
             case Hector(variables, bindings):
-                return hector(variables, bindings, self._binding, self.source.table)
+                return hector(variables, bindings, self._binding, self.source.table, counted=True)
             case PullLevel():
                 r = self._plan(plan.plan)
                 return None if r is None else pull.pull_level(
@@ -375,9 +377,14 @@ def _positional(r: Relation) -> Relation:
 
 
 def result_columns(r: Relation, names: list[str] | None = None) -> DataFrame:
-    """A result for the outside: weights become repeated rows."""
+    """A result for the outside: weights become repeated rows, dealt over all
+    tasks in portions of ``COPIES``."""
     df = r.df
     if r.weighted:
         df = r.consolidated().df.where(F.col(WEIGHT) > 0)
-        df = df.select(*(c for c in df.columns if c != WEIGHT), F.explode(F.array_repeat(F.lit(0), F.col(WEIGHT).cast("int"))).alias("_x")).drop("_x")
+        own = [c for c in df.columns if c != WEIGHT]
+        portions = F.sequence(F.lit(0).cast("long"), F.expr(f"({WEIGHT} - 1) div {COPIES}"))
+        df = df.select(*own, WEIGHT, F.explode(portions).alias("_p")).repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+        size = F.least(F.lit(COPIES), F.col(WEIGHT) - F.col("_p") * COPIES).cast("int")
+        df = df.select(*own, F.explode(F.array_repeat(F.lit(0), size)).alias("_x")).drop("_x")
     return df.toDF(*names) if names else df
