@@ -28,6 +28,7 @@ from factflow.operators.algebra import join, project
 from factflow.operators.attributes import TableAttribute
 from factflow.operators.relation import WEIGHT, Relation, names_of
 from factflow.plans.ast import AttributeBinding, Binding, ConstantBinding, NotBinding, PredicateBinding
+from factflow.storage import settle
 
 BINDING_PREDICATE_INVERTED = True
 
@@ -137,7 +138,7 @@ def hector(variables: tuple[int, ...], bindings: tuple[Binding, ...], resolve: C
     while rest:
         several = _proposers(result, rest, counted)
         if several:
-            result = extend(result, [rest[k] for k in several])
+            result = extend(result, [rest[k] for k in several], written=counted)
             rest = [a for k, a in enumerate(rest) if k not in several]
             result = _apply_predicates(result, predicates)
             continue
@@ -200,23 +201,31 @@ def _proposers(result: Relation, rest: list[Relation], counted: bool = False) ->
     return next((ks for ks in by_new.values() if len(ks) > 1), []) if counted or not result.weighted else []
 
 
-def extend(result: Relation, atoms: list[Relation]) -> Relation:
+def extend(result: Relation, atoms: list[Relation], written: bool = False) -> Relation:
     """Tuples with values of the variable that all ``atoms`` know besides one
     that is bound: for each tuple, the atom with the fewest values proposes and
-    the others check."""
+    the others check. Tuples whose atoms' values lie in ranges that do not meet
+    are done before, and values out of the range in common are not proposed.
+    ``written``: what is left of the tuples is written out before they are
+    extended, so that few of them can be sent to the atoms' values instead of
+    dealing all values anew."""
     new = next(iter(set(atoms[0].variables) - set(result.variables)))
     sets = [a.distinct() for a in atoms]
     keys = [f"v{next(v for v in a.variables if v != new)}" for a in sets]
     df = result.df
     for k, (a, key) in enumerate(zip(sets, keys, strict=True)):
-        df = df.join(a.df.groupBy(key).agg(F.count(F.lit(1)).alias(f"_n{k}")), key)
-    counts = [F.col(f"_n{k}") for k in range(len(sets))]
-    least = F.least(*counts)
+        value = F.col(f"v{new}")
+        df = df.join(a.df.groupBy(key).agg(F.count(F.lit(1)).alias(f"_n{k}"), F.min(value).alias(f"_lo{k}"), F.max(value).alias(f"_hi{k}")), key)
+    every = range(len(sets))
+    df = df.withColumns({"_lo": F.greatest(*(f"_lo{k}" for k in every)), "_hi": F.least(*(f"_hi{k}" for k in every))}).where("_lo <= _hi")
+    # the first of those with the least
+    df = df.withColumn("_by", F.array_position(F.array(*(f"_n{k}" for k in every)), F.least(*(f"_n{k}" for k in every))).cast("int"))
+    df = df.select(*result.df.columns, "_lo", "_hi", "_by")
+    if written:
+        df = settle(df)
     parts = []
     for k, (a, key) in enumerate(zip(sets, keys, strict=True)):
-        # the first of those with the least
-        mine = (counts[k] == least) & ~F.coalesce(*[F.when(c == least, True) for c in counts[:k]], F.lit(False))
-        part = df.where(mine).select(*result.df.columns).join(a.df, key)
+        part = df.where(F.col("_by") == k + 1).join(a.df, key).where(F.col(f"v{new}").between(F.col("_lo"), F.col("_hi")))
         for j, (b, other) in enumerate(zip(sets, keys, strict=True)):
             if j != k:
                 part = part.join(b.df, [other, f"v{new}"], "left_semi")
@@ -231,5 +240,6 @@ def triangles(edges: DataFrame, e: str = "e", v: str = "v") -> DataFrame:
     """(a, b, c) with edges a-b, b-c and a-c: each edge is extended by the end
     that has fewer neighbours."""
     pairs = edges.select(F.col(e).alias("a"), F.col(v).alias("b")).distinct()
-    ends = [Relation(pairs.toDF(f"v{k}", "v2"), (k, 2), False, True) for k in (0, 1)]
-    return extend(Relation(pairs.toDF("v0", "v1"), (0, 1), False, True), ends).df.toDF("a", "b", "c")
+    # the far ends first: those without edges of their own are done
+    ends = [Relation(pairs.toDF(f"v{k}", "v2"), (k, 2), False, True) for k in (1, 0)]
+    return extend(Relation(pairs.toDF("v0", "v1"), (0, 1), False, True), ends, written=True).df.toDF("a", "b", "c")
