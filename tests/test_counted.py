@@ -18,3 +18,21 @@ def test_entities_are_counted_before_they_meet(spark, monkeypatch):
     r = d.query(q([2, 3], [B(0, "left", 2), B(1, "right", 2), B(2, "name", 3)]))
     assert r.df.count() <= 3  # 120 rows when each met each
     assert Counter(tuple(x) for x in result_columns(r).collect()) == {(0, "a"): 60, (1, "b"): 60}
+
+
+def test_ranges_that_do_not_meet_propose_nothing(spark, tmp_path, monkeypatch):
+    import os
+    import random
+
+    from factflow import storage
+    from factflow.operators import hector
+
+    monkeypatch.setattr(storage, "shared_dir", lambda _: str(tmp_path))
+    rng = random.Random(5)
+    # nodes 0 to 9 lead to each other; 100 to 109 are led to, and lead to 1000 and more only
+    edges = {(rng.randrange(10), rng.randrange(10)) for _ in range(40)} | {(k, 100 + k) for k in range(10)} | {(100 + k, 1000 + j) for k in range(10) for j in range(5)}
+    got = hector.triangles(spark.createDataFrame(sorted(edges), "e long, v long"))
+    want = Counter((a, b, c) for a, b in edges for b2, c in edges if b2 == b and (a, c) in edges)
+    assert Counter(tuple(x) for x in got.collect()) == want
+    [folder] = os.listdir(tmp_path)
+    assert {r[0] for r in spark.read.parquet(f"{tmp_path}/{folder}").select("v1").collect()} <= set(range(10))
