@@ -18,6 +18,9 @@ from factflow.functions.values import TYPE_KEY, typed
 from factflow.operators.relation import WEIGHT, Relation, alike, names_of
 from factflow.storage import settle
 
+#: Rows of a list, in the mean at most, where lists meet.
+CHUNK = 1024
+
 
 def project(r: Relation, variables: tuple[int, ...]) -> Relation:
     """Reorder, drop or repeat columns; multiplicities are kept."""
@@ -66,6 +69,33 @@ def join(left: Relation, right: Relation, keys: tuple[int, ...]) -> Relation:
     return Relation(df, variables, weighted, left.is_set and right.is_set)
 
 
+def _lists(r: Relation, on: list[str], name: str) -> DataFrame:
+    """A key's other columns in lists of some ``CHUNK`` rows."""
+    rest = [c for c in r.df.columns if c not in on]
+    sizes = r.df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_n"))
+    dealt = r.df.join(sizes, on).withColumn("_k", F.pmod(F.xxhash64(*rest), "_n"))
+    return dealt.groupBy(*on, "_k").agg(F.collect_list(F.struct(*rest)).alias(name)).drop("_k")
+
+
+def join_values(left: Relation, right: Relation, keys: tuple[int, ...]) -> Relation:
+    """As ``join``, of sets where both sides may have many rows of a key: lists of
+    rows meet lists of rows, and these pairs are dealt over all tasks before their
+    rows are made. So no task makes all rows of a key."""
+    on = [left.column(v) for v in keys]
+    twice = (set(left.variables) & set(right.variables)) - set(keys)
+    if twice or left.weighted or right.weighted or not (left.is_set and right.is_set) or any(set(r.columns) <= set(on) for r in (left, right)):
+        return join(left, right, keys)
+    variables = (*keys, *(v for v in left.variables if v not in keys), *(v for v in right.variables if v not in keys))
+    met = _lists(left, on, "_l").join(_lists(right, on, "_r"), on)
+    met = met.repartition(4 * met.sparkSession.sparkContext.defaultParallelism)
+    df = met.select(*on, F.explode("_l").alias("_l"), "_r").select(*on, "_l", F.explode("_r").alias("_r"))
+    columns = []
+    for name in names_of(variables):
+        side, r = ("_l", left) if name in left.columns else ("_r", right)
+        columns.append(F.col(name) if name in on else F.col(f"{side}.{name}").alias(name, metadata=r.df.schema[name].metadata))
+    return Relation(df.select(*columns), variables, False, True)
+
+
 def antijoin(left: Relation, right: Relation, keys: tuple[int, ...]) -> Relation:
     """Distinct rows of the left side whose keys the right side does not have."""
     have = project(right, keys).distinct()

@@ -309,7 +309,8 @@ class Compiler:
                     return None
                 if isinstance(left, (MatchA, Star)) and not isinstance(right, (MatchA, Star)):
                     l, r = r, l
-                return algebra.join(l, r, tuple(keys))
+                by_values = all(isinstance(x, MatchA) and tuple(keys) == (x.v,) and x.e != x.v for x in (left, right))
+                return (algebra.join_values if by_values else algebra.join)(l, r, tuple(keys))
             case Antijoin(keys, left, right):
                 l, r = self._plan(left), self._plan(right)
                 return None if l is None or r is None else algebra.antijoin(l, r, tuple(keys))

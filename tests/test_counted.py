@@ -36,3 +36,20 @@ def test_ranges_that_do_not_meet_propose_nothing(spark, tmp_path, monkeypatch):
     assert Counter(tuple(x) for x in got.collect()) == want
     [folder] = os.listdir(tmp_path)
     assert {r[0] for r in spark.read.parquet(f"{tmp_path}/{folder}").select("v1").collect()} <= set(range(10))
+
+
+def test_rows_of_one_value_are_dealt_over_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from factflow.operators import algebra
+    from factflow.plans.ast import Join, MatchA
+
+    monkeypatch.setattr(algebra, "CHUNK", 8, raising=False)
+    rows = [(k, 1 if k < 90 else None if k < 92 else 2) for k in range(100)]
+    d = Domain(spark)
+    for name in ("one", "other"):
+        d.add_derived(name, spark.createDataFrame(rows, "e long, v long"))
+    df = d.query(Join((1,), MatchA(0, "one", 1), MatchA(2, "other", 1))).df
+    assert Counter(tuple(x) for x in df.collect()) == Counter((v, a, b) for a, v in rows for b, w in rows if v == w and v is not None)
+    shares = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert max(shares) < 90 * 90 / 2  # one task made all rows of a value
