@@ -15,9 +15,11 @@ way round than a filter's (``BINDING_PREDICATE_INVERTED``).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,9 @@ from factflow.storage import settle
 
 BINDING_PREDICATE_INVERTED = True
 
+#: Values of a list, at most; tuples with more values of an atom are extended row by row.
+LIST = 2048
+
 #: Resolves (attribute, e variable, v variable) to a relation.
 Resolve = Callable[[str, int, int], Relation]
 #: The wide table of an attribute, or None.
@@ -208,7 +213,8 @@ def extend(result: Relation, atoms: list[Relation], written: bool = False) -> Re
     are done before, and values out of the range in common are not proposed.
     ``written``: what is left of the tuples is written out before they are
     extended, so that few of them can be sent to the atoms' values instead of
-    dealing all values anew."""
+    dealing all values anew; tuples of two atoms with ``LIST`` integers at most
+    each get their lists and no row for every value that is proposed."""
     new = next(iter(set(atoms[0].variables) - set(result.variables)))
     sets = [a.distinct() for a in atoms]
     keys = [f"v{next(v for v in a.variables if v != new)}" for a in sets]
@@ -220,11 +226,20 @@ def extend(result: Relation, atoms: list[Relation], written: bool = False) -> Re
     df = df.withColumns({"_lo": F.greatest(*(f"_lo{k}" for k in every)), "_hi": F.least(*(f"_hi{k}" for k in every))}).where("_lo <= _hi")
     # the first of those with the least
     df = df.withColumn("_by", F.array_position(F.array(*(f"_n{k}" for k in every)), F.least(*(f"_n{k}" for k in every))).cast("int"))
-    df = df.select(*result.df.columns, "_lo", "_hi", "_by")
+    kinds = {a.df.schema[f"v{new}"].dataType.typeName() for a in sets}
+    lists = written and len(sets) == 2 and len(kinds) == 1 and kinds <= {"integer", "long"}
+    short = F.greatest(*(f"_n{k}" for k in every)) <= LIST if lists else F.lit(False)
+    df = df.select(*result.df.columns, "_lo", "_hi", "_by", short.alias("_short"))
+    parts = []
     if written:
         df = settle(df)
-    parts = []
+        some = {r["_short"] for r in df.select("_short").distinct().collect()}
+        if True in some:
+            parts.append(_common(df.where("_short").select(*result.df.columns), sets, keys, f"v{new}").select(*result.columns, f"v{new}", *result.rest()))
+            df = df.where("NOT _short")
     for k, (a, key) in enumerate(zip(sets, keys, strict=True)):
+        if parts and False not in some:
+            break
         part = df.where(F.col("_by") == k + 1).join(a.df, key).where(F.col(f"v{new}").between(F.col("_lo"), F.col("_hi")))
         for j, (b, other) in enumerate(zip(sets, keys, strict=True)):
             if j != k:
@@ -236,10 +251,76 @@ def extend(result: Relation, atoms: list[Relation], written: bool = False) -> Re
     return Relation(out, (*result.variables, new), result.weighted, result.is_set)
 
 
-def triangles(edges: DataFrame, e: str = "e", v: str = "v") -> DataFrame:
+def _coding() -> tuple[Callable, Callable]:
+    """Lists of integers to bytes and lists of tuples to what they have in common;
+    functions of their own, as executors need not have this package. A list is its
+    least value and the gaps after it, a byte each; 255 is followed by the rest of a
+    gap. Where that is longer, the values are as they are."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column(1):
+                x = np.sort(x.values.to_numpy(zero_copy_only=False).astype(np.int64))
+                whole, rest = np.divmod(np.diff(x).view(np.uint64), np.uint64(255))
+                if len(x) + whole.sum(dtype=float) < 8 * len(x):
+                    ends = np.cumsum(whole.astype(np.int64) + 1)
+                    gaps = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+                    gaps[ends - 1] = rest
+                    out.append(b"g" + x[:1].tobytes() + gaps.tobytes())
+                else:
+                    out.append(b"v" + x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], batch.schema.names)
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unpack(x: bytes) -> np.ndarray:
+            if x[:1] == b"v":
+                return np.frombuffer(x, np.int64, offset=1)
+            gaps = np.frombuffer(x, np.uint8, offset=9)
+            first = np.frombuffer(x, np.int64, 1, 1)
+            return np.concatenate([first, first + np.cumsum(gaps, dtype=np.int64)[gaps != 255]])
+
+        for batch in batches:
+            known: dict[bytes, np.ndarray] = {}
+            n = batch.num_columns - 2
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                rows, found = [], []
+                for k, (x, y) in enumerate(zip(part.column(n), part.column(n + 1))):
+                    x, y = x.as_py(), y.as_py()
+                    if y not in known:
+                        known = {y: unpack(y)}  # rows of one list stand together, mostly
+                    both = np.intersect1d(unpack(x), known[y], assume_unique=True)
+                    found.append(both)
+                    rows.append(np.full(len(both), k))
+                own = part.select(list(range(n))).take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate(found))], [*own.schema.names, "_c"])
+
+    return pack, common
+
+
+def _common(tuples: DataFrame, sets: list[Relation], keys: list[str], value: str) -> DataFrame:
+    """Tuples with the values that both ``sets`` have of them; these are sent as lists."""
+    pack, common = _coding()
+    df = tuples
+    for k, (a, key) in enumerate(zip(sets, keys, strict=True)):
+        asked = a.df.join(tuples.select(key).distinct(), key, "left_semi")
+        kept = asked.groupBy(key).agg(F.collect_list(value).alias(f"_l{k}"))
+        kind = kept.schema[key].dataType.simpleString()
+        df = df.join(kept.mapInArrow(pack, f"{key} {kind}, _l{k} binary"), key)
+    fields = ", ".join(f"{c} {t}" for c, t in tuples.dtypes)
+    out = df.select(*tuples.columns, "_l0", "_l1").mapInArrow(common, f"{fields}, _c long")
+    f = sets[0].df.schema[value]
+    columns = [F.col(c).alias(c, metadata=tuples.schema[c].metadata) for c in tuples.columns]
+    return out.select(*columns, F.col("_c").cast(f.dataType).alias(value, metadata=f.metadata))
+
+
+def triangles(edges: DataFrame, e: str = "e", v: str = "v", is_set: bool = False) -> DataFrame:
     """(a, b, c) with edges a-b, b-c and a-c: each edge is extended by the end
-    that has fewer neighbours."""
-    pairs = edges.select(F.col(e).alias("a"), F.col(v).alias("b")).distinct()
+    that has fewer neighbours. ``is_set``: each edge is there once."""
+    pairs = edges.select(F.col(e).alias("a"), F.col(v).alias("b"))
+    if not is_set:
+        pairs = pairs.distinct()
     # the far ends first: those without edges of their own are done
     ends = [Relation(pairs.toDF(f"v{k}", "v2"), (k, 2), False, True) for k in (1, 0)]
     return extend(Relation(pairs.toDF("v0", "v1"), (0, 1), False, True), ends, written=True).df.toDF("a", "b", "c")

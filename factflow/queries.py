@@ -41,7 +41,7 @@ from factflow.plans.ast import (
 from factflow.plans.compile import result_columns
 from factflow.sinks.core import FileSink
 from factflow.sources.files import CsvFile, JsonFile
-from factflow.storage import shared_dir
+from factflow.storage import settle, shared_dir
 from factflow.streaming.domain import Domain
 from factflow.streaming.engine import Engine
 from factflow.streaming.incremental import epoch_diffs
@@ -229,7 +229,7 @@ _plan("hector_bag_projection", q([1, 3], [B(0, "customer_nation", 2), B(4, "supp
 
 @_query("triangle_intersection", f"WITH edge AS ({EDGE_SQL}) SELECT x.e AS a, y.e AS b, y.v AS c FROM edge x JOIN edge y ON x.v = y.e JOIN edge z ON z.e = x.e AND z.v = y.v")
 def _triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triangles(tables(spark, sf_dir).source().pairs("edge")[0])
+    return triangles(settle(tables(spark, sf_dir).source().pairs("edge")[0]), is_set=True)
 
 
 # -- recursion -----------------------------------------------------------------
