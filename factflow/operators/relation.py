@@ -16,6 +16,17 @@ from factflow.errors import IncorrectError
 
 WEIGHT = "_w"
 
+#: Rows of one task, in the mean at most, where many are dealt by their values.
+TASK_ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``rows`` rows, dealt by all columns over so many tasks that what a task holds of
+    them does not grow with their number; as they are, if the session's partitions
+    are enough for that."""
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *df.columns) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
 
 def names_of(variables: tuple[int, ...]) -> list[str]:
     """Column names: ``v3``, and ``v3_2`` for a second column of one variable."""

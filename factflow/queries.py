@@ -12,6 +12,7 @@ from factflow.functions.time import coarsen_column
 from factflow.functions.values import Typed, tagged
 from factflow.operators.attributes import TIME, AttributeConfig, snapshot_bitemporal
 from factflow.operators.hector import triangles
+from factflow.operators.relation import dealt
 from factflow.plans.ast import (
     Aggregate,
     Antijoin,
@@ -89,7 +90,11 @@ def tables(spark: SparkSession, sf_dir: str) -> Domain:
         "event_user": "user_id", "event_type": "event_type", "event_cents": cents("value"), "event_time": ms("ts")}, types={"event_time": "Instant"})
     d.add_table("documents", read("documents"), "doc_id", {"doc_lang": "lang", "doc_source": "source", "doc_chars": "n_chars"})
 
-    d.add_derived("edge", lambda: read("lineitem")().select(F.col("l_suppkey").alias("e"), F.col("l_partkey").alias("v")).distinct())
+    def edge() -> DataFrame:
+        lines = read("lineitem")()
+        return dealt(lines.select(F.col("l_suppkey").alias("e"), F.col("l_partkey").alias("v")), lines.count()).distinct()
+
+    d.add_derived("edge", edge)
 
     def above() -> DataFrame:
         kinds = [("orders", "o_orderkey", "o_custkey"), ("customer", "c_custkey", "c_nationkey"), ("nation", "n_nationkey", "n_regionkey")]
